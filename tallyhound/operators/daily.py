@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhound.operators.linkage import lookup
 from tallyhound.operators.sequence import with_off_network, without
 from tallyhound.operators.skew import group_quantiles
 
@@ -34,7 +33,6 @@ def daily_refuels(
     excluded: DataFrame | None = None,
     tracks: DataFrame | None = None,
     off_network: DataFrame | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per vehicle and day with a refuel of the report.
 
@@ -76,16 +74,24 @@ def daily_refuels(
         complete = km.isNotNull() & (F.coalesce("__days", F.lit(0)) == F.datediff("date", "previous_day"))
         days = days.withColumns({"track_km": km, "track_complete": F.coalesce(complete, F.lit(False))}).drop(
             "__km", "__days", "__tracked")
-    days = days.withColumn("track_rate", F.when("track_complete", F.try_divide("track_km", "litres")))
+    days = days.withColumn("track_rate", F.when(F.col("track_complete"), F.try_divide("track_km", "litres")))
 
     own = Window.partitionBy("vehicle_id")
     for rate in ("odometer", "track"):
         days = days.withColumn(f"{rate}_relative", F.try_divide(F.col(f"{rate}_rate"), F.median(f"{rate}_rate").over(own)))
-    for rate in ("odometer", "track"):
-        typical = group_quantiles(days.select("vehicle_type", f"{rate}_rate").filter("vehicle_type IS NOT NULL"),
-                                  ["vehicle_type"], f"{rate}_rate", {"__typical": 0.5}, hot_rows)
-        days = days.join(typical, "vehicle_type", "left").withColumn(
-            f"{rate}_vs_type", F.try_divide(F.col(f"{rate}_rate"), F.col("__typical"))).drop("__typical")
+    # A type holds a large share of all days, so its medians are taken without bringing its days together.
+    long = days.filter(F.col("vehicle_type").isNotNull()).select(
+        "vehicle_type", F.explode(F.array(*[
+            F.struct(F.lit(r).alias("__rate"), F.col(f"{r}_rate").alias("__value")) for r in ("odometer", "track")
+        ])).alias("__s"),
+    ).select("vehicle_type", "__s.__rate", "__s.__value")
+    medians = group_quantiles(long, ["vehicle_type", "__rate"], "__value", {"__m": 0.5}, hot_rows=0)
+    typical = medians.groupBy("vehicle_type").agg(*[
+        F.max(F.when(F.col("__rate") == r, F.col("__m"))).alias(f"__{r}") for r in ("odometer", "track")
+    ])
+    days = days.join(typical, "vehicle_type", "left").withColumns({
+        f"{r}_vs_type": F.try_divide(F.col(f"{r}_rate"), F.col(f"__{r}")) for r in ("odometer", "track")
+    }).drop("__odometer", "__track")
     return days.filter(F.col("report_refuels") > 0)
 
 

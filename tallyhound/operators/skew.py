@@ -68,23 +68,23 @@ class OrderedGroups:
         for i, (expr, _) in enumerate(picks.values()):
             sliced = sliced.withColumn(f"__v{i}", expr)
         ws = Window.partitionBy(*self.keys, "__slice").orderBy(*self.order)
-        one = F.lit(1)
         marks = {n for _, n in picks.values()} | {reach, -reach}
         inner = sliced.select(
             "*",
             *[F.lag(f"__v{i}", n).over(ws).alias(name) for i, (name, (_, n)) in enumerate(picks.items())],
-            *[F.lag(one, n).over(ws).isNotNull().alias(f"__in{n}") for n in marks],
+            *[F.lag(F.lit(1), n).over(ws).isNotNull().alias(f"__in{n}") for n in marks],
         )
+        # The first and last ``reach`` rows of every slice see across edges. They form one group per key, a few
+        # rows per slice; all other rows stay grouped by their slice.
         at_edge = ~F.col(f"__in{reach}") | ~F.col(f"__in{-reach}")
-        # The first and last ``reach`` rows of every slice, a few rows per slice, are enough to see across edges.
-        fixed = inner.filter(at_edge)
-        for i, (name, (_, n)) in enumerate(picks.items()):
-            across = F.lag(f"__v{i}", n).over(w)
-            fixed = fixed.withColumn(f"__f{i}", F.when(F.col(f"__in{n}"), F.col(name)).otherwise(across))
-        fixed = fixed.select(
-            *df.columns, *[F.col(f"__f{i}").alias(name) for i, name in enumerate(picks)]
-        )
-        return inner.filter(~at_edge).select(*df.columns, *picks).unionByName(fixed)
+        inner = inner.withColumn("__part", F.when(~at_edge, F.col("__slice")))
+        across = Window.partitionBy(*self.keys, "__part").orderBy(*self.order)
+        fixed = [
+            F.when(F.col("__part").isNotNull() | F.col(f"__in{n}"), F.col(name))
+            .otherwise(F.lag(f"__v{i}", n).over(across)).alias(name)
+            for i, (name, (_, n)) in enumerate(picks.items())
+        ]
+        return inner.select(*df.columns, *fixed)
 
     def running(self, df: DataFrame, specs: dict[str, tuple[str, Column, bool]], hot: bool,
                 reverse: bool = False) -> DataFrame:
@@ -112,37 +112,33 @@ class OrderedGroups:
             ])
         base = self._sliced(base)
         ws = Window.partitionBy(*self.keys, "__slice").orderBy(*ordering)
-        inner = base.select("*", *[
-            over(kind, F.col(f"__v{i}"), ws.rowsBetween(start, 0 if inclusive else -1)).alias(name)
-            for i, (name, (kind, _, inclusive)) in enumerate(specs.items())
-        ])
-        # One row per slice, combined on the map side; a group has as many slices as days of history.
-        totals = []
-        for i, (kind, _, _) in enumerate(specs.values()):
-            value = F.col(f"__v{i}")
-            if kind == "last":
-                picked = F.when(value.isNotNull(), F.struct(*self.order, value.alias("__value")))
-                totals.append((F.min(picked) if reverse else F.max(picked)).getField("__value").alias(f"__t{i}"))
-            else:
-                totals.append({"sum": F.sum, "max": F.max}[kind](value).alias(f"__t{i}"))
-        by_slice = F.col("__slice").desc() if reverse else F.col("__slice").asc()
-        wt = Window.partitionBy(*self.keys).orderBy(by_slice).rowsBetween(start, -1)
-        carry = base.groupBy(*self.keys, "__slice").agg(*totals).select(
-            *self.keys, "__slice",
-            *[over(kind, F.col(f"__t{i}"), wt).alias(f"__c{i}") for i, (kind, _, _) in enumerate(specs.values())],
+        whole = ws.rowsBetween(start, Window.unboundedFollowing)
+        inner = base.select(
+            "*",
+            *[over(kind, F.col(f"__v{i}"), ws.rowsBetween(start, 0 if inclusive else -1)).alias(name)
+              for i, (name, (kind, _, inclusive)) in enumerate(specs.items())],
+            *[over(kind, F.col(f"__v{i}"), whole).alias(f"__t{i}") for i, (kind, _, _) in enumerate(specs.values())],
+            F.lag(F.lit(1)).over(ws).isNull().alias("__leads"),
         )
-        joined = inner.join(carry, [*self.keys, "__slice"])
+        # The row that leads each slice adds up the slices before it, then hands the sum to its slice.
+        inner = inner.withColumn("__part", F.when(~F.col("__leads"), F.col("__slice")))
+        before = Window.partitionBy(*self.keys, "__part").orderBy(*ordering).rowsBetween(start, -1)
+        inner = inner.select("*", *[
+            F.when(F.col("__leads"), over(kind, F.col(f"__t{i}"), before)).alias(f"__c{i}")
+            for i, (kind, _, _) in enumerate(specs.values())
+        ])
+        spread = Window.partitionBy(*self.keys, "__slice")
         out = []
         for i, (name, (kind, _, _)) in enumerate(specs.items()):
-            own, before = F.col(name), F.col(f"__c{i}")
+            own, carried = F.col(name), F.max(f"__c{i}").over(spread)
             value = {
-                "sum": F.when(own.isNull() & before.isNull(), F.lit(None))
-                .otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0))),
-                "max": F.greatest(own, before),
-                "last": F.coalesce(own, before),
+                "sum": F.when(own.isNull() & carried.isNull(), F.lit(None))
+                .otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(carried, F.lit(0))),
+                "max": F.greatest(own, carried),
+                "last": F.coalesce(own, carried),
             }[kind]
             out.append(value.alias(name))
-        return joined.select(*[F.col(c) for c in df.columns], *out)
+        return inner.select(*[F.col(c) for c in df.columns], *out)
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -164,66 +160,62 @@ def _bucket(value: Column) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
+def sliced_quantiles(values: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of ``__x`` per key without bringing a key's values together.
+
+    Values are counted per distinct value (before the shuffle), ranked inside narrow buckets, and the
+    buckets of a key, a few thousand at most, are added up to turn ranks inside a bucket into ranks overall.
+    """
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    counted = values.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", _bucket(F.col("__x")))
+    inside = Window.partitionBy(*keys, "__b").orderBy("__x")
+    ranked = counted.select(
+        "*",
+        F.coalesce(F.sum("__n").over(inside.rowsBetween(start, -1)), F.lit(0)).alias("__skip"),
+        F.sum("__n").over(inside.rowsBetween(start, end)).alias("__bn"),
+    ).withColumn("__leads", F.col("__skip") == 0)
+    ranked = ranked.withColumn("__part", F.when(~F.col("__leads"), F.col("__b")))
+    across = Window.partitionBy(*keys, "__part").orderBy("__x")
+    ranked = ranked.select(
+        "*",
+        F.when(F.col("__leads"), F.coalesce(F.sum("__bn").over(across.rowsBetween(start, -1)), F.lit(0))).alias("__c"),
+        F.when(F.col("__leads"), F.sum("__bn").over(across.rowsBetween(start, end))).alias("__t"),
+    )
+    bucket = Window.partitionBy(*keys, "__b")
+    ranked = ranked.select(
+        *keys, "__x", "__n", (F.col("__skip") + F.max("__c").over(bucket)).alias("__from"), F.max("__t").over(bucket).alias("__total")
+    )
+
+    def at(rank: Column) -> Column:
+        hit = (F.col("__from") <= rank) & (rank < F.col("__from") + F.col("__n"))
+        return F.max(F.when(hit, F.col("__x")))
+
+    picks = []
+    for i, q in enumerate(quantiles.values()):
+        position = (F.col("__total") - 1) * q
+        picks += [at(F.floor(position)).alias(f"__lo{i}"), at(F.ceil(position)).alias(f"__hi{i}"),
+                  F.max(position - F.floor(position)).alias(f"__f{i}")]
+    summed = ranked.groupBy(*keys).agg(*picks)
+    return summed.select(*keys, *[
+        (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}")).alias(name)
+        for i, name in enumerate(quantiles)
+    ])
+
+
 def group_quantiles(
     df: DataFrame, keys: list[str], column: str, quantiles: dict[str, float], hot_rows: int | None = None
 ) -> DataFrame:
     """Exact interpolated quantiles per key (the usual linear rule); nulls are left out.
 
-    Ordinary keys use the built-in percentile. For hot keys the values are first counted per distinct
-    value, then only the narrow bucket holding each wanted rank is sorted.
+    Ordinary keys use the built-in percentile, hot ones ``sliced_quantiles``; with ``hot_rows=0`` all keys
+    do, which suits few keys with much data each.
     """
     values = df.select(*keys, F.col(column).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
+    if hot_rows == 0:
+        return sliced_quantiles(values, keys, quantiles)
     cold, hot = split_by_heat(values, keys, hot_rows)
-    plain = cold.groupBy(*keys).agg(*[
-        F.percentile("__x", q).alias(name) for name, q in quantiles.items()
-    ])
-
-    counted = hot.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", _bucket(F.col("__x")))
-    buckets = counted.groupBy(*keys, "__b").agg(F.sum("__n").alias("__n"))
-    w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    ranges = buckets.select(
-        *keys, "__b", F.col("__n").alias("__bn"),
-        F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"),
-        F.sum("__n").over(whole).alias("__total"),
-    )
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()
-    ])
-    targets = (
-        ranges.withColumn("__want", F.explode(wanted))
-        .withColumn("__pos", (F.col("__total") - 1) * F.col("__want.q"))
-        .withColumn("__rank", F.explode(F.array_distinct(F.array(F.floor("__pos"), F.ceil("__pos")))))
-        .filter((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__bn")))
-    )
-    needed = targets.select(*keys, "__b").distinct()
-    inside = Window.partitionBy(*keys, "__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.join(needed, [*keys, "__b"], "left_semi").withColumn(
-        "__skip", F.coalesce(F.sum("__n").over(inside), F.lit(0))
-    )
-    found = targets.join(ranked.select(*keys, "__b", "__x", "__skip", F.col("__n").alias("__same")), [*keys, "__b"]).filter(
-        (F.col("__rank") - F.col("__before") >= F.col("__skip"))
-        & (F.col("__rank") - F.col("__before") < F.col("__skip") + F.col("__same"))
-    )
-    low, high = F.min(F.struct("__rank", "__x")), F.max(F.struct("__rank", "__x"))
-    picked = found.groupBy(*keys, F.col("__want.name").alias("__name")).agg(
-        low.alias("__lo"), high.alias("__hi"), F.first("__pos").alias("__pos")
-    ).withColumn(
-        "__x",
-        F.col("__lo.__x") + (F.col("__hi.__x") - F.col("__lo.__x")) * (F.col("__pos") - F.floor("__pos")),
-    )
-    wide = picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("__name") == name, F.col("__x"))).alias(name) for name in quantiles
-    ])
-    return plain.unionByName(wide)
-
-
-def with_group_median(df: DataFrame, keys: list[str], medians: dict[str, str], hot_rows: int | None = None) -> DataFrame:
-    """Attach the group median of columns to every row ({new name: column})."""
-    out = df
-    for name, column in medians.items():
-        out = out.join(group_quantiles(df, keys, column, {name: 0.5}, hot_rows), keys, "left")
-    return out
+    plain = cold.groupBy(*keys).agg(*[F.percentile("__x", q).alias(name) for name, q in quantiles.items()])
+    return plain.unionByName(sliced_quantiles(hot, keys, quantiles))
 
 
 def salted_count_distinct(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:

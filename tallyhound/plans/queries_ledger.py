@@ -10,9 +10,9 @@ from tallyhound.operators.rules import invoices
 from tallyhound.plans.registry import Inputs, query
 
 
-def plain(alerts: DataFrame) -> DataFrame:
+def plain(alerts: DataFrame, digits: int = 4) -> DataFrame:
     """Alerts with the measure rounded for comparison and without the spelled-out detail."""
-    return alerts.select("record_id", "anomaly_type", "rule", F.round("measure", 4).alias("measure"))
+    return alerts.select("record_id", "anomaly_type", "rule", F.round("measure", digits).alias("measure"))
 
 
 _GAP = """
