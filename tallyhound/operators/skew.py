@@ -3,8 +3,7 @@
 A window or a median partitioned by one key puts all rows of that key into one task. The helpers here
 split the input into the keys of ordinary size, which take the plain window, and the few keys above
 ``hot_rows``, which are worked on in slices of time and stitched together at the slice edges. Both
-paths give the same result. When no key is hot, adaptive execution sees the empty list of hot keys at
-run time and drops the second path.
+paths give the same result; without hot keys only the plain one is planned.
 """
 
 from __future__ import annotations
@@ -14,22 +13,34 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhound.operators.settle import settle
+
 HOT_ROWS = 5_000_000
 SLICE_SECONDS = 86_400
 
 
-def split_by_heat(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys). Rows with a null key count as ordinary.
+def _fits_below(df: DataFrame, rows: int) -> bool:
+    """Whether the planner's size estimate, at a byte per row, already rules out a key above ``rows``."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < rows
+    except AttributeError:
+        return False
+
+
+def split_by_heat(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys or None). Rows with a null key count as ordinary.
 
-    The list of hot keys can be broadcast: it holds at most ``rows / hot_rows`` keys, whatever the data.
+    The keys are counted first, reading the key columns only. The list of hot keys can be broadcast: it
+    holds at most ``rows / hot_rows`` keys, whatever the data. Without hot keys the plan stays as it was.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    heat = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > hot_rows)
-        .select(*keys)
+    if _fits_below(df, hot_rows):
+        return df, None
+    heat = settle(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot_rows).select(*keys)
     )
+    if heat.isEmpty():
+        return df, None
     heat = F.broadcast(heat)
     return df.join(heat, keys, "left_anti"), df.join(heat, keys, "left_semi")
 
@@ -39,7 +50,7 @@ def per_heat(
 ) -> DataFrame:
     """Apply ``body(rows, hot)`` to the ordinary and to the hot keys and put both results together."""
     cold, hot = split_by_heat(df, keys, hot_rows)
-    return body(cold, False).unionByName(body(hot, True))
+    return body(cold, False) if hot is None else body(cold, False).unionByName(body(hot, True))
 
 
 class OrderedGroups:
@@ -215,7 +226,7 @@ def group_quantiles(
         return sliced_quantiles(values, keys, quantiles)
     cold, hot = split_by_heat(values, keys, hot_rows)
     plain = cold.groupBy(*keys).agg(*[F.percentile("__x", q).alias(name) for name, q in quantiles.items()])
-    return plain.unionByName(sliced_quantiles(hot, keys, quantiles))
+    return plain if hot is None else plain.unionByName(sliced_quantiles(hot, keys, quantiles))
 
 
 def salted_count_distinct(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
