@@ -18,8 +18,9 @@ def normalise_id(value: Column) -> Column:
 
 
 def clean_text(value: Column) -> Column:
-    """Trimmed text; blank becomes null."""
-    return F.nullif(F.trim(value.cast("string")), F.lit(""))
+    """Trimmed text without the ``.0`` of a number read as a decimal; blank becomes null."""
+    text = F.regexp_replace(F.trim(value.cast("string")), r"\.0$", "")
+    return F.when(~text.isin("", "nan"), text)
 
 
 def as_number(value: Column) -> Column:
