@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from tallyhound.functions.text import normalise_id
 from tallyhound.operators.linkage import is_personal, lookup, refuel_links
 from tallyhound.operators.prepare import OFF_NETWORK
 from tallyhound.operators.rangejoin import bucketed_range_join
+from tallyhound.operators.runs import over_groups
 from tallyhound.operators.sequence import without
 from tallyhound.operators.settle import settle
 from tallyhound.operators.skew import OrderedGroups, per_heat
@@ -152,23 +152,20 @@ def optimal_pairs(refuels: DataFrame, requests: DataFrame, hot_rows: int | None
         & (pair_cost(minutes, F.col("a.litres"), F.col("b.litres"), F.col("b.voided")) < UNMATCHED_COST)
     ).select(F.col("a.id").alias("refuel_id"), F.col("b.id").alias("request_id"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["instant", "id"])
-        a, b = pdf[pdf["kind"] == "refuel"], pdf[pdf["kind"] == "request"]
-        if a.empty or b.empty:
-            return pd.DataFrame({"refuel_id": [], "request_id": []}, dtype=object)
-        gap = (a["instant"].to_numpy()[:, None] - b["instant"].to_numpy()[None, :]) / np.timedelta64(1, "m")
-        cost = pair_cost(gap, a["litres"].to_numpy()[:, None], b["litres"].to_numpy()[None, :],
-                         b["voided"].to_numpy()[None, :].astype(float))
+    def solve(group: dict[str, np.ndarray]) -> list[tuple]:
+        is_refuel = group["kind"] == "refuel"
+        if is_refuel.all() or not is_refuel.any():
+            return []
+        a, b = ({c: v[side] for c, v in group.items()} for side in (is_refuel, ~is_refuel))
+        gap = (a["at"][:, None] - b["at"][None, :]) / 60e6
+        cost = pair_cost(gap, a["litres"][:, None], b["litres"][None, :], b["voided"][None, :].astype(float))
         cost[(gap > MINUTES_BEFORE) | (gap < -MINUTES_AFTER)] = np.inf
-        taken = assign(cost)
-        hit = taken >= 0
-        return pd.DataFrame({"refuel_id": a["id"].to_numpy()[hit], "request_id": b["id"].to_numpy()[taken[hit]]})
+        return [(a["id"][i], b["id"][j]) for i, j in enumerate(assign(cost)) if j >= 0]
 
     in_pair = F.col("heads_pair") | F.col("ends_pair")
-    columns = ["match_key", "component", "kind", "id", "instant", "litres", "voided"]
-    solved = rows.filter(~F.col("alone") & ~in_pair).select(*columns).groupBy("match_key", "component").applyInPandas(
-        solve, "refuel_id string, request_id string")
+    many = rows.filter(~F.col("alone") & ~in_pair).select(
+        "match_key", "component", "kind", "id", F.unix_micros("instant").alias("at"), "litres", "voided")
+    solved = over_groups(many, ["match_key", "component"], ["at", "id"], solve, "refuel_id string, request_id string")
     return single.unionByName(solved)
 
 
@@ -222,25 +219,22 @@ def greedy_day_pairs(refuels: DataFrame, requests: DataFrame, excluded: DataFram
     single = groups.filter((F.col("n") == 1) & (F.col("m") == 1)).select(
         F.col("a").alias("refuel_id"), F.col("b").alias("request_id"))
 
-    def take_nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        a, b = pdf[pdf["kind"] == "refuel"], pdf[pdf["kind"] == "request"]
-        at, ids = a["instant"].to_numpy().astype("int64"), a["id"].to_numpy()
-        free = np.ones(len(a), dtype=bool)
+    def take_nearest(group: dict[str, np.ndarray]) -> list[tuple]:
+        is_refuel = group["kind"] == "refuel"
+        at, ids = group["at"][is_refuel], group["id"][is_refuel]
+        free = np.ones(len(at), dtype=bool)
         out = []
-        for request, when in zip(b["id"].to_numpy(), b["instant"].to_numpy().astype("int64")):
+        for request, when in zip(group["id"][~is_refuel], group["at"][~is_refuel]):
             if not free.any():
                 break
-            gap = np.where(free, np.abs(at - when), np.iinfo("int64").max)
-            i = int(np.argmin(gap))
+            i = int(np.argmin(np.where(free, np.abs(at - when), np.iinfo("int64").max)))
             free[i] = False
             out.append((ids[i], request))
-        return pd.DataFrame(out, columns=["refuel_id", "request_id"])
+        return out
 
     several = groups.filter((F.col("n") > 1) | (F.col("m") > 1)).select("plate", "day")
-    solved = rows.join(several, ["plate", "day"], "left_semi").groupBy("plate", "day").applyInPandas(
-        take_nearest, "refuel_id string, request_id string")
-    return single.unionByName(solved)
+    many = rows.join(several, ["plate", "day"], "left_semi").select("plate", "day", "kind", "id", F.unix_micros("instant").alias("at"))
+    return single.unionByName(over_groups(many, ["plate", "day"], ["id"], take_nearest, "refuel_id string, request_id string"))
 
 
 def matched_refuels(refuels: DataFrame, requests: DataFrame, pairs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:

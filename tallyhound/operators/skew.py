@@ -20,9 +20,13 @@ SLICE_SECONDS = 86_400
 
 
 def _fits_below(df: DataFrame, rows: int) -> bool:
-    """Whether the planner's size estimate, at a byte per row, already rules out a key above ``rows``."""
+    """Whether all inputs together are under ``rows`` bytes, so that no key can have more than ``rows`` rows.
+
+    Only spares the count on small inputs; a join that multiplies rows makes a hot key slow, never wrong.
+    """
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < rows
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) < rows
     except AttributeError:
         return False
 
