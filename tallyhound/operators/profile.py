@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhound.functions.bands import MINIMUM_GROUP, cardinality_band, count_band, share, two_digits
-from tallyhound.functions.dates import parse_date_text
 from tallyhound.functions.text import fold_accents, normalise_id, value_shape
 
 # Fixed values.
@@ -373,8 +372,3 @@ def compare_relations(real: DataFrame, other: DataFrame, pairs: DataFrame) -> Da
         F.when(mapped & (F.abs(F.col("__exact") - F.col("exact_pct")) >= LINK_POINTS), F.struct(
             F.lit("media").alias("severity"), F.lit("cobertura de la relación").alias("aspect")))))
     return joined.select("origin", "target", "exact_pct", "normalised_pct", F.inline(kinds))
-
-
-def spelled_dates(df: DataFrame, column: str) -> DataFrame:
-    """Share of a text column that reads as a date in any of the known spellings."""
-    return df.agg(share(F.count(parse_date_text(F.col(column))), F.count(column)).alias("readable_pct"))

@@ -231,8 +231,3 @@ def group_quantiles(
     cold, hot = split_by_heat(values, keys, hot_rows)
     plain = cold.groupBy(*keys).agg(*[F.percentile("__x", q).alias(name) for name, q in quantiles.items()])
     return plain if hot is None else plain.unionByName(sliced_quantiles(hot, keys, quantiles))
-
-
-def salted_count_distinct(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    """Distinct values per key in two steps, so one hot key is spread over its values."""
-    return df.select(*keys, column).distinct().groupBy(*keys).agg(F.count(column).alias(name))

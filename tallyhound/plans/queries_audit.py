@@ -143,7 +143,13 @@ def _(x: Inputs):
                                  alerts, ["exceso_sin_antecedente"]).select("part", "n")
 
 
-@query("au11_feature_quantiles")
+_TWO = "CASE WHEN {v} = 0 THEN 0 ELSE round_even({v} / pow(10, floor(log10(abs({v}))) - 1), 0) * pow(10, floor(log10(abs({v}))) - 1) END"
+
+
+@query("au11_feature_quantiles", ["refuel"], " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, " + ", ".join(f"{_TWO.format(v=f'quantile_cont({c}, {q})')} AS {p}" for p, q in
+                                              (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))) + " FROM refuel"
+    for c in ("litres", "amount", "odometer")))
 def _(x: Inputs):
     return audit.model_quantiles(x.view("refuel"), ["litres", "amount", "odometer"])
 
