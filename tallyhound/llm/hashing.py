@@ -91,7 +91,7 @@ class Words:
     def whole(self, i: int) -> np.uint64:
         """Hash of all words of text ``i``, different from that of any n-gram of another length."""
         w = self.hash[self.first[i] : self.first[i + 1]]
-        return mix((w * _STEP[: len(w)]).sum(dtype=np.uint64)[None] + np.uint64(len(w)) * _STEP[63])[0]
+        return mix((w * _STEP[: len(w)]).sum(dtype=np.uint64, keepdims=True) + _STEP[63:] * np.uint64([len(w)]))[0]
 
 
 def slabs(batch: pa.RecordBatch, text: str, most: int = SLAB) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -117,5 +117,8 @@ def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
 
 
 def set_id(values: np.ndarray) -> int:
-    """Signed 64-bit id of a set of hashes."""
-    return int((mix(values ^ _STEP[62]).sum(dtype=np.uint64) * _STEP[61] + np.uint64(len(values)) * _STEP[60]).astype(np.int64)) if len(values) else 0
+    """Signed 64-bit id of a set of hashes; 0 for the empty set."""
+    if not len(values):
+        return 0
+    spread = mix(values ^ _STEP[62]).sum(dtype=np.uint64, keepdims=True) * _STEP[61] + _STEP[60] * np.uint64([len(values)])
+    return int(spread.view(np.int64)[0])

@@ -66,3 +66,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyhound.llm.packing import pack, tokenised_pieces
 
     return pack(tokenised_pieces(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False))
+
+
+@_query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    from tallyhound.llm.ngram_jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
