@@ -74,3 +74,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyhound.llm.ngram_jaccard import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    from tallyhound.llm.embedding_forest import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
