@@ -82,3 +82,11 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyhound.llm.embedding_forest import near_duplicate_vectors
 
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from tallyhound.llm.html_main import main_text
+
+    return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
