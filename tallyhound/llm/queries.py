@@ -90,3 +90,11 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyhound.llm.html_main import main_text
 
     return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@_query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's score and decision for all documents; it sees no labels."""
+    from tallyhound.llm.quality_classifier import classify
+
+    return classify(_table(spark, sf_dir, "documents")).select("doc_id", "weak_label", "score", "kept")
