@@ -18,6 +18,7 @@ SAMPLE = 20_000  # documents, chosen by hash, to which the scorer is fitted
 FEATURES = 1 << 14
 ROUNDS = 50
 EPOCHS = 8
+MEASURE_WEIGHT = 3.0  # of a binned measure; all words of a text together have its length's square root
 KEEP = 0.5  # posterior from which the scorer keeps a document
 LEAST_WORDS = 1  # a text without words gets no good votes
 
@@ -26,7 +27,7 @@ LABELLERS = [
     ("symbols", "symbol_share", 0.06, 0.02),
     ("symbol_words", "symbol_words", 0.25, 0.05),
     ("capitals", "upper_words", 0.40, 0.15),
-    ("repeats", "repeated", 0.30, 0.10),
+    ("repeats", "repeated", 0.60, 0.30),
     ("doubled", "doubled", 0.25, 0.05),
     ("bars", "bar_words", 0.15, 0.02),
     ("marks", "mark_words", 0.30, 0.05),
@@ -137,7 +138,7 @@ def _features(values: dict[str, np.ndarray], words: Words) -> tuple[np.ndarray,
         level = np.minimum(9, (np.sqrt(np.maximum(values[name], 0)) * 10).astype(np.int64))
         rows.append(np.arange(n))
         columns.append(FEATURES + k * 10 + level)
-        weights.append(np.ones(n))
+        weights.append(np.full(n, MEASURE_WEIGHT))
     return np.concatenate(rows), np.concatenate(columns), np.concatenate(weights)
 
 

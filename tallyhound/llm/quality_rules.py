@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tallyhound.llm.hashing import Words, slabs
 
 BUCKETS = 1 << 16
-PRIOR = 0.2  # of the target's size: how much of the raw shares is mixed into the target's
-THRESHOLD = -0.5  # mean log ratio per word pair below which a text is rejected
+PRIOR = 0.2  # of the target's size, plus one a bucket: so much of the raw shares is mixed into the target's
+THRESHOLD = -0.1  # mean log ratio per word pair below which a text is rejected
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of the words
 REPEAT_WINDOW = 8
@@ -59,7 +59,8 @@ def log_ratios(docs: DataFrame, trusted: str, text: str = "text") -> np.ndarray:
         return np.zeros(BUCKETS, np.float32)
     # The raw shares are the prior of the target's, so that rare words say little
     shares = raw / raw.sum()
-    smoothed = (target / target.sum() + PRIOR * shares) / (1 + PRIOR)
+    added = PRIOR * target.sum() + BUCKETS
+    smoothed = (target + added * shares) / (target.sum() + added)
     return np.log(np.where(raw > 0, smoothed / np.where(raw > 0, shares, 1), 1)).astype(np.float32)
 
 
