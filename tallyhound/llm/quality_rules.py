@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyhound.llm.hashing import Words, slabs
 
 BUCKETS = 1 << 16
-PRIOR = 0.2  # of the target's size, plus one a bucket: so much of the raw shares is mixed into the target's
+PRIOR = 8.0  # occurrences, as the raw shares have them, added to every bucket on both sides
 THRESHOLD = -0.1  # mean log ratio per word pair below which a text is rejected
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of the words
@@ -57,11 +57,8 @@ def log_ratios(docs: DataFrame, trusted: str, text: str = "text") -> np.ndarray:
     raw[found["bucket"]], target[found["bucket"]] = found["raw"], found["target"]
     if not target.sum():
         return np.zeros(BUCKETS, np.float32)
-    # The raw shares are the prior of the target's, so that rare words say little
-    shares = raw / raw.sum()
-    added = PRIOR * target.sum() + BUCKETS
-    smoothed = (target + added * shares) / (target.sum() + added)
-    return np.log(np.where(raw > 0, smoothed / np.where(raw > 0, shares, 1), 1)).astype(np.float32)
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + PRIOR) / (expected + PRIOR)).astype(np.float32)
 
 
 def _repeated(words: Words) -> np.ndarray:
