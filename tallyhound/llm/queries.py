@@ -98,3 +98,19 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyhound.llm.quality_classifier import classify
 
     return classify(_table(spark, sf_dir, "documents")).select("doc_id", "weak_label", "score", "kept")
+
+
+@_query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later lines of recurring templates."""
+    from tallyhound.llm.line_dedup import drop_recurring_lines
+
+    return drop_recurring_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "dropped_lines")
+
+
+@_query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that repeat one of an earlier document, with the first occurrence."""
+    from tallyhound.llm.substring_dedup import repeated_paragraphs
+
+    return repeated_paragraphs(_table(spark, sf_dir, "documents")).drop("row")
