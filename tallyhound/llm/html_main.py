@@ -53,7 +53,7 @@ def page_lines(page: str) -> list[Line]:
     """
     lines: list[Line] = []
     parts: list[str] = []
-    skip: list[list] = []  # chrome element that is open: its name, how often
+    skip: list[list] = []  # chrome elements that are open: name, how often, whether an article's header, whether inline
     inside: list[str] = []  # open article and main elements
     heading = False
     at = 0
@@ -69,16 +69,18 @@ def page_lines(page: str) -> list[Line]:
 
     while True:
         found = _TOKEN.search(page, at)
-        parts.append(page[at : found.start()] if found else page[at:])
+        inline = bool(skip) and skip[0][3]
+        if not inline:  # what stands in an inline element does not break the block around it
+            parts.append(page[at : found.start()] if found else page[at:])
         if not found:
             break
         at = found.end()
         closing, name, attributes = found[1], (found[2] or "").lower(), found[3] or ""
         if not name:
             continue
-        if name in _SPACE:
+        if name in _SPACE and not inline:
             parts.append(" ")
-        if name in _BLOCK or name in _CHROME:
+        if name in _BLOCK and not inline:
             end_block()
         if closing:
             if name in _HEADING:
@@ -92,10 +94,9 @@ def page_lines(page: str) -> list[Line]:
             continue
         if name in _RAW:
             stop = re.compile(rf"</{name}\b", re.I).search(page, at)
-            at = stop.start() if stop else len(page)
             if not stop:
                 break
-            skip.append([name, 1, False])
+            at = stop.start()
             continue
         if name in _VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
@@ -104,7 +105,7 @@ def page_lines(page: str) -> list[Line]:
         if skip and skip[-1][0] == name:
             skip[-1][1] += 1
         elif (not skip or skip[-1][2]) and _chrome(name, attributes):
-            skip.append([name, 1, name == "header" and bool(inside)])
+            skip.append([name, 1, name == "header" and bool(inside), name not in _BLOCK])
         elif not skip and (name in ("article", "main") or re.search(r"""\brole\s*=\s*["']?main\b""", attributes)):
             inside.append(name)
     end_block()

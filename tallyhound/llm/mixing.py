@@ -144,7 +144,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     """
     draws, sized = mix_sources(docs, weights, share, shards, seed, text, source, key)
     where = F.min(F.struct("block", "shard", "place"))
-    taken = draws.groupBy("__row", "pass").agg(F.max("to_word").alias("__words"), where.alias("__where"))
+    taken = draws.groupBy("__row", F.col("pass").alias("__pass")).agg(F.max("to_word").alias("__words"), where.alias("__where"))
     # Rows that share all of rank and source are told apart by their number; which of them gets which does not matter
     numbered = sized.select(
         "__row", F.col("size").alias("__size"), F.col("__rank").alias("__r"), F.col(source).alias("__source"),
@@ -157,4 +157,4 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     words = F.regexp_extract_all(text, F.lit(rf"{_WORD}[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(words, F.lit(1), F.col("__words").cast("int")), "")).otherwise(F.col(text))
     rest = [F.col(c) for c in docs.columns if c not in (text, "pass", "shard", "place")]
-    return held.join(wanted, same).select(*rest, cut.alias(text), "pass", F.col("__where.shard").alias("shard"), F.col("__where.place").alias("place"))
+    return held.join(wanted, same).select(*rest, cut.alias(text), F.col("__pass").alias("pass"), F.col("__where.shard").alias("shard"), F.col("__where.place").alias("place"))
