@@ -23,9 +23,13 @@ def clean_text(value: Column) -> Column:
     return F.when(~text.isin("", "nan"), text)
 
 
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def as_number(value: Column) -> Column:
-    """Double, or null when the text is not a number."""
-    return F.trim(value.cast("string")).try_cast("double")
+    """Double, or null when the text is not a number in digits; ``12F`` and ``NaN`` are none."""
+    text = F.trim(value.cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def digits_only(value: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhound.functions.bands import MINIMUM_GROUP, cardinality_band, count_band, share, two_digits
-from tallyhound.functions.text import fold_accents, normalise_id, value_shape
+from tallyhound.functions.text import as_number, fold_accents, normalise_id, value_shape
 
 # Fixed values.
 OTHER = "OTRA_CATEGORIA_SINTETIZABLE"
@@ -73,7 +73,7 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     described = long.select(
         "column", F.when(F.length(text) > _LONG, F.sha2(text, 256)).otherwise(text).alias("value"),
         value_shape(text).alias("shape"), F.length(text).alias("chars"),
-        F.replace(text, F.lit(","), F.lit(".")).try_cast("double").alias("number"), spaces.alias("spaces"),
+        as_number(F.replace(text, F.lit(","), F.lit("."))).alias("number"), spaces.alias("spaces"),
         F.upper(F.trim(text)).isin(TEXTUAL_EMPTY).alias("textual_empty"),
         (text.rlike("[a-z]") & text.rlike("[A-Z]")).alias("mixed_case"),
     )
@@ -295,12 +295,13 @@ def suggest_pairing(left: dict[str, list[str]], right: dict[str, list[str]], min
 def pair_columns(left: DataFrame, right: DataFrame, minimum: float = 0.8) -> DataFrame:
     """Columns of two overviews paired by equal name, else by the closest name; ``column, other``.
 
-    Closeness is one minus the edit distance over the longer name. Names are few, so pairs of names are
-    compared within a join on their first letter.
+    Closeness is one minus the edit distance over the longer name. All names are compared whose
+    lengths allow the minimum.
     """
     tidy = lambda c: F.lower(F.regexp_replace(fold_accents(c), "[^A-Za-z0-9]+", " "))
-    a = left.select(F.col("column"), tidy(F.col("column")).alias("__a")).withColumn("__k", F.substring("__a", 1, 1))
-    b = right.select(F.col("column").alias("other"), tidy(F.col("column")).alias("__b")).withColumn("__k", F.substring("__b", 1, 1))
+    a = left.select(F.col("column"), tidy(F.col("column")).alias("__a")).withColumn("__n", F.length("__a"))
+    a = a.withColumn("__k", F.explode(F.sequence(F.ceil(F.col("__n") * minimum).cast("int"), F.floor(F.col("__n") / minimum).cast("int"))))
+    b = right.select(F.col("column").alias("other"), tidy(F.col("column")).alias("__b")).withColumn("__k", F.length("__b"))
     near = 1 - F.levenshtein("__a", "__b") / F.greatest(F.length("__a"), F.length("__b"))
     pairs = a.join(b, "__k").withColumn("__near", near).filter(F.col("__near") >= minimum)
     return pairs.groupBy("column").agg(F.max_by("other", F.struct("__near", "other")).alias("other"))

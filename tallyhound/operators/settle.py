@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import logging
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_log = logging.getLogger(__name__)
+OWN_FOLDER = "/tmp/checkpoints"  # of local sessions that name none
 
 
 def _has_folder(spark: SparkSession) -> bool:
@@ -20,7 +18,7 @@ def _has_folder(spark: SparkSession) -> bool:
         context.setCheckpointDir(named)
         return True
     if context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+        context.setCheckpointDir(OWN_FOLDER)
         return True
     return False
 
@@ -28,10 +26,8 @@ def _has_folder(spark: SparkSession) -> bool:
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and write it to the checkpoint folder, so the plans that share it start from there.
 
-    On a cluster the folder is the shared one of ``spark.checkpoint.dir``. Without it the plan is left as
-    it is: right, only computed again by each plan.
+    On a cluster the folder is the shared one of ``spark.checkpoint.dir``; without that setting this is an error.
     """
     if not _has_folder(df.sparkSession):
-        _log.warning("spark.checkpoint.dir is not set: shared intermediates are computed again")
-        return df
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return df.checkpoint(eager=True)

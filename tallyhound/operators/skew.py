@@ -19,33 +19,18 @@ HOT_ROWS = 5_000_000
 SLICE_SECONDS = 86_400
 
 
-def _fits_below(df: DataFrame, rows: int) -> bool:
-    """Whether all inputs together are under ``rows`` bytes, so that no key can have more than ``rows`` rows.
-
-    Only spares the count on small inputs; a join that multiplies rows makes a hot key slow, never wrong.
-    """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) < rows
-    except AttributeError:
-        return False
-
-
 def split_by_heat(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of hot keys or None). Rows with a null key count as ordinary.
 
-    The keys are counted first, reading the key columns only. The list of hot keys can be broadcast: it
-    holds at most ``rows / hot_rows`` keys, whatever the data. Without hot keys the plan stays as it was.
+    The keys are counted first, reading the key columns only, whatever the size of the input. Without hot keys
+    the plan stays as it was.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    if _fits_below(df, hot_rows):
-        return df, None
     heat = settle(
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot_rows).select(*keys)
     )
     if heat.isEmpty():
         return df, None
-    heat = F.broadcast(heat)
     return df.join(heat, keys, "left_anti"), df.join(heat, keys, "left_semi")
 
 

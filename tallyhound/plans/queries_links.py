@@ -112,15 +112,9 @@ def _(x: Inputs):
 
 @query("r03c_unlinked_request", ["request", "vehicle"], f"""WITH {LINK_CTES}
 SELECT {alert_sql('DOMINIO_INVALIDO', 'pedido_sin_movil_identificado')} FROM ({link_sql('request')}) q
-WHERE link_tier IS NULL AND NOT EXISTS (SELECT 1 FROM vehicle v WHERE v.vehicle_id = q.vehicle_id AND v.vehicle_id % 2 = 0)""")
-def _(x: Inputs):
-    # Only even vehicles count as known by id here, so that the rule has something to find.
-    vehicles = x.view("vehicle")
-    linked = linkage.cumulative_links(x.view("request"), "plate", vehicles)
-    linked = linkage.with_membership(linked, "vehicle_id", vehicles.filter("vehicle_id % 2 = 0"), "vehicle_id", "own")
-    rest = linked.filter(~F.col("link_engine") & ~F.col("own"))
-    return rest.select(F.col("id").alias("record_id"), F.lit("DOMINIO_INVALIDO").alias("anomaly_type"),
-                       F.lit("pedido_sin_movil_identificado").alias("rule"), F.lit(None).cast("double").alias("measure"))
+WHERE link_tier IS NULL AND NOT EXISTS (SELECT 1 FROM vehicle v WHERE v.vehicle_id = q.vehicle_id)""")
+def _(x: Inputs):
+    return plain(links.unlinked_request(x.view("request"), x.view("vehicle")))
 
 
 @query("r03c_unlinked_device", ["device", "vehicle"], f"""WITH {LINK_CTES}

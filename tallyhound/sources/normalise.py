@@ -52,7 +52,8 @@ def vehicles_of(raw: DataFrame) -> DataFrame:
     capacity = as_number(F.col("CapacidadTanque"))
     out = raw.select(
         clean_text(F.col("Matricula")).alias("vehicle_id"), clean_text(F.col("Dominio")).alias("plate"),
-        F.upper(F.trim("Estado")).alias("state"), _optional(raw, "TipoVehiculo").alias("vehicle_type"),
+        F.upper(F.trim("Estado")).alias("state"), F.lit(None).cast("date").alias("state_date"),
+        _optional(raw, "TipoVehiculo").alias("vehicle_type"),
         _optional(raw, "TipoCombustible").alias("fuel"), F.when(capacity > 0, capacity).alias("tank_capacity"),
         clean_text(F.col("NumeroTarjeta")).alias("card"), as_number(_optional(raw, "NumeroContrato")).cast("long").alias("contract"),
         clean_text(_optional(raw, "NumeroMotor")).alias("engine_number"),

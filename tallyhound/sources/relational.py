@@ -77,9 +77,15 @@ def load_until(tables: dict[str, DataFrame], date: str) -> dict[str, DataFrame]:
     return out
 
 
-def upsert(target: DataFrame | None, rows: DataFrame, key: list[str]) -> DataFrame:
-    """The target with ``rows`` put in by key; a later row of a key replaces the one there."""
-    fresh = rows.dropDuplicates(key)
+def upsert(target: DataFrame | None, rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """The target with ``rows`` put in by key; a later row of a key replaces the one there.
+
+    ``order`` tells which of several new rows of a key is the last, nulls before all; without it their content
+    decides, so the result does not depend on how the rows are dealt out.
+    """
+    rest = [c for c in rows.columns if c not in key]
+    last = F.max(F.struct(*[F.col(c) for c in order or []], *rest)).alias("__last")
+    fresh = rows.groupBy(*key).agg(last).select(*[F.col(c) if c in key else F.col(f"__last.{c}") for c in rows.columns]) if rest else rows.distinct()
     return fresh if target is None else target.join(fresh.select(*key), key, "left_anti").unionByName(fresh)
 
 
