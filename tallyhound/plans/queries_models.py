@@ -11,7 +11,7 @@ from tallyhound.plans.queries_sources import data
 from tallyhound.plans.registry import Inputs, query
 from tallyhound.plans.run import run_rules
 
-_DIMS = [f"e{i}" for i in range(16)]
+_DIMS = [f"e{i}" for i in range(64)]
 
 
 def embedded(x: Inputs):
