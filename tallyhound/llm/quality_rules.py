@@ -30,28 +30,40 @@ def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([words.doc, words.doc[at]]), hashed.astype(np.int64)
 
 
-def _count_buckets(text: str, trusted: str):
+def _bucket_rows(text: str, key: str):
+    """Per text its key and its buckets, two bytes each; less than the text, should a join shuffle it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             for rows, data, offsets in slabs(batch, text):
                 doc, bucket = _buckets(Words(data, offsets, lower=True))
-                mark = rows.column(trusted).fill_null(False).to_numpy(zero_copy_only=False)
-                counts[0] += np.bincount(bucket, minlength=BUCKETS)
-                counts[1] += np.bincount(bucket[mark[doc]], minlength=BUCKETS)
+                bucket = bucket[np.argsort(doc, kind="stable")].astype("<u2")
+                cut = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=rows.num_rows))])
+                yield pa.RecordBatch.from_arrays([rows.column(key), pa.array([bucket[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], [key, "buckets"])
+
+    return run
+
+
+def _count_buckets(trusted: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            held, marks = batch.column("buckets").to_pylist(), batch.column(trusted).to_pylist()
+            for side, some in enumerate((held, [h for h, m in zip(held, marks, strict=True) if m])):
+                counts[side] += np.bincount(np.frombuffer(b"".join(some), "<u2"), minlength=BUCKETS)
         at = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], ["bucket", "raw", "target"])
 
     return run
 
 
-def log_ratios(docs: DataFrame, trusted: str, text: str = "text") -> np.ndarray:
+def log_ratios(rows: DataFrame, trusted: str) -> np.ndarray:
     """Per bucket the log of its share in the trusted texts over its share in all texts.
 
     Every text is counted. The tasks add up in arrays of BUCKETS numbers; that many sums reach the driver,
     whatever the input. Without trusted texts all ratios are 0.
     """
-    counted = docs.select(text, trusted).mapInArrow(_count_buckets(text, trusted), "bucket long, raw long, target long")
+    counted = rows.select("buckets", trusted).mapInArrow(_count_buckets(trusted), "bucket long, raw long, target long")
     found = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[found["bucket"]], target[found["bucket"]] = found["raw"], found["target"]
@@ -133,7 +145,8 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", key: str
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"]
     docs = docs.drop(*[c for c in added if c != text])
     ids = trusted_ids.select(F.col(key).alias("__id")).filter("__id is not null").distinct().withColumn("__in", F.lit(True))
-    marked = docs.select(key, text).join(ids, F.col(key) == F.col("__id"), "left").select(text, F.coalesce("__in", F.lit(False)).alias("__in"))
-    ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(marked, "__in", text))
+    rows = docs.select(key, text).mapInArrow(_bucket_rows(text, key), f"`{key}` {docs.schema[key].dataType.simpleString()}, buckets binary")
+    marked = rows.join(ids, F.col(key) == F.col("__id"), "left").select("buckets", F.coalesce("__in", F.lit(False)).alias("__in"))
+    ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(marked, "__in"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], _COUNTS, "llr double, base_failed boolean, kept boolean"])
     return docs.mapInArrow(_judge(text, docs.columns, ratio, threshold), schema)
