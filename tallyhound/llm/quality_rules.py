@@ -146,7 +146,8 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", key: str
     docs = docs.drop(*[c for c in added if c != text])
     ids = trusted_ids.select(F.col(key).alias("__id")).filter("__id is not null").distinct().withColumn("__in", F.lit(True))
     rows = docs.select(key, text).mapInArrow(_bucket_rows(text, key), f"`{key}` {docs.schema[key].dataType.simpleString()}, buckets binary")
-    marked = rows.join(ids, F.col(key) == F.col("__id"), "left").select("buckets", F.coalesce("__in", F.lit(False)).alias("__in"))
+    # Merged at every size: whether the ids happen to be few enough to be broadcast must not decide what is shuffled
+    marked = rows.join(ids.hint("merge"), F.col(key) == F.col("__id"), "left").select("buckets", F.coalesce("__in", F.lit(False)).alias("__in"))
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(marked, "__in"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], _COUNTS, "llr double, base_failed boolean, kept boolean"])
     return docs.mapInArrow(_judge(text, docs.columns, ratio, threshold), schema)
