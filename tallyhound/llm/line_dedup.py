@@ -15,6 +15,7 @@ from tallyhound.llm.common import written
 DEPTH = 3  # leading tokens that lead to a leaf, below the number of tokens
 LEAST_TOKENS = 6  # shorter lines are no templates
 LEAST_DOCUMENTS = 10  # different texts in which a template recurs
+SALTS = 8  # tasks over which the lines of one template are dealt when its first line is looked up
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _VARIABLE = re.compile(r"\d|@|://")
 FIELD = "<*>"
@@ -59,7 +60,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", de
 
     A template recurs if it stands in at least ``least_documents`` different texts. Its first line, by smallest
     key (null last) and line number, is kept. Texts are counted per template in two steps, so that a template
-    with a third of all lines is combined before it meets anywhere.
+    with a third of all lines is combined before it meets anywhere; its lines then meet the first one in SALTS parts.
     """
     marked = docs.select(key, text, F.xxhash64(key, text).alias("__row"), F.xxhash64(text).alias("__text"))
     kind = docs.schema[key].dataType.simpleString()
@@ -67,7 +68,9 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", de
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "line")
     per_text = lines.groupBy("template", "print").agg(F.min(place).alias("first"))
     recurring = per_text.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).filter(F.col("texts") >= least_documents)
-    later = lines.withColumn("place", place).join(recurring.select(F.col("template").alias("t"), "first"), F.col("template") == F.col("t"))
+    firsts = recurring.select(F.col("template").alias("t"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("u"))
+    salted = lines.withColumns({"place": place, "salt": F.pmod("row", F.lit(SALTS)).cast("int")})
+    later = salted.join(firsts.hint("merge"), (F.col("template") == F.col("t")) & (F.col("salt") == F.col("u")))
     return later.filter(~F.col("place").eqNullSafe(F.col("first"))).select("row", "line").distinct()
 
 
@@ -80,7 +83,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id
     docs = docs.drop(*[c for c in ("dropped_lines",) if c not in (text, key)])
     gone = recurring_lines(docs, text, key, depth, least_tokens, least_documents)
     gone = written(gone.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("__gone")))
-    marked = docs.withColumn("__row", F.xxhash64(key, text)).join(gone.withColumnRenamed("row", "__r"), F.col("__row") == F.col("__r"), "left")
+    marked = docs.withColumn("__row", F.xxhash64(key, text)).join(gone.withColumnRenamed("row", "__r").hint("merge"), F.col("__row") == F.col("__r"), "left")
     rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest)
     return marked.select(*[cleaned.alias(text) if c == text else F.col(c) for c in docs.columns], F.coalesce("__gone", F.array().cast("array<int>")).alias("dropped_lines"))
