@@ -46,6 +46,28 @@ def test_axis(spark):
     assert out[("2024-01", "a")] is None and out[("2024-02", "a")] == "40" and out[("2024-02", "b")] == "50"
 
 
+def test_axis_leaves_no_small_remainder(spark):
+    rng = random.Random(11)
+    rows, totals = [], {}
+    for block in range(120):
+        for f in "abc":
+            cells = [(block, f"m{m}", f, rng.choice([0, rng.randrange(1, 20), rng.randrange(20, 90)])) for m in range(rng.randrange(1, 5))]
+            rows += cells
+            totals[block, f] = sum(c[3] for c in cells) + rng.choice([0, 7])
+        totals[block, None] = sum(t for (b, f), t in totals.items() if b == block and f)
+    out = suppress_axis(spark.createDataFrame(rows, "block int, month string, field string, n long"), ["block"], "month", "field", "n",
+                        spark.createDataFrame([(*k, t) for k, t in totals.items()], "block int, field string, total long")).collect()
+    assert len(out) == len(rows)
+    for (block, f), total in totals.items():
+        mine = [r for r in out if r["block"] == block and f in (None, r["field"])]
+        shown = [int(r["published"]) for r in mine if r["published"] not in (None, "1–19")]
+        assert not any(0 < n < 20 for n in shown)
+        if total >= 20 and any(r["n"] >= 20 for r in mine):
+            assert not 0 < total - sum(shown) < 20
+        hidden = [r for r in mine if r["published"] is None]
+        assert all(r["n"] >= 20 for r in hidden)
+
+
 def test_bands(spark):
     from pyspark.sql import functions as F
 
