@@ -26,6 +26,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTENT, OPEN, CHROME = 0, 1, 2
+SIDES = ("before", "after")
 
 Line = tuple[str, int]
 
@@ -48,8 +49,8 @@ def page_lines(page: str) -> list[Line]:
     """The text blocks of a page in order, each with its kind.
 
     CONTENT stands in an article or main element, CHROME in an element that by name, role or class holds no
-    text of the page, OPEN in neither. Headings of an article's own header are content. On a page with an
-    article, what stands outside it is chrome. Comments and raw elements give no block.
+    text of the page, OPEN in neither. Headings of an article's own header are content. Comments and raw
+    elements give no block.
     """
     lines: list[Line] = []
     parts: list[str] = []
@@ -109,8 +110,6 @@ def page_lines(page: str) -> list[Line]:
         elif not skip and (name in ("article", "main") or re.search(r"""\brole\s*=\s*["']?main\b""", attributes)):
             inside.append(name)
     end_block()
-    if any(kind == CONTENT for _, kind in lines):
-        lines = [(text, CHROME if kind == OPEN else kind) for text, kind in lines]
     return lines
 
 
@@ -142,21 +141,22 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def _outline(page: str, url: str):
-    """Per page: host, path, and the hashes of the lines outside its article."""
+    """Per page: host, path, and the hash, kind and length of each of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, hashes, opens = [], [], [], []
+            hosts, paths, hashes, kinds, sizes = [], [], [], [], []
             for text, address in zip(batch.column(page).to_pylist(), batch.column(url).to_pylist(), strict=True):
                 found = _URL.match(address or "")
                 hosts.append(found[1].lower() if found else "")
                 paths.append(found[2] if found else address or "")
-                outside = [x for x in page_lines(text or "") if x[1] != CONTENT]
-                hashes.append([_line_hash(x[0]) for x in outside])
-                opens.append([_line_hash(x[0]) for x in outside if x[1] == OPEN])
+                lines = page_lines(text or "")
+                hashes.append([_line_hash(x) for x, _ in lines])
+                kinds.append([kind for _, kind in lines])
+                sizes.append([len(x) for x, _ in lines])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__key"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(opens, pa.list_(pa.int64()))],
-                ["key", "host", "path", "lines", "open"])
+                [batch.column("__key"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))],
+                ["key", "host", "path", "lines", "kinds", "sizes"])
 
     return run
 
@@ -170,39 +170,65 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+def template_lines(lines: list[int], kinds: list[int], sizes: list[int], other: list[int], other_kinds: list[int], other_sizes: list[int]) -> list[int] | None:
+    """Positions of the lines that a page shares with ``other``; None if the pair does not tell template from text.
+
+    It does not if nothing is shared, if ``other`` has all text of the page, or if half of what stands in the
+    article of either is shared: such a page is a copy, not a page of the same template.
+    """
+    common = common_lines(lines, other)
+    text = [i for i in common if kinds[i] != CHROME]
+    if not common or text and len(text) == sum(kind != CHROME for kind in kinds):
+        return None
+    shared = sum(sizes[i] for i in text if kinds[i] == CONTENT)
+    content = [sum(n for n, kind in zip(*x, strict=True) if kind == CONTENT) for x in ((sizes, kinds), (other_sizes, other_kinds))]
+    return None if shared and 2 * shared >= min(x for x in content if x) else common
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page the open lines that it shares with the nearer of its two neighbours."""
+    """Per page the places of the lines that it shares with the nearest of its neighbours that tells them apart."""
     for batch in batches:
         keys, shared = [], []
         for r in batch.to_pylist():
-            sides = [(_prefix(r["path"], r[f"{s}_path"]), r[f"{s}_lines"]) for s in ("before", "after") if r[f"{s}_lines"] is not None]
-            if not sides:
-                continue
-            other = max(sides, key=lambda s: s[0])[1]
-            common = {r["lines"][i] for i in common_lines(r["lines"], other)}
-            if common.issuperset(r["open"]):  # a copy of the page, not its template
-                continue
-            keys.append(r["key"])
-            shared.append(sorted(common.intersection(r["open"])))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.list_(pa.int64()))], ["__k", "__shared"])
+            sides = [s for s in SIDES if r[f"{s}_lines"] is not None]
+            for s in sorted(sides, key=lambda s: -_prefix(r["path"], r[f"{s}_path"])):
+                common = template_lines(r["lines"], r["kinds"], r["sizes"], r[f"{s}_lines"], r[f"{s}_kinds"], r[f"{s}_sizes"])
+                if common is not None:
+                    keys.append(r["key"])
+                    shared.append(common)
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], ["__k", "__shared"])
 
 
-def _texts(page: str, keep: list[str], want_open: bool):
-    """Pages with or without open lines, rendered; the open lines in ``__shared`` are left out."""
+def _blocks(page: str, keep: list[str]):
+    """Pages as the texts and kinds of their lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, texts = [], []
-            deleted = batch.column("__shared").to_pylist() if want_open and "__shared" in batch.schema.names else [None] * batch.num_rows
-            for i, (text, gone) in enumerate(zip(batch.column(page).to_pylist(), deleted, strict=True)):
-                lines = page_lines(text or "")
-                if any(kind == OPEN for _, kind in lines) != want_open:
-                    continue
-                drop = set(gone or ())
-                take.append(i)
-                texts.append("\n\n".join(x for x, kind in lines if kind == CONTENT or kind == OPEN and _line_hash(x) not in drop))
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in keep], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
+            lines = [page_lines(text or "") for text in batch.column(page).to_pylist()]
+            # What the markup names as chrome is never rendered, so it need not travel; its places count all the same
+            texts = pa.array([[x if kind != CHROME else "" for x, kind in page] for page in lines], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], batch.column("__key"), texts, pa.array([[kind for _, kind in page] for page in lines], pa.list_(pa.int32()))], [*keep, "__key", "__texts", "__kinds"])
+
+    return run
+
+
+def rendered(texts: list[str], kinds: list[int], shared: list[int] | None) -> str:
+    """The text of a page: its lines but for shared ones and chrome.
+
+    Without a page to compare with (``shared`` is None) the markup alone decides: on a page with an article, what
+    stands outside it is not text.
+    """
+    article = shared is None and CONTENT in kinds
+    gone = set(shared or ())
+    return "\n\n".join(x for i, (x, kind) in enumerate(zip(texts, kinds, strict=True)) if i not in gone and (kind == CONTENT or kind == OPEN and not article))
+
+
+def _texts(keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [rendered(*x) for x in zip(*[batch.column(c).to_pylist() for c in ("__texts", "__kinds", "__shared")], strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     return run
 
@@ -211,10 +237,10 @@ def main_text(pages: DataFrame, page: str = "html", url: str = "url") -> DataFra
     """All columns of ``pages`` but the page itself, with ``text`` and ``n_chars``; one row per row.
 
     Pages are sorted by host and URL path over the whole cluster, so a host of any size is spread out, and each
-    is paired with the nearer of its two neighbours on the host. The pair's lines outside marked articles are
-    aligned by longest common subsequence; shared ones are deleted. Lines that the markup itself names as menu,
-    form and the like are deleted as well, and lines inside an article are kept even if a copy of the page has
-    them. Only pages with lines of unclear kind wait for their neighbour; all others are rendered in the scan.
+    is paired with the nearer of its two neighbours on the host, or with the other if the nearer is a copy or
+    shares nothing. All lines of the pair are aligned by longest common subsequence; shared ones are deleted,
+    also inside an article. The markup is asked afterwards: lines that it names as menu, form and the like are
+    deleted as well, and lines outside an article stay only if a pair tells that they are the page's own.
     A null page has an empty text; a null or odd URL belongs to a host of its own kind. Columns of ``pages``
     named ``text`` or ``n_chars`` are replaced.
     """
@@ -222,25 +248,24 @@ def main_text(pages: DataFrame, page: str = "html", url: str = "url") -> DataFra
     keep = [c for c in pages.columns if c != page]
     key = F.xxhash64(*[F.col(c) for c in pages.columns if c in (page, url)], *[F.col(c) for c in keep if c != url and pages.schema[c].dataType.simpleString() in ("bigint", "int", "string")])
     keyed = pages.withColumn("__key", key)
-    outline = keyed.select("__key", page, url).mapInArrow(_outline(page, url), "key long, host string, path string, lines array<long>, open array<long>")
+    outline = keyed.select("__key", page, url).mapInArrow(_outline(page, url), "key long, host string, path string, lines array<long>, kinds array<int>, sizes array<int>")
     sorted_ = outline.repartitionByRange(F.col("host"), F.col("path"), F.col("key")).sortWithinPartitions("host", "path", "key")
     numbered = written(sorted_.withColumn("__m", F.monotonically_increasing_id()))
     parts = numbered.groupBy(F.shiftright("__m", 33).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = F.broadcast(parts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s")))  # a row per partition
     place = F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    ranked = numbered.join(starts, F.shiftright("__m", 33) == F.col("__p")).select("key", "host", "path", "lines", "open", place.alias("place"))
+    ranked = numbered.join(starts, F.shiftright("__m", 33) == F.col("__p")).select("key", "host", "path", "lines", "kinds", "sizes", place.alias("place"))
 
     def side(name: str, step: int) -> DataFrame:
-        return ranked.select((F.col("place") + step).alias(f"{name}_place"), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"), F.col("lines").alias(f"{name}_lines"))
+        return ranked.select((F.col("place") + step).alias(f"{name}_place"), F.col("host").alias(f"{name}_host"), *[F.col(c).alias(f"{name}_{c}") for c in ("path", "lines", "kinds", "sizes")])
 
-    trio = ranked.filter(F.size("open") > 0)
-    for name, step in (("before", 1), ("after", -1)):
+    trio = ranked
+    for name, step in zip(SIDES, (1, -1), strict=True):
         trio = trio.join(side(name, step), (F.col("place") == F.col(f"{name}_place")) & (F.col("host") == F.col(f"{name}_host")), "left")
-    shared = trio.select("key", "path", "lines", "open", *[f"{s}_{c}" for s in ("before", "after") for c in ("path", "lines")]).mapInArrow(_difference, "__k long, __shared array<long>")
+    shared = trio.select("key", *[f"{s}{c}" for s in ("", *[f"{s}_" for s in SIDES]) for c in ("path", "lines", "kinds", "sizes")]).mapInArrow(_difference, "__k long, __shared array<int>")
     shared = shared.dropDuplicates(["__k"])
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != page], "text string, n_chars long"])
-    plain = pages.mapInArrow(_texts(page, keep, False), schema)
-    unclear = keyed.join(numbered.filter(F.size("open") > 0).select(F.col("key").alias("__u")).distinct(), F.col("__key") == F.col("__u"), "left_semi")
-    waiting = unclear.join(shared, F.col("__key") == F.col("__k"), "left").mapInArrow(_texts(page, keep, True), schema)
-    return plain.unionByName(waiting)
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != page]
+    blocks = keyed.mapInArrow(_blocks(page, keep), ", ".join([*columns, "__key long, __texts array<string>, __kinds array<int>"]))
+    joined = blocks.join(shared, F.col("__key") == F.col("__k"), "left")
+    return joined.mapInArrow(_texts(keep), ", ".join([*columns, "text string, n_chars long"]))

@@ -169,6 +169,18 @@ def test_pages_lose_what_their_neighbour_has(spark):
     assert html_main.main_text(df.limit(0)).count() == 0
 
 
+def test_pages_lose_shared_lines_inside_articles(spark):
+    """The pair decides inside an article and outside it; a near copy of a page decides nothing."""
+    page = "<p>By the {0} desk</p><article><h1>{0} head</h1><p>{0} body of some length</p><p>Share this</p></article><div>Terms</div>"
+    rows = [(i, f"https://h.example/{n}", page.format(n)) for i, n in enumerate(("alpha", "beta"))]
+    rows += [(i, f"https://c.example/{i}", f"<article><p>a long text that both copies hold</p><p>seen {i}</p></article><p>foot</p>") for i in (5, 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(df).collect()}
+    for i, n in enumerate(("alpha", "beta")):
+        assert got[i] == f"By the {n} desk\n\n{n} head\n\n{n} body of some length"
+    assert got[5] == "a long text that both copies hold\n\nseen 5" and got[6] == "a long text that both copies hold\n\nseen 6"
+
+
 def test_common_lines_are_longest():
     rng = random.Random(5)
     for _ in range(200):
