@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhound.llm.common import written
@@ -26,7 +26,9 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTENT, OPEN, CHROME = 0, 1, 2
-SIDES = ("before", "after")
+RUN_SIDES = ("before_run", "after_run")
+SIDES = (*RUN_SIDES, "before", "after")
+OUTLINE = ("path", "lines", "kinds", "sizes")
 
 Line = tuple[str, int]
 
@@ -170,34 +172,48 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def template_lines(lines: list[int], kinds: list[int], sizes: list[int], other: list[int], other_kinds: list[int], other_sizes: list[int]) -> list[int] | None:
-    """Positions of the lines that a page shares with ``other``; None if the pair does not tell template from text.
-
-    It does not if nothing is shared, if ``other`` has all text of the page, or if half of what stands in the
-    article of either is shared: such a page is a copy, not a page of the same template.
-    """
-    common = common_lines(lines, other)
-    text = [i for i in common if kinds[i] != CHROME]
-    if not common or text and len(text) == sum(kind != CHROME for kind in kinds):
-        return None
+def _copies(lines: list[int], kinds: list[int], sizes: list[int], other: list[int], other_kinds: list[int], other_sizes: list[int], common: list[int] | None = None) -> bool:
+    """Is the page a copy: has ``other`` all its text, or do they share half of what stands in the article of either?"""
+    text = [i for i in (common_lines(lines, other) if common is None else common) if kinds[i] != CHROME]
+    if text and len(text) == sum(kind != CHROME for kind in kinds):
+        return True
     shared = sum(sizes[i] for i in text if kinds[i] == CONTENT)
     content = [sum(n for n, kind in zip(*x, strict=True) if kind == CONTENT) for x in ((sizes, kinds), (other_sizes, other_kinds))]
-    return None if shared and 2 * shared >= min(x for x in content if x) else common
+    return bool(shared) and 2 * shared >= min(x for x in content if x)
+
+
+def template_lines(*pair: list[int]) -> list[int] | None:
+    """Positions of the lines that a page shares with another; None if the pair does not tell template from text.
+
+    It does not if nothing is shared, or if the page is a copy. ``pair``: lines, kinds and sizes of both.
+    """
+    common = common_lines(pair[0], pair[3])
+    return common if common and not _copies(*pair, common) else None
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per class whether it starts a run: it is no copy of the class before it on the host, nor that one of it."""
+    for batch in batches:
+        edges = []
+        for r in batch.to_pylist():
+            ours, theirs = ([r[f"{s}{c}"] for c in ("lines", "kinds", "sizes")] for s in ("", "before_"))
+            edges.append(theirs[0] is None or not (_copies(*ours, *theirs) or _copies(*theirs, *ours)))
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("__p"), pa.array(edges, pa.bool_())], ["place", "__p", "edge"])
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page the places of the lines that it shares with the nearest of its neighbours that tells them apart."""
+    """Per class the places of the lines that it shares with the nearest of its neighbours that tells them apart."""
     for batch in batches:
         keys, shared = [], []
         for r in batch.to_pylist():
             sides = [s for s in SIDES if r[f"{s}_lines"] is not None]
-            for s in sorted(sides, key=lambda s: -_prefix(r["path"], r[f"{s}_path"])):
+            for s in sorted(sides, key=lambda s: (s not in RUN_SIDES, -_prefix(r["path"], r[f"{s}_path"]))):
                 common = template_lines(r["lines"], r["kinds"], r["sizes"], r[f"{s}_lines"], r[f"{s}_kinds"], r[f"{s}_sizes"])
                 if common is not None:
-                    keys.append(r["key"])
+                    keys.append(r["class"])
                     shared.append(common)
                     break
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], ["__k", "__shared"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], ["__c", "__shared"])
 
 
 def _blocks(page: str, keep: list[str]):
@@ -236,9 +252,10 @@ def _texts(keep: list[str]):
 def main_text(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
     """All columns of ``pages`` but the page itself, with ``text`` and ``n_chars``; one row per row.
 
-    Pages are sorted by host and URL path over the whole cluster, so a host of any size is spread out, and each
-    is paired with the nearer of its two neighbours on the host, or with the other if the nearer is a copy or
-    shares nothing. All lines of the pair are aligned by longest common subsequence; shared ones are deleted,
+    Pages of a host with the same lines are one class. Classes are sorted by host and URL path over the whole
+    cluster, so a host of any size is spread out. Neighbours that are copies of each other form runs; each class
+    is paired with the nearer of the two classes next to its run, or else of its two neighbours, leaving out
+    classes that hold a copy of it and those that share nothing. All lines of the pair are aligned by longest common subsequence; shared ones are deleted,
     also inside an article. The markup is asked afterwards: lines that it names as menu, form and the like are
     deleted as well, and lines outside an article stay only if a pair tells that they are the page's own.
     A null page has an empty text; a null or odd URL belongs to a host of its own kind. Columns of ``pages``
@@ -249,22 +266,37 @@ def main_text(pages: DataFrame, page: str = "html", url: str = "url") -> DataFra
     key = F.xxhash64(*[F.col(c) for c in pages.columns if c in (page, url)], *[F.col(c) for c in keep if c != url and pages.schema[c].dataType.simpleString() in ("bigint", "int", "string")])
     keyed = pages.withColumn("__key", key)
     outline = keyed.select("__key", page, url).mapInArrow(_outline(page, url), "key long, host string, path string, lines array<long>, kinds array<int>, sizes array<int>")
-    sorted_ = outline.repartitionByRange(F.col("host"), F.col("path"), F.col("key")).sortWithinPartitions("host", "path", "key")
+    outline = written(outline.withColumn("class", F.xxhash64("host", "lines", "kinds")))
+    classes = outline.groupBy("class").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in ("host", "lines", "kinds", "sizes")])
+    sorted_ = classes.repartitionByRange(F.col("host"), F.col("path"), F.col("class")).sortWithinPartitions("host", "path", "class")
     numbered = written(sorted_.withColumn("__m", F.monotonically_increasing_id()))
     parts = numbered.groupBy(F.shiftright("__m", 33).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.broadcast(parts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s")))  # a row per partition
+    upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(parts.select("__p", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__s")))  # a row per partition
     place = F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    ranked = numbered.join(starts, F.shiftright("__m", 33) == F.col("__p")).select("key", "host", "path", "lines", "kinds", "sizes", place.alias("place"))
-
-    def side(name: str, step: int) -> DataFrame:
-        return ranked.select((F.col("place") + step).alias(f"{name}_place"), F.col("host").alias(f"{name}_host"), *[F.col(c).alias(f"{name}_{c}") for c in ("path", "lines", "kinds", "sizes")])
-
-    trio = ranked
-    for name, step in zip(SIDES, (1, -1), strict=True):
-        trio = trio.join(side(name, step), (F.col("place") == F.col(f"{name}_place")) & (F.col("host") == F.col(f"{name}_host")), "left")
-    shared = trio.select("key", *[f"{s}{c}" for s in ("", *[f"{s}_" for s in SIDES]) for c in ("path", "lines", "kinds", "sizes")]).mapInArrow(_difference, "__k long, __shared array<int>")
-    shared = shared.dropDuplicates(["__k"])
+    ranked = numbered.join(starts, F.shiftright("__m", 33) == F.col("__p")).select("class", "host", "path", "lines", "kinds", "sizes", "__p", place.alias("place"))
+
+    def side(name: str) -> DataFrame:
+        return ranked.select(F.col("place").alias(f"{name}_place"), F.col("host").alias(f"{name}_host"), *[F.col(c).alias(f"{name}_{c}") for c in OUTLINE])
+
+    def with_side(df: DataFrame, name: str, at: Column) -> DataFrame:
+        return df.withColumn("__at", at).join(side(name), (F.col("__at") == F.col(f"{name}_place")) & (F.col("host") == F.col(f"{name}_host")), "left").drop("__at", f"{name}_place", f"{name}_host")
+
+    both = with_side(with_side(ranked, "before", F.col("place") - 1), "after", F.col("place") + 1)
+    # Runs of neighbours that are copies of each other: the first place of each run, and of the next
+    edges = with_side(ranked, "before", F.col("place") - 1).select("place", "__p", *OUTLINE, *[f"before_{c}" for c in OUTLINE])
+    edges = written(edges.mapInArrow(_edges, "place long, __p long, edge boolean"))
+    held = edges.groupBy("__p").agg(F.max(F.when(F.col("edge"), F.col("place"))).alias("last"), F.min(F.when(F.col("edge"), F.col("place"))).alias("first"))
+    later = Window.orderBy("__p").rowsBetween(1, Window.unboundedFollowing)
+    held = F.broadcast(held.select(F.col("__p").alias("__h"), F.max("last").over(upto).alias("last"), F.min("first").over(later).alias("first")))
+    own = F.when(F.col("edge"), F.col("place"))
+    back = Window.partitionBy("__p").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("__p").orderBy("place").rowsBetween(1, Window.unboundedFollowing)
+    runs = edges.join(held, F.col("__p") == F.col("__h")).select(F.col("place").alias("__l"), F.coalesce(F.max(own).over(back), "last").alias("__begin"), F.coalesce(F.min(own).over(ahead), "first").alias("__end"))
+    quartet = both.join(runs, F.col("place") == F.col("__l"))
+    quartet = with_side(with_side(quartet, "before_run", F.col("__begin") - 1), "after_run", F.col("__end"))
+    differed = quartet.select("class", *[f"{s}{c}" for s in ("", *[f"{s}_" for s in SIDES]) for c in OUTLINE]).mapInArrow(_difference, "__c long, __shared array<int>")
+    shared = outline.select("key", "class").join(differed, F.col("class") == F.col("__c")).select(F.col("key").alias("__k"), "__shared").dropDuplicates(["__k"])
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != page]
     blocks = keyed.mapInArrow(_blocks(page, keep), ", ".join([*columns, "__key long, __texts array<string>, __kinds array<int>"]))
     joined = blocks.join(shared, F.col("__key") == F.col("__k"), "left")

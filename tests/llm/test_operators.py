@@ -181,6 +181,19 @@ def test_pages_lose_shared_lines_inside_articles(spark):
     assert got[5] == "a long text that both copies hold\n\nseen 5" and got[6] == "a long text that both copies hold\n\nseen 6"
 
 
+def test_copies_of_a_page_lose_its_template(spark):
+    """Copies at any number of addresses meet the next page that differs."""
+    rows = [(i, f"https://h.example/a/{i}", PAGE.format(f"n{i}")) for i in range(4)] + [(14, "https://h.example/a/0", PAGE.format("n0")), (15, "https://h.example/a/0?p=2", PAGE.format("n0"))]
+    # Three pages in a row of which each holds all of the one before
+    rows += [(20 + i, f"https://s.example/b/{i}", "<div>menu</div><p>one</p>" + "<p>two</p>" * (i > 0) + "<p>three</p>" * (i > 1)) for i in range(3)]
+    rows += [(23, "https://s.example/c", "<div>menu</div><p>other</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(df).collect()}
+    for i in (0, 14, 15):
+        assert got[i] == "n0 title\n\nBody of n0&co more\n\nSecond n0"
+    assert [got[i] for i in (20, 21, 22)] == ["one", "one\n\ntwo", "one\n\ntwo\n\nthree"] and got[23] == "other" and len(got) == len(rows)
+
+
 def test_common_lines_are_longest():
     rng = random.Random(5)
     for _ in range(200):
