@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,17 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split
 _CHROME = frozenset("nav footer aside form script style noscript template head title iframe object svg canvas button select textarea dialog menu search input label fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: What may stand beside such a name in one token, as in ``ad-banner`` or ``user-comments``; ``no``, ``has`` or ``article`` may not.
+_BESIDE = frozenset("area bar block bottom box button buttons center col column form global icon icons inner item items left link links list main mobile nav outer page panel primary right secondary section site slot sticky top unit user widget wrap wrapper".split())
+_HARD = frozenset("script style noscript template head title svg".split())  # hold no text, whatever stands in them
+_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
+#: Start tags that end an open element of these names, looked for up to these.
+_IMPLIED = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), **{x: ("tbody thead tfoot", "table") for x in ("tbody", "thead", "tfoot")}}
+_IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _IMPLIED.items()}
+_SCOPE = frozenset("table td th caption template object".split())
+_P = frozenset(("p",))
+_TABLE = frozenset("table caption tbody thead tfoot tr td th".split())
+_HOLDS_INLINE = (_BLOCK | _SCOPE) - _P  # that no end tag of an inline element ends
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTENT, OPEN, CHROME = 0, 1, 2
 RUN_SIDES = ("before_run", "after_run")
@@ -33,31 +45,56 @@ OUTLINE = ("path", "lines", "kinds", "sizes")
 Line = tuple[str, int]
 
 
-def _chrome(name: str, attributes: str) -> bool:
+def _named(value: str) -> bool:
+    """Is a token of a class or id a name of chrome, or made of such a name and what may stand beside it?"""
+    for token in value.split():
+        parts = [x for x in re.split(r"[^a-z]+", token) if x]
+        if parts and not _NAMES.isdisjoint(parts) and all(x in _NAMES or x in _BESIDE for x in parts):
+            return True
+    return False
+
+
+def _chrome(name: str, attributes: str) -> str:
+    """Why the element holds no text of the page: "hard" if nothing in it can be text, else "soft"; empty if it may."""
     if name in _CHROME or name == "header":
-        return True
+        return "hard" if name in _HARD else "soft"
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return ""
+    kind = ""
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and not _NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-        if key == "role" and value in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return "hard"
+        if key in ("class", "id") and name != "article" and _named(value) or key == "role" and value in _ROLES:
+            kind = "soft"
+    return kind
 
 
 def page_lines(page: str) -> list[Line]:
     """The text blocks of a page in order, each with its kind.
 
     CONTENT stands in an article or main element, CHROME in an element that by name, role or class holds no
-    text of the page, OPEN in neither. Headings of an article's own header are content. Comments and raw
-    elements give no block.
+    text of the page, OPEN in neither. Headings of an article's own header are content. An element ends where its
+    end tag, the end of an element around it or a start tag that implies the end stands. If all articles of a page
+    stand in elements that look like chrome, those are none. Comments and raw elements give no block.
     """
+    spared: set[int] = set()
+    while True:
+        lines, holders = _parsed(page, spared)
+        if not holders - spared or any(kind == CONTENT for _, kind in lines):
+            return lines
+        spared |= holders
+
+
+def _parsed(page: str, spared: set[int]) -> tuple[list[Line], set[int]]:
+    """The lines, and where the chrome elements begin that hold an article; those in ``spared`` count as no chrome."""
     lines: list[Line] = []
     parts: list[str] = []
-    skip: list[list] = []  # chrome elements that are open: name, how often, whether an article's header, whether inline
-    inside: list[str] = []  # open article and main elements
+    holders: set[int] = set()
+    names: list[str] = []  # open elements
+    open_: Counter[str] = Counter()
+    skip: list[tuple[int, bool, bool, int]] = []  # chrome elements that are open: depth, whether an article's header, whether inline, where
+    inside: list[int] = []  # depths of the open article and main elements
     heading = False
     at = 0
 
@@ -66,13 +103,33 @@ def page_lines(page: str) -> list[Line]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                in_header = len(skip) == 1 and skip[0][0] == "header" and skip[0][2] and heading
+                in_header = len(skip) == 1 and skip[0][1] and heading
                 kind = CHROME if skip and not in_header else CONTENT if inside else OPEN
                 lines.append((text, kind))
 
+    def close(depth: int) -> None:
+        """End the element at this depth and all in it."""
+        for x in names[depth:]:
+            open_[x] -= 1
+        del names[depth:]
+        while skip and skip[-1][0] >= depth:
+            skip.pop()
+        while inside and inside[-1] >= depth:
+            inside.pop()
+
+    def find(wanted: frozenset[str], until: frozenset[str]) -> int:
+        """Depth of the innermost open element of these names that none of ``until`` holds back; -1 if there is none."""
+        if any(open_[x] for x in wanted):
+            for depth in range(len(names) - 1, -1, -1):
+                if names[depth] in wanted:
+                    return depth
+                if names[depth] in until:
+                    break
+        return -1
+
     while True:
         found = _TOKEN.search(page, at)
-        inline = bool(skip) and skip[0][3]
+        inline = bool(skip) and skip[0][2]
         if not inline:  # what stands in an inline element does not break the block around it
             parts.append(page[at : found.start()] if found else page[at:])
         if not found:
@@ -88,12 +145,9 @@ def page_lines(page: str) -> list[Line]:
         if closing:
             if name in _HEADING:
                 heading = False
-            if skip and skip[-1][0] == name:
-                skip[-1][1] -= 1
-                if not skip[-1][1]:
-                    skip.pop()
-            elif name in inside and not skip:
-                del inside[len(inside) - 1 - inside[::-1].index(name) :]
+            depth = find(frozenset((name,)), frozenset() if name in _TABLE or name in ("html", "body") else _SCOPE if name in _BLOCK else _HOLDS_INLINE)
+            if depth >= 0:
+                close(depth)
             continue
         if name in _RAW:
             stop = re.compile(rf"</{name}\b", re.I).search(page, at)
@@ -101,18 +155,25 @@ def page_lines(page: str) -> list[Line]:
                 break
             at = stop.start()
             continue
+        if name in _ENDS_P and (depth := find(_P, _SCOPE)) >= 0:
+            close(depth)
+        if name in _IMPLIED and (depth := find(*_IMPLIED[name])) >= 0:
+            close(depth)
         if name in _VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
         if name in _HEADING:
             heading = True
-        if skip and skip[-1][0] == name:
-            skip[-1][1] += 1
-        elif (not skip or skip[-1][2]) and _chrome(name, attributes):
-            skip.append([name, 1, name == "header" and bool(inside), name not in _BLOCK])
-        elif not skip and (name in ("article", "main") or re.search(r"""\brole\s*=\s*["']?main\b""", attributes)):
-            inside.append(name)
+        names.append(name)
+        open_[name] += 1
+        article = name in ("article", "main") or bool(re.search(r"""\brole\s*=\s*["']?main\b""", attributes))
+        if article and skip and not any(x[3] < 0 for x in skip):
+            holders.update(x[3] for x in skip)
+        if (not skip or skip[-1][1]) and found.start() not in spared and (kind := _chrome(name, attributes)):
+            skip.append((len(names) - 1, name == "header" and bool(inside), name not in _BLOCK, -1 if kind == "hard" else found.start()))
+        elif not skip and article:
+            inside.append(len(names) - 1)
     end_block()
-    return lines
+    return lines, holders
 
 
 def _line_hash(text: str) -> int:

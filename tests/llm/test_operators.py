@@ -181,6 +181,22 @@ def test_pages_lose_shared_lines_inside_articles(spark):
     assert got[5] == "a long text that both copies hold\n\nseen 5" and got[6] == "a long text that both copies hold\n\nseen 6"
 
 
+def test_chrome_ends_where_its_element_ends():
+    def content(page):
+        return [x for x, kind in html_main.page_lines(page) if kind == html_main.CONTENT]
+
+    for wrapper in ("class='container no-sidebar'", "id='search-results'", "class='page sidebar'", "class='widget'"):
+        assert content(f"<div {wrapper}><nav>m</nav><article class='post has-comments'><div class='article-header'><h1>Head</h1></div><p>Text</article></div>") == ["Head", "Text"]
+    assert content("<form><div class=header><article class=notice><p>Text</p></article></div></form>") == ["Text"]
+    assert content("<article><p class='notice'>n<p>One<p>Two</article><article><p>Three</article>") == ["One", "Two", "Three"]
+    assert content("<article><ul><li class='share'>s<li>One<ul><li>In</ul><li class=share>s</ul><p>Two</article>") == ["One", "In", "Two"]
+    assert content("<article><p>One</p><section class=comments><p>c</article><p>out") == ["One"]
+    assert content("<main><p>One</main><div class='comments'><article>c</article></div>") == ["One"]
+    assert content("<article>a <span class=share>s <b>t</span> b</article>") == ["a b"]
+    assert content("<b><article><p>One</b> two <a class=share>s</a>three</article>") == ["One two three"]
+    assert content("<article hidden>h</article><div class='ad-banner'>x</div><div class='user-comments'><p>y</div>") == []
+
+
 def test_copies_of_a_page_lose_its_template(spark):
     """Copies at any number of addresses meet the next page that differs."""
     rows = [(i, f"https://h.example/a/{i}", PAGE.format(f"n{i}")) for i in range(4)] + [(14, "https://h.example/a/0", PAGE.format("n0")), (15, "https://h.example/a/0?p=2", PAGE.format("n0"))]
