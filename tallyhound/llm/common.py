@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 OWN_FOLDER = "/tmp/checkpoints"
+MARKS = 1 << 26  # bits of a broadcast bitmap of keys
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +36,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bitmap(df: DataFrame, key: str) -> np.ndarray:
+    """MARKS bits, those at the low bits of ``key`` set; its size does not depend on the input."""
+    low = F.col(key).bitwiseAND(F.lit(MARKS - 1))
+    words = df.select(F.shiftright(low, 6).alias("word"), F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MARKS >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def in_bitmap(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (MARKS - 1)
+    return (marks[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def buckets_for(rows: int, per_bucket: int, least: int = 1) -> int:
     """How many buckets keep each at about ``per_bucket`` rows."""
     return max(least, -(-rows // per_bucket))

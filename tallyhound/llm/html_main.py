@@ -8,12 +8,13 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import written
+from tallyhound.llm.common import bitmap, in_bitmap, written
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|</[^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -38,8 +39,7 @@ _TABLE = frozenset("table caption tbody thead tfoot tr td th".split())
 _HOLDS_INLINE = (_BLOCK | _SCOPE) - _P  # that no end tag of an inline element ends
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTENT, OPEN, CHROME = 0, 1, 2
-RUN_SIDES = ("before_run", "after_run")
-SIDES = (*RUN_SIDES, "before", "after")
+PART = 50_000  # places of a task that looks for runs
 OUTLINE = ("path", "lines", "kinds", "sizes")
 
 Line = tuple[str, int]
@@ -252,36 +252,48 @@ def template_lines(*pair: list[int]) -> list[int] | None:
     return common if common and not _copies(*pair, common) else None
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class whether it starts a run: it is no copy of the class before it on the host, nor that one of it."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per class and the other of a pair on its host, in both directions: the places of the lines they share, null if the pair tells nothing.
+
+    ``edge``: neither is a copy of the other.
+    """
     for batch in batches:
-        edges = []
+        out: list[list] = [[], [], [], [], []]
         for r in batch.to_pylist():
-            ours, theirs = ([r[f"{s}{c}"] for c in ("lines", "kinds", "sizes")] for s in ("", "before_"))
-            edges.append(theirs[0] is None or not (_copies(*ours, *theirs) or _copies(*theirs, *ours)))
-        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("__p"), pa.array(edges, pa.bool_())], ["place", "__p", "edge"])
+            ours, theirs = ([r[f"{s}{c}"] for c in ("lines", "kinds", "sizes")] for s in ("", "other_"))
+            near = _prefix(r["path"], r["other_path"])
+            edge = not (_copies(*ours, *theirs) or _copies(*theirs, *ours))
+            for column, x in zip(out, ((r["place"], r["other_place"]), (r["other_place"], r["place"]), (near, near), (template_lines(*ours, *theirs), template_lines(*theirs, *ours)), (edge, edge)), strict=True):
+                column.extend(x)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_()), strict=True)], ["place", "other", "near", "shared", "edge"])
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class the places of the lines that it shares with the nearest of its neighbours that tells them apart."""
-    for batch in batches:
-        keys, shared = [], []
-        for r in batch.to_pylist():
-            sides = [s for s in SIDES if r[f"{s}_lines"] is not None]
-            for s in sorted(sides, key=lambda s: (s not in RUN_SIDES, -_prefix(r["path"], r[f"{s}_path"]))):
-                common = template_lines(r["lines"], r["kinds"], r["sizes"], r[f"{s}_lines"], r[f"{s}_kinds"], r[f"{s}_sizes"])
-                if common is not None:
-                    keys.append(r["class"])
-                    shared.append(common)
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], ["__c", "__shared"])
+PAIRS = "place long, other long, near int, shared array<int>, edge boolean"
+
+
+def _marked(batch: pa.RecordBatch, marks: np.ndarray, want: bool) -> pa.RecordBatch:
+    key = batch.column("__key").to_numpy()
+    return batch.filter(pa.array(in_bitmap(marks, key) == want))
+
+
+def _plain(page: str, keep: list[str], marks):
+    """Pages without a pair, rendered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = _marked(batch, marks.value, False)
+            texts = [rendered([x for x, _ in lines], [kind for _, kind in lines], None) for lines in (page_lines(text or "") for text in batch.column(page).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
+
+    return run
 
 
-def _blocks(page: str, keep: list[str]):
-    """Pages as the texts and kinds of their lines."""
+def _blocks(page: str, keep: list[str], marks):
+    """Pages with a pair as the texts and kinds of their lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _marked(batch, marks.value, True)
             lines = [page_lines(text or "") for text in batch.column(page).to_pylist()]
             # What the markup names as chrome is never rendered, so it need not travel; its places count all the same
             texts = pa.array([[x if kind != CHROME else "" for x, kind in page] for page in lines], pa.list_(pa.string()))
@@ -316,9 +328,10 @@ def main_text(pages: DataFrame, page: str = "html", url: str = "url") -> DataFra
     Pages of a host with the same lines are one class. Classes are sorted by host and URL path over the whole
     cluster, so a host of any size is spread out. Neighbours that are copies of each other form runs; each class
     is paired with the nearer of the two classes next to its run, or else of its two neighbours, leaving out
-    classes that hold a copy of it and those that share nothing. All lines of the pair are aligned by longest common subsequence; shared ones are deleted,
-    also inside an article. The markup is asked afterwards: lines that it names as menu, form and the like are
-    deleted as well, and lines outside an article stay only if a pair tells that they are the page's own.
+    classes that hold a copy of it and those that share nothing. All lines of the pair are aligned by longest
+    common subsequence; shared ones are deleted, also inside an article. The markup is asked afterwards: lines
+    that it names as menu, form and the like are deleted as well, and on a page with an article, lines outside it
+    stay only if a pair tells that they are the page's own. Only pages with such a pair are shuffled.
     A null page has an empty text; a null or odd URL belongs to a host of its own kind. Columns of ``pages``
     named ``text`` or ``n_chars`` are replaced.
     """
@@ -335,30 +348,41 @@ def main_text(pages: DataFrame, page: str = "html", url: str = "url") -> DataFra
     upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = F.broadcast(parts.select("__p", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__s")))  # a row per partition
     place = F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    ranked = numbered.join(starts, F.shiftright("__m", 33) == F.col("__p")).select("class", "host", "path", "lines", "kinds", "sizes", "__p", place.alias("place"))
-
-    def side(name: str) -> DataFrame:
-        return ranked.select(F.col("place").alias(f"{name}_place"), F.col("host").alias(f"{name}_host"), *[F.col(c).alias(f"{name}_{c}") for c in OUTLINE])
-
-    def with_side(df: DataFrame, name: str, at: Column) -> DataFrame:
-        return df.withColumn("__at", at).join(side(name), (F.col("__at") == F.col(f"{name}_place")) & (F.col("host") == F.col(f"{name}_host")), "left").drop("__at", f"{name}_place", f"{name}_host")
-
-    both = with_side(with_side(ranked, "before", F.col("place") - 1), "after", F.col("place") + 1)
-    # Runs of neighbours that are copies of each other: the first place of each run, and of the next
-    edges = with_side(ranked, "before", F.col("place") - 1).select("place", "__p", *OUTLINE, *[f"before_{c}" for c in OUTLINE])
-    edges = written(edges.mapInArrow(_edges, "place long, __p long, edge boolean"))
-    held = edges.groupBy("__p").agg(F.max(F.when(F.col("edge"), F.col("place"))).alias("last"), F.min(F.when(F.col("edge"), F.col("place"))).alias("first"))
-    later = Window.orderBy("__p").rowsBetween(1, Window.unboundedFollowing)
-    held = F.broadcast(held.select(F.col("__p").alias("__h"), F.max("last").over(upto).alias("last"), F.min("first").over(later).alias("first")))
-    own = F.when(F.col("edge"), F.col("place"))
-    back = Window.partitionBy("__p").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("__p").orderBy("place").rowsBetween(1, Window.unboundedFollowing)
-    runs = edges.join(held, F.col("__p") == F.col("__h")).select(F.col("place").alias("__l"), F.coalesce(F.max(own).over(back), "last").alias("__begin"), F.coalesce(F.min(own).over(ahead), "first").alias("__end"))
-    quartet = both.join(runs, F.col("place") == F.col("__l"))
-    quartet = with_side(with_side(quartet, "before_run", F.col("__begin") - 1), "after_run", F.col("__end"))
-    differed = quartet.select("class", *[f"{s}{c}" for s in ("", *[f"{s}_" for s in SIDES]) for c in OUTLINE]).mapInArrow(_difference, "__c long, __shared array<int>")
+    ranked = numbered.join(starts, F.shiftright("__m", 33) == F.col("__p")).select("class", "host", "path", "lines", "kinds", "sizes", place.alias("place"))
+
+    def paired(asked: DataFrame) -> DataFrame:
+        """``asked``: columns of ranked, and ``at``, the place of the other."""
+        others = ranked.select(F.col("place").alias("other_place"), F.col("host").alias("other_host"), *[F.col(c).alias(f"other_{c}") for c in OUTLINE])
+        met = asked.join(others, (F.col("at") == F.col("other_place")) & (F.col("host") == F.col("other_host")))
+        return written(met.select("place", "other_place", *OUTLINE, *[f"other_{c}" for c in OUTLINE]).mapInArrow(_pairs, PAIRS))
+
+    beside = paired(ranked.withColumn("at", F.col("place") - 1))
+    # Runs of neighbours that are copies of each other: the first place of each run, and of the next. Only the
+    # classes in a run of several meet further ones; places are dealt to parts of PART, whose edges are a row each.
+    inner = beside.filter("not edge and other < place").select(F.col("place").alias("__i"))
+    edges = ranked.select("place").join(inner, F.col("place") == F.col("__i"), "left").select("place", F.expr(f"place div {PART}").alias("part"), F.when(F.col("__i").isNull(), F.col("place")).alias("own"))
+    held = edges.groupBy("part").agg(F.max("own").alias("last"), F.min("own").alias("first"))
+    falling = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    rising = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.broadcast(held.select(F.col("part").alias("__h"), F.max("last").over(rising).alias("last"), F.min("first").over(falling).alias("first")))
+    back = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("part").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    runs = edges.join(held, F.col("part") == F.col("__h")).select(F.col("place").alias("__l"), F.coalesce(F.max("own").over(back), "last").alias("begin"), F.coalesce(F.min("own").over(ahead), "first").alias("end"))
+    runs = written(runs.filter("begin < __l or coalesce(end > __l + 1, true)"))
+    far = F.explode(F.array(F.col("begin") - 1, F.col("end")))
+    asked = runs.select("__l", far.alias("at")).filter("at <> __l - 1 and at <> __l + 1")
+    beyond = paired(ranked.join(asked, F.col("place") == F.col("__l")).drop("__l"))
+    # Classes next to the run go before neighbours in it, nearer ones before others
+    told = beside.unionByName(beyond).filter("shared is not null")
+    best = told.groupBy("place").agg(F.min(F.struct(F.expr("not edge").alias("inside"), (-F.col("near")).alias("far"), "other", "shared")).alias("b"))
+    differed = ranked.select("class", "place").join(best, "place").select(F.col("class").alias("__c"), F.col("b.shared").alias("__shared"))
     shared = outline.select("key", "class").join(differed, F.col("class") == F.col("__c")).select(F.col("key").alias("__k"), "__shared").dropDuplicates(["__k"])
+    shared = written(shared)
+    # Pages that no pair tells anything about are rendered in the scan; the bitmap may send some more to the join
+    marks = pages.sparkSession.sparkContext.broadcast(bitmap(shared, "__k"))
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != page]
-    blocks = keyed.mapInArrow(_blocks(page, keep), ", ".join([*columns, "__key long, __texts array<string>, __kinds array<int>"]))
+    schema = ", ".join([*columns, "text string, n_chars long"])
+    plain = keyed.mapInArrow(_plain(page, keep, marks), schema)
+    blocks = keyed.mapInArrow(_blocks(page, keep, marks), ", ".join([*columns, "__key long, __texts array<string>, __kinds array<int>"]))
     joined = blocks.join(shared, F.col("__key") == F.col("__k"), "left")
-    return joined.mapInArrow(_texts(keep), ", ".join([*columns, "text string, n_chars long"]))
+    return plain.unionByName(joined.mapInArrow(_texts(keep), schema))
