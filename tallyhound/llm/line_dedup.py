@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyhound.llm.common import written
 
 DEPTH = 3  # leading tokens that lead to a leaf, below the number of tokens
-LEAST_TOKENS = 6  # shorter lines are no templates
+LEAST_TOKENS = 6  # shorter lines are templates as they stand, without fields
 LEAST_DOCUMENTS = 10  # different texts in which a template recurs
 SALTS = 8  # tasks over which the lines of one template are dealt when its first line is looked up
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -22,15 +22,20 @@ FIELD = "<*>"
 
 
 def templates(line: str, depth: int = DEPTH, least: int = LEAST_TOKENS) -> tuple[str, ...]:
-    """The templates that a line falls under; none for a short line.
+    """The templates that a line falls under; none for a line of a single word, which may be a mark of structure.
+
+    A line of fewer than ``least`` tokens, or of variable fields alone, is a template as it stands.
 
     The tree's first level is the number of tokens, the next ``depth`` levels are the leading tokens, with tokens
     that hold a digit or an address as a variable field. In a leaf a template fixes one half of the remaining
     tokens and leaves the other half as a field. So a line has two templates, and the whole line lies in both.
     """
-    tokens = [FIELD if _VARIABLE.search(t) else t for t in _WORDS.findall(line)]
-    if len(tokens) < least or all(t == FIELD for t in tokens):
+    words = _WORDS.findall(line)
+    tokens = [FIELD if _VARIABLE.search(t) else t for t in words]
+    if len(words) < 2:
         return ()
+    if len(words) < least or all(t == FIELD for t in tokens):
+        return ("\0".join([str(len(words)), "", *words]),)
     leaf, rest = [str(len(tokens)), *tokens[:depth]], tokens[depth:]
     if len(rest) < 4 or len(tokens) < 10:  # half of so few tokens says too little
         return ("\0".join([*leaf, "=", *rest]),)

@@ -270,6 +270,15 @@ def test_line_templates(spark, docs, empty):
     assert line_dedup.drop_recurring_lines(docs).count() == docs.count() and line_dedup.drop_recurring_lines(empty).count() == 0
 
 
+def test_short_lines_recur_too(spark):
+    rng = random.Random(12)
+    short = ["All rights reserved.", "2020-01-01 12:00 a@b.example", "1 2 3 4 5 6 7"]
+    rows = [(i, "\n".join([prose(rng, 20), *short, f"page {i}"])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.drop_recurring_lines(df).collect()}
+    assert got[0] == [] and all(got[i] == [1, 2, 3] for i in range(1, 12))
+
+
 def test_repeated_passages(spark, docs, empty):
     rng = random.Random(4)
     passage = prose(rng, 60)
