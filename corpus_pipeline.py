@@ -29,12 +29,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates: the one with the smallest id. Documents without an id stay."""
+    """One row of every group of near duplicates: the one with the smallest id (null last), of these the one with the smallest hash.
+
+    Rows are told apart by id and text, so rows that share an id but not their text stand for themselves, and rows
+    without an id are deduplicated like all others. Rows equal in id and text are one, also if they hold no words.
+    """
     from tallyhound.llm.ngram_jaccard import near_duplicates
 
-    kept = near_duplicates(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*DOCUMENT)
+    docs = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    component = near_duplicates(docs.select("__row", "text"), key="__row").select("__row", "component_id").distinct()
+    names = docs.groupBy("__row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row", "lang", "source")).alias("first"))
+    first = names.join(component, "__row").groupBy("component_id").agg(F.min("first").alias("first")).select("first.__row", "first.lang", "first.source")
+    first = first.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(first.columns)])
+    same = (F.col("__row") == F.col("__0")) & F.col("lang").eqNullSafe(F.col("__1")) & F.col("source").eqNullSafe(F.col("__2"))
+    return docs.join(first, same, "left_semi").dropDuplicates(["__row"]).select(*DOCUMENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,18 @@ def test_ngram_jaccard_equals_all_pairs(spark, docs, empty):
     assert ngram_jaccard.near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_each_group_is_kept(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 600) for _ in range(4))
+    rows = [(1, a), (1, b), (2, b + " end"), (None, c), (None, c), (None, c + " end"), (None, a), (3, d), (3, d), (None, d), (4, ""), (5, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([x for x in got if x[0] is None] + [(1, a), (1, b), (3, d), (4, ""), (5, None)], key=str)
+    assert len(got) == 6 and [t in (c, c + " end") for i, t in got if i is None] == [True]
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     order = list(range(n))
