@@ -114,3 +114,38 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyhound.llm.substring_dedup import repeated_paragraphs
 
     return repeated_paragraphs(_table(spark, sf_dir, "documents")).drop("row")
+
+
+@_query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of all documents."""
+    from tallyhound.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    from tallyhound.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding; labels of every seventh are moved on by one first."""
+    from tallyhound.llm.hard_negatives import mine_hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(_table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+def _oracles() -> dict[str, str]:
+    from tallyhound.llm import hard_negatives, license_scan, prefix_trie
+
+    return {"op11_license_scan": license_scan.oracle_sql(), "op12_prefix_trie": prefix_trie.oracle_sql(),
+            "op13_hard_negatives": hard_negatives.oracle_sql()}
+
+
+ORACLES |= _oracles()
