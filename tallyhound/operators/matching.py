@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import deque
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from tallyhound.operators.rangejoin import bucketed_range_join
 from tallyhound.operators.runs import over_groups
 from tallyhound.operators.sequence import without
 from tallyhound.operators.settle import settle
-from tallyhound.operators.skew import OrderedGroups, per_heat
+from tallyhound.operators.skew import OrderedGroups, per_heat, split_by_heat
 
 # The window and the cost of a pair.
 MINUTES_BEFORE = 180
@@ -22,6 +26,10 @@ USUAL_MINUTES = 45
 UNMATCHED_COST = 5.0
 LITRES_TOLERANCE = 0.5
 
+COMPONENT_ROWS = 2000  # larger components are matched by auction
+EPSILON = 0.005  # least rise of a bid; the auction's total is within this much a refuel of the best
+SLICE_MICROS = 2 * (MINUTES_BEFORE + MINUTES_AFTER) * 60_000_000
+
 
 def assign(cost: np.ndarray, unmatched: float = UNMATCHED_COST) -> np.ndarray:
     """Cheapest assignment of rows to columns; -1 where a row is better left alone at ``unmatched``.
@@ -67,6 +75,18 @@ def assign(cost: np.ndarray, unmatched: float = UNMATCHED_COST) -> np.ndarray:
     return out
 
 
+def in_order_of_ids(taken: np.ndarray, a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    """The pairs of an assignment, equal refuels (instant and litres) served in the order of their ids, a smaller id's request first."""
+    alike: dict[tuple, list[int]] = {}
+    for i, what in enumerate(zip(a["at"].tolist(), a["litres"].tolist())):
+        alike.setdefault(what, []).append(i)
+    out = []
+    for rows in alike.values():
+        got = sorted((int(taken[i]) for i in rows if taken[i] >= 0), key=lambda j: b["id"][j])
+        out += zip(sorted(rows, key=lambda i: a["id"][i]), got)
+    return out
+
+
 def pair_cost(minutes, litres, loaded, voided):
     """Cost of a pair, for columns and for numpy alike apart from the absolute value and the maximum."""
     if isinstance(minutes, Column):
@@ -136,12 +156,109 @@ def match_components(refuels: DataFrame, requests: DataFrame, hot_rows: int | No
     }).drop("__reach", "start", "end", "__before", "__before2", "__after", "__after2")
 
 
-def optimal_pairs(refuels: DataFrame, requests: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def bid_locally(a: dict[str, np.ndarray], active: np.ndarray, b: dict[str, np.ndarray], price: np.ndarray, owner: np.ndarray,
+                refuels_bid: bool, epsilon: float) -> np.ndarray:
+    """Let the active rows of ``a`` bid for rows of ``b`` until each holds one or gives up; returns which gave up.
+
+    ``b`` is in order of time; ``price`` and ``owner`` (index into ``a``, -1 none, -2 elsewhere) change in place. A bidder
+    bids what makes its best partner as good as the second best or as staying alone, and a little more. One that loses
+    its partner bids again if ``inside`` says that it sees all its partners here.
+    """
+    low = np.searchsorted(b["at"], a["first"], side="left")
+    high = np.searchsorted(b["at"], a["last"], side="right")
+    gone = np.zeros(len(low), bool)
+    waiting = deque(np.flatnonzero(active & a["inside"]).tolist())
+    at, litres, voided, may_bid = a["at"], a["litres"], a["voided"], a["inside"].tolist()
+    while waiting:
+        i = waiting.popleft()
+        seen = slice(low[i], high[i])
+        if low[i] == high[i]:
+            gone[i] = True
+            continue
+        if refuels_bid:
+            cost = pair_cost((at[i] - b["at"][seen]) / 60e6, litres[i], b["litres"][seen], b["voided"][seen])
+        else:
+            cost = pair_cost((b["at"][seen] - at[i]) / 60e6, b["litres"][seen], litres[i], voided[i])
+        value = UNMATCHED_COST - cost - price[seen]
+        best = int(np.argmax(value))
+        top = value[best]
+        if top <= 0:
+            gone[i] = True
+            continue
+        value[best] = 0.0  # stands for staying alone
+        best += low[i]
+        price[best] += top - value.max(initial=0.0) + epsilon
+        loser, owner[best] = owner[best], i
+        if loser >= 0 and may_bid[loser]:
+            waiting.append(loser)
+    return gone
+
+
+_BIDDERS = "match_key string, component long, kind string, id string, at long, litres double, voided boolean, bids boolean, price double, owner string, gone boolean"
+
+
+def _bidding(shift: int, epsilon: float):
+    minute = 60_000_000
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        bids = pdf["bids"].to_numpy(dtype=bool)
+        a = pdf[bids].sort_values(["at", "id"], kind="stable").reset_index(drop=True)
+        b = pdf[~bids].sort_values(["at", "id"], kind="stable").reset_index(drop=True)
+        refuels_bid = len(a) > 0 and a["kind"].iloc[0] == "refuel"
+        before, after = (MINUTES_BEFORE, MINUTES_AFTER) if refuels_bid else (MINUTES_AFTER, MINUTES_BEFORE)
+        arrays = lambda side: {c: side[c].to_numpy(dtype=float if c == "voided" else None) for c in ("at", "litres", "voided")}
+        bidders = arrays(a)
+        start = (bidders["at"] + shift) // SLICE_MICROS * SLICE_MICROS - shift
+        first, last = bidders["at"] - before * minute, bidders["at"] + after * minute
+        bidders |= {"first": first, "last": last, "inside": (first >= start) & (last < start + SLICE_MICROS)}
+        number = {x: i for i, x in enumerate(a["id"])}
+        owner = np.array([-1 if x is None else number.get(x, -2) for x in b["owner"]], np.int64)
+        price, was = b["price"].to_numpy(copy=True), owner.copy()
+        a["gone"] |= bid_locally(bidders, ~(a["held"] | a["gone"]).to_numpy(dtype=bool), arrays(b), price, owner, refuels_bid, epsilon)
+        ids = a["id"].to_numpy()
+        b["price"], b["owner"] = price, [old if now == then else ids[now] for old, now, then in zip(b["owner"], owner, was)]
+        return pd.concat([a, b])[[c.split()[0] for c in _BIDDERS.split(", ")]]
+
+    return work
+
+
+def auction_pairs(rows: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """Nearly cheapest one-to-one pairs of components of any size: ``refuel_id, request_id``.
+
+    ``rows`` has ``match_key, component, kind, id, at`` (microseconds), ``litres, voided``. The side of a component with fewer rows bids
+    for rows of the other. Time is cut into slices twice as long as a bidder's window, and in every other round the cuts
+    lie half a slice later, so each bidder sees all its partners inside one slice in one of two rounds running. There it
+    bids with the prices as they stand, which no other task changes then. Prices start at nothing and only rise; when
+    no bidder without a partner wants one, the total cost is within ``epsilon`` per bidder of the least. A task holds the
+    rows of one slice, never pairs, whatever the key's size.
+    """
+    keys = ["match_key", "component"]
+    refuel = F.col("kind") == "refuel"
+    sides = rows.groupBy(*keys).agg((F.count_if(refuel) <= F.count_if(~refuel)).alias("few"))
+    state = rows.join(sides, keys).select(
+        *keys, "kind", "id", "at", "litres", "voided", (refuel == F.col("few")).alias("bids"), F.lit(0.0).alias("price"),
+        F.lit(None).cast("string").alias("owner"), F.lit(False).alias("gone"), F.lit(False).alias("held"))
+    shift = 0
+    while True:
+        sliced = state.withColumn("slice", F.floor((F.col("at") + shift) / SLICE_MICROS))
+        bid = settle(sliced.groupBy(*keys, "slice").applyInPandas(_bidding(shift, epsilon), _BIDDERS))
+        taken = bid.filter("owner is not null").select(*keys, F.lit(True).alias("bids"), F.col("owner").alias("id"), F.lit(True).alias("held"))
+        state = bid.join(taken, [*keys, "bids", "id"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+        if state.filter("bids and not held and not gone").isEmpty():
+            pairs, mine = bid.filter("owner is not null"), F.col("kind") == "refuel"
+            return pairs.select(F.when(mine, F.col("id")).otherwise(F.col("owner")).alias("refuel_id"), F.when(mine, F.col("owner")).otherwise(F.col("id")).alias("request_id"))
+        shift = SLICE_MICROS // 2 - shift
+
+
+def optimal_pairs(refuels: DataFrame, requests: DataFrame, hot_rows: int | None = None, component_rows: int = COMPONENT_ROWS) -> DataFrame:
     """Cheapest one-to-one pairs per component: ``refuel_id, request_id``.
 
-    A component of two rows is settled by an expression; only larger ones go to Python, one at a time.
+    A component of two rows is settled by an expression; larger ones go to Python, one at a time, and those above
+    ``component_rows`` to the auction, whose total is within ``EPSILON`` per pair of the least.
     """
     rows = match_components(refuels, requests, hot_rows)
+    in_pair = F.col("heads_pair") | F.col("ends_pair")
+    rows = settle(rows.filter(~F.col("alone") & (F.col("heads_pair") | ~in_pair)))
     mine = F.struct("kind", "id", "instant", "litres", "voided")
     first = F.col("kind") == "refuel"
     pair = rows.filter(F.col("heads_pair") & (F.col("kind") != F.col("partner.kind"))).select(
@@ -160,30 +277,58 @@ def optimal_pairs(refuels: DataFrame, requests: DataFrame, hot_rows: int | None
         gap = (a["at"][:, None] - b["at"][None, :]) / 60e6
         cost = pair_cost(gap, a["litres"][:, None], b["litres"][None, :], b["voided"][None, :].astype(float))
         cost[(gap > MINUTES_BEFORE) | (gap < -MINUTES_AFTER)] = np.inf
-        return [(a["id"][i], b["id"][j]) for i, j in enumerate(assign(cost)) if j >= 0]
+        return [(a["id"][i], b["id"][j]) for i, j in in_order_of_ids(assign(cost), a, b)]
 
-    in_pair = F.col("heads_pair") | F.col("ends_pair")
-    many = rows.filter(~F.col("alone") & ~in_pair).select(
+    many = rows.filter(~F.col("heads_pair")).select(
         "match_key", "component", "kind", "id", F.unix_micros("instant").alias("at"), "litres", "voided")
-    solved = over_groups(many, ["match_key", "component"], ["at", "id"], solve, "refuel_id string, request_id string")
-    return single.unionByName(solved)
+    keys = ["match_key", "component"]
+    many, large = split_by_heat(many, keys, component_rows)
+    out = single.unionByName(over_groups(many, keys, ["at", "id"], solve, "refuel_id string, request_id string"))
+    return out if large is None else out.unionByName(auction_pairs(large))
+
+
+def _without_crowd(rows: DataFrame, at: str, litres: str, others: DataFrame, other_at: str, other_litres: str, halves: range) -> DataFrame:
+    """``rows`` without those sure to have several candidates: two others in their own litre band and in ``halves``.
+
+    Counts others per half hour and band and adds up the half hours (relative to the row's own) that the window of any row covers in
+    full, so the work grows with rows and cells, not with pairs.
+    """
+    half = lambda c: F.floor(F.unix_seconds(c) / 1800).cast("long")
+    band = lambda c: F.floor(F.col(c) / LITRES_TOLERANCE).cast("long")
+    cells = others.groupBy(half(other_at).alias("__half"), band(other_litres).alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
+    seen = cells.select(F.explode(F.array(*[F.col("__half") - d for d in halves])).alias("__half"), "__cell", "__n")
+    crowded = seen.groupBy("__half", "__cell").agg(F.sum("__n").alias("__n")).filter(F.col("__n") > 1).drop("__n")
+    marked = rows.withColumns({"__half": half(at), "__cell": band(litres)})
+    return marked.join(crowded, ["__half", "__cell"], "left_anti").drop("__half", "__cell")
 
 
 def unique_pairs(refuels: DataFrame, requests: DataFrame) -> DataFrame:
-    """Pairs by time and litres alone, where each is the other's only candidate: ``refuel_id, request_id``."""
+    """Pairs by time and litres alone, where each is the other's only candidate: ``refuel_id, request_id``.
+
+    Refuels and requests that are sure to have several candidates are counted out first, so that only the
+    others are joined: dense hours give counts, not pairs.
+    """
     width = LITRES_TOLERANCE
-    left = refuels.filter(F.col("instant").isNotNull()).select(
-        F.col("id").alias("refuel_id"), F.col("instant").alias("__at"), F.col("litres").alias("__litres"),
-        F.explode(F.array(*[F.floor(F.col("litres") / width) + d for d in (-1, 0, 1)])).alias("__band"))
+    left = refuels.filter(F.col("instant").isNotNull() & F.col("litres").isNotNull()).select(
+        F.col("id").alias("refuel_id"), F.col("instant").alias("__at"), F.col("litres").alias("__litres"))
     right = requests.filter(F.col("instant").isNotNull() & F.col("loaded").isNotNull()).select(
-        F.col("id").alias("request_id"), F.col("instant").alias("__asked"), F.col("loaded").alias("__loaded"),
-        F.floor(F.col("loaded") / width).alias("__band"))
-    pairs = bucketed_range_join(left, right, "__at", "__asked", ["__band"], -MINUTES_AFTER * 60, MINUTES_BEFORE * 60,
-                                F.abs(F.col("__litres") - F.col("__loaded")) <= LITRES_TOLERANCE)
-    pairs = pairs.select("refuel_id", "request_id")
-    alone = pairs.groupBy("refuel_id").agg(F.count(F.lit(1)).alias("n"), F.min("request_id").alias("request_id"))
-    wanted = pairs.groupBy("request_id").agg(F.count(F.lit(1)).alias("m"))
-    return alone.filter(F.col("n") == 1).join(wanted.filter(F.col("m") == 1), "request_id").select("refuel_id", "request_id")
+        F.col("id").alias("request_id"), F.col("instant").alias("__asked"), F.col("loaded").alias("__loaded"))
+    before, after = MINUTES_BEFORE // 30, MINUTES_AFTER // 30
+
+    def candidates(some: DataFrame, others: DataFrame) -> DataFrame:
+        banded = some.withColumn("__band", F.explode(F.array(*[F.floor(F.col("__litres") / width) + d for d in (-1, 0, 1)])))
+        pairs = bucketed_range_join(banded, others.withColumn("__band", F.floor(F.col("__loaded") / width)), "__at", "__asked", ["__band"],
+                                    -MINUTES_AFTER * 60, MINUTES_BEFORE * 60, F.abs(F.col("__litres") - F.col("__loaded")) <= width)
+        return pairs.select("refuel_id", "request_id")
+
+    # A refuel sees the half hours from ``before - 1`` ahead of its own to its own in full, a request the next ``before - 1``.
+    few = _without_crowd(left, "__at", "__litres", right, "__asked", "__loaded", range(1 - before, after))
+    alone = candidates(few, right).groupBy("refuel_id").agg(F.count(F.lit(1)).alias("n"), F.min("request_id").alias("request_id"))
+    alone = settle(alone.filter(F.col("n") == 1).select("refuel_id", "request_id"))
+    sought = right.join(alone.select("request_id").distinct(), "request_id", "left_semi")
+    sought = _without_crowd(sought, "__asked", "__loaded", left, "__at", "__litres", range(after, before))
+    wanted = candidates(left, sought).groupBy("request_id").agg(F.count(F.lit(1)).alias("m"))
+    return alone.join(wanted.filter(F.col("m") == 1), "request_id").select("refuel_id", "request_id")
 
 
 def context_pairs(refuels: DataFrame, requests: DataFrame, vehicles: DataFrame | None = None,
@@ -199,6 +344,39 @@ def context_pairs(refuels: DataFrame, requests: DataFrame, vehicles: DataFrame |
     return pairs.unionByName(unique_pairs(open_refuels, open_requests))
 
 
+def nearest_in_turn(group: dict[str, np.ndarray]) -> list[tuple]:
+    """Each request, in the order given, takes the nearest free refuel; of equally near ones that with the smaller id.
+
+    Refuels are kept in order of time with links to the next free one on either side, so n rows take about n log n steps.
+    """
+    is_refuel = group["kind"] == "refuel"
+    order = np.lexsort((group["id"][is_refuel], group["at"][is_refuel]))
+    at, ids = group["at"][is_refuel][order].tolist(), group["id"][is_refuel][order].tolist()
+    n = len(at)
+    right, left = list(range(n + 1)), list(range(n + 1))  # left is shifted by one: place 0 stands for nothing
+
+    def free(links: list[int], i: int) -> int:
+        end = i
+        while links[end] != end:
+            end = links[end]
+        while links[i] != end:
+            links[i], i = end, links[i]
+        return end
+
+    out = []
+    for request, when in zip(group["id"][~is_refuel].tolist(), group["at"][~is_refuel].tolist()):
+        place = bisect_right(at, when)
+        before, after = free(left, place) - 1, free(right, place)
+        if before < 0 and after == n:
+            break
+        if before >= 0:
+            before = free(right, bisect_left(at, at[before]))  # the smallest id of that instant
+        near = before if after == n else after if before < 0 else min((when - at[before], ids[before], before), (at[after] - when, ids[after], after))[2]
+        right[near], left[near + 1] = near + 1, near
+        out.append((ids[near], request))
+    return out
+
+
 def greedy_day_pairs(refuels: DataFrame, requests: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """The match of an operating system: each settled request, in order of id, takes the nearest refuel of its
     plate and day that is still free, however far in time; ``refuel_id, request_id``.
@@ -219,22 +397,9 @@ def greedy_day_pairs(refuels: DataFrame, requests: DataFrame, excluded: DataFram
     single = groups.filter((F.col("n") == 1) & (F.col("m") == 1)).select(
         F.col("a").alias("refuel_id"), F.col("b").alias("request_id"))
 
-    def take_nearest(group: dict[str, np.ndarray]) -> list[tuple]:
-        is_refuel = group["kind"] == "refuel"
-        at, ids = group["at"][is_refuel], group["id"][is_refuel]
-        free = np.ones(len(at), dtype=bool)
-        out = []
-        for request, when in zip(group["id"][~is_refuel], group["at"][~is_refuel]):
-            if not free.any():
-                break
-            i = int(np.argmin(np.where(free, np.abs(at - when), np.iinfo("int64").max)))
-            free[i] = False
-            out.append((ids[i], request))
-        return out
-
     several = groups.filter((F.col("n") > 1) | (F.col("m") > 1)).select("plate", "day")
     many = rows.join(several, ["plate", "day"], "left_semi").select("plate", "day", "kind", "id", F.unix_micros("instant").alias("at"))
-    return single.unionByName(over_groups(many, ["plate", "day"], ["id"], take_nearest, "refuel_id string, request_id string"))
+    return single.unionByName(over_groups(many, ["plate", "day"], ["id"], nearest_in_turn, "refuel_id string, request_id string"))
 
 
 def matched_refuels(refuels: DataFrame, requests: DataFrame, pairs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:

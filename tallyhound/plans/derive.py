@@ -192,5 +192,6 @@ def with_views(names: list[str], body: str) -> str:
     """The oracle's SQL: the named views as common table expressions, then the body."""
     ctes = ",\n".join(f"{n} AS ({oracle(VIEWS[n])})" for n in names)
     body = body.strip()
-    joined = f"{ctes},\n{body[4:].lstrip()}" if body.upper().startswith("WITH") else f"{ctes}\n{body}"
-    return f"WITH {joined}" if names else body
+    opening = next((o for o in ("WITH RECURSIVE", "WITH") if body.upper().startswith(o)), "")
+    joined = f"{ctes},\n{body[len(opening):].lstrip()}" if opening else f"{ctes}\n{body}"
+    return f"{opening or 'WITH'} {joined}" if names else body

@@ -9,6 +9,7 @@ from tallyhound.operators.rules import invoices, volume
 from tallyhound.operators.settle import settle
 from tallyhound.plans.queries_ledger import plain
 from tallyhound.plans.queries_links import LINK_CTES, link_sql, refuels, requests
+from tallyhound.plans.queries_matching import CONTEXT
 from tallyhound.plans.registry import Inputs, query
 
 _METRICS = """tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall,
@@ -279,7 +280,12 @@ def _(x: Inputs):
         "id", "vehicle_id", "plate", "state", "vehicle_type", "litres", "days_since")
 
 
-@query("ml12_out_of_service_with_requests", ["refuel", "request", "vehicle"])
+@query("ml12_out_of_service_with_requests", ["refuel", "request", "vehicle"], f"""WITH RECURSIVE {CONTEXT}
+SELECT r.id, r.vehicle_id, v.plate, v.state, v.vehicle_type, cast(r.date as date) AS date, r.station, r.litres,
+       cast(datediff('day', state_date, cast(r.date as date)) as int) AS days_since, p.request_id IS NULL AS without_request,
+       CASE WHEN p.request_id IS NULL THEN 'no request: the card was used outside the system' ELSE 'with a request: the state changed after it' END AS reason
+FROM refuel r JOIN vehicle v ON v.vehicle_id = r.vehicle_id LEFT JOIN context_pairs p ON p.refuel_id = r.id
+WHERE state <> 'EN SERVICIO' AND cast(r.date as date) >= state_date""")
 def _(x: Inputs):
     a, b = refuels(x), requests(x)
     return ranking.out_of_service_refuels(a, x.view("vehicle"), matching.context_pairs(a, b, x.view("vehicle")))
@@ -328,7 +334,32 @@ def _causes(x: Inputs):
     return causes.probable_causes(a, b, pairs, matching.unserved_requests(b, pairs))
 
 
-@query("r20_probable_causes", ["refuel", "request", "vehicle"])
+# The likeliest request of every refuel without one by a plain join; readings around it in both vehicles decide.
+CAUSES = f"""{CONTEXT},
+rd AS (SELECT id, vehicle_id, litres, cast(odometer as double) AS o, cast(date || ' ' || coalesce(time, '00:00:00') as timestamp) AS t
+       FROM refuel WHERE odometer IS NOT NULL),
+ask AS (SELECT id, vehicle_id, loaded, strptime(date || ' ' || time, '%d/%m/%Y %H:%M:%S') AS t, station = 'ESTACION AJENA' AS abroad FROM request
+        WHERE loaded IS NOT NULL AND (station = 'ESTACION AJENA' OR (settled = 'SI' AND voided <> 'SI' AND id NOT IN (SELECT request_id FROM context_pairs)))),
+cand AS (SELECT rd.*, ask.id AS request_id, ask.vehicle_id AS other, abroad, CASE WHEN abroad THEN 0 ELSE 1 END AS native, abs(epoch(rd.t) - epoch(ask.t)) AS gap
+         FROM rd JOIN ask ON abs(rd.litres - ask.loaded) <= 0.5 AND rd.t - ask.t BETWEEN INTERVAL '-30' MINUTE AND INTERVAL '180' MINUTE
+           AND abroad = coalesce(rd.vehicle_id = ask.vehicle_id, false)
+         WHERE rd.vehicle_id IS NOT NULL AND rd.id NOT IN (SELECT refuel_id FROM context_pairs)),
+best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY id ORDER BY native, gap, request_id) = 1),
+side AS (SELECT best.id, own, arg_max(rd.o, (rd.t, rd.id)) FILTER (rd.t < best.t) AS low, arg_min(rd.o, (rd.t, rd.id)) FILTER (rd.t > best.t) AS high,
+                arg_min(rd.id, (rd.t, rd.id)) FILTER (rd.t > best.t) AS next_id
+         FROM best CROSS JOIN (VALUES (true), (false)) w(own) JOIN rd ON rd.vehicle_id = CASE WHEN own THEN best.vehicle_id ELSE best.other END
+         WHERE native = 1 GROUP BY best.id, own),
+judged AS (SELECT best.*, me.next_id, CASE WHEN native = 0 THEN 'proveedor_equivocado'
+             WHEN coalesce(he.low <= o, true) AND coalesce(o <= he.high, true) AND NOT (coalesce(me.low <= o, true) AND coalesce(o <= me.high, true))
+             THEN 'tarjeta_equivocada' ELSE 'dominio_equivocado' END AS cause
+           FROM best LEFT JOIN side me ON me.id = best.id AND me.own LEFT JOIN side he ON he.id = best.id AND NOT he.own),
+told AS (SELECT id AS record_id, cause, native, gap, id FROM judged UNION ALL SELECT request_id, cause, native, gap, id FROM judged
+         UNION ALL SELECT next_id, cause, native, gap, id FROM judged WHERE cause = 'tarjeta_equivocada' AND next_id IS NOT NULL),
+probable AS (SELECT record_id, cause FROM told
+             QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY native DESC, gap DESC, id DESC, (record_id = id) DESC) = 1)"""
+
+
+@query("r20_probable_causes", ["refuel", "request", "vehicle"], f"WITH RECURSIVE {CAUSES} SELECT record_id, cause FROM probable")
 def _(x: Inputs):
     return _causes(x)
 

@@ -89,3 +89,70 @@ def test_greedy_takes_requests_in_order(spark):
     requests = typed_requests(spark.createDataFrame([
         request("P1", "AA001BB", "10:50:00", 40.0), request("P2", "AA001BB", "10:01:00", 40.0), request("P3", "AA001BB", "12:00:00", 40.0)], REQUEST))
     assert pairs(matching.greedy_day_pairs(refuels, requests)) == {("C1", "P1"), ("C2", "P2")}
+
+
+def cost_of(found, a, b):
+    """Total cost of pairs plus that of the refuels left alone; checks one-to-one and the window."""
+    assert len({f for f, _ in found}) == len({q for _, q in found}) == len(found)
+    total = matching.UNMATCHED_COST * (len(a) - len(found))
+    for f, q in found:
+        minutes = (a[f][0] - b[q][0]) / 60
+        assert -matching.MINUTES_AFTER <= minutes <= matching.MINUTES_BEFORE
+        total += float(matching.pair_cost(np.float64(minutes), a[f][1], b[q][1], b[q][2]))
+    return total
+
+
+@pytest.mark.parametrize("n,m", [(60, 40), (40, 70)])
+def test_auction_costs_as_little_as_the_exact_match(spark, n, m):
+    """Chains of overlapping windows over several slices, by either side as the bidder."""
+    rng = np.random.default_rng(n)
+    for seed in range(2):
+        a = {f"F{i:03d}": (int(rng.integers(0, 60_000)), float(rng.integers(10, 60)), False) for i in range(n)}
+        b = {f"Q{i:03d}": (int(rng.integers(0, 60_000)), float(rng.integers(10, 60)), bool(rng.random() < 0.2)) for i in range(m)}
+        rows = [("K", 1, kind, k, v[0] * 1_000_000, v[1], v[2]) for kind, side in (("refuel", a), ("request", b)) for k, v in side.items()]
+        df = spark.createDataFrame(rows, "match_key string, component long, kind string, id string, at long, litres double, voided boolean")
+        got = cost_of(pairs(matching.auction_pairs(df)), a, b)
+        gap = np.array([[(x[0] - y[0]) / 60 for y in b.values()] for x in a.values()])
+        cost = np.array([[float(matching.pair_cost(np.float64(g), x[1], y[1], y[2])) for g, y in zip(row, b.values())] for row, x in zip(gap, a.values())])
+        cost[(gap > matching.MINUTES_BEFORE) | (gap < -matching.MINUTES_AFTER)] = np.inf
+        best = sum(matching.UNMATCHED_COST if j < 0 else cost[i, j] for i, j in enumerate(matching.assign(cost)))
+        assert best - 1e-9 <= got <= best + matching.EPSILON * min(n, m)
+
+
+def test_large_components_take_the_auction(spark, vehicles):
+    refuels = typed_refuels(spark.createDataFrame([(f"C{i}", "AA001BB", "T1", None, "PATENTE", "2024-03-05", f"10:0{i}:00", 40.0 + i) for i in range(4)], REFUEL))
+    requests = typed_requests(spark.createDataFrame([request(f"P{i}", "AA001BB", f"09:1{i}:00", 40.0 + i) for i in range(4)], REQUEST))
+    left, right = matching.keyed_refuels(refuels, vehicles), matching.keyed_requests(requests)
+    want = {(f"C{i}", f"P{i}") for i in range(4)}
+    assert pairs(matching.optimal_pairs(left, right)) == pairs(matching.optimal_pairs(left, right, component_rows=2)) == want
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_nearest_in_turn_is_the_plain_search(seed):
+    rng = np.random.default_rng(seed)
+    n, m = rng.integers(0, 12, 2)
+    group = {"kind": np.array(["refuel"] * n + ["request"] * m, object), "at": rng.integers(0, 20, n + m),
+             "id": np.array([f"F{i:02d}" for i in rng.permutation(n)] + [f"Q{i:02d}" for i in range(m)], object)}
+    free = {group["id"][i]: int(group["at"][i]) for i in range(n)}
+    want = []
+    for request_id, when in zip(group["id"][n:], group["at"][n:]):
+        if free:
+            near = min(free, key=lambda f: (abs(free[f] - when), f))
+            want.append((near, request_id))
+            del free[near]
+    assert matching.nearest_in_turn(group) == want
+
+
+def test_unique_pairs_where_most_are_crowded(spark):
+    rng = np.random.default_rng(8)
+    at = lambda: int(rng.integers(0, 40_000))
+    a = [(f"F{i}", at(), round(float(rng.choice([30.0, 30.2, 30.5, 31.0, rng.uniform(5, 400)])), 2)) for i in range(220)]
+    b = [(f"Q{i}", at(), round(float(rng.choice([30.0, 30.5, rng.uniform(5, 400)])), 2)) for i in range(220)]
+    a += [("F-null", at(), None)]
+    near = [(f, q) for f, s, x in a if x is not None for q, t, y in b if abs(x - y) <= 0.5 + 1e-12 and -1800 <= s - t <= 10800]
+    ones = {p for p in near if sum(p[0] == f for f, _ in near) == 1 and sum(p[1] == q for _, q in near) == 1}
+    from pyspark.sql import functions as F
+
+    left = spark.createDataFrame(a, "id string, s long, litres double").withColumn("instant", F.timestamp_seconds("s"))
+    right = spark.createDataFrame(b, "id string, s long, loaded double").withColumn("instant", F.timestamp_seconds("s"))
+    assert pairs(matching.unique_pairs(left, right)) == ones and len(ones) > 10
