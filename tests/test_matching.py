@@ -146,8 +146,12 @@ def test_nearest_in_turn_is_the_plain_search(seed):
 def test_unique_pairs_where_most_are_crowded(spark):
     rng = np.random.default_rng(8)
     at = lambda: int(rng.integers(0, 40_000))
-    a = [(f"F{i}", at(), round(float(rng.choice([30.0, 30.2, 30.5, 31.0, rng.uniform(5, 400)])), 2)) for i in range(220)]
-    b = [(f"Q{i}", at(), round(float(rng.choice([30.0, 30.5, rng.uniform(5, 400)])), 2)) for i in range(220)]
+    a = [(f"F{i}", at(), float(rng.choice([30.0, 30.2, 30.5, 31.0]))) for i in range(200)]
+    b = [(f"Q{i}", at(), float(rng.choice([30.0, 30.5, 29.9]))) for i in range(200)]
+    for i in range(40):
+        when = at()
+        a.append((f"G{i}", when, 100.0 + 3 * i))
+        b += [(f"P{i}-{k}", when - int(rng.integers(-2000, 11_000)), 100.0 + 3 * i + float(rng.choice([-0.5, 0, 0.5, 0.6]))) for k in range(2)]
     a += [("F-null", at(), None)]
     near = [(f, q) for f, s, x in a if x is not None for q, t, y in b if abs(x - y) <= 0.5 + 1e-12 and -1800 <= s - t <= 10800]
     ones = {p for p in near if sum(p[0] == f for f, _ in near) == 1 and sum(p[1] == q for _, q in near) == 1}
@@ -155,4 +159,4 @@ def test_unique_pairs_where_most_are_crowded(spark):
 
     left = spark.createDataFrame(a, "id string, s long, litres double").withColumn("instant", F.timestamp_seconds("s"))
     right = spark.createDataFrame(b, "id string, s long, loaded double").withColumn("instant", F.timestamp_seconds("s"))
-    assert pairs(matching.unique_pairs(left, right)) == ones and len(ones) > 10
+    assert pairs(matching.unique_pairs(left, right)) == ones and len(ones) > 5

@@ -1,12 +1,14 @@
 """No small group can be read or recovered by subtraction."""
 
+import itertools
 import random
 
 import pytest
 
 from tallyhound.functions import bands
 from tallyhound.operators.profile import normalise_name, sensitivity_of_name
-from tallyhound.operators.suppress import suppress_axis, suppress_parts
+from tallyhound.operators import audit
+from tallyhound.operators.suppress import _Told, suppress_axis, suppress_parts
 from tallyhound.sources.files import name_pattern
 
 
@@ -38,6 +40,51 @@ def test_no_remainder_of_a_small_group(spark):
         assert not any(0 < n < 20 for n in shown)
 
 
+def test_nested_block_does_not_give_a_hidden_cell(spark):
+    rows = [("a", "x", 60, 88), ("a", "y", 23, 88), ("a", "z", 5, 88), ("a.y", "u", 23, 23), ("alone", "p", 50, 50)]
+    out = audit.publish(spark.createDataFrame(rows, "block string, part string, n long, total long"), {"a.y": ("a", "y")}).collect()
+    got = {(r["block"], r["part"]): (r["published"], r["total"]) for r in out}
+    assert got[("a", "z")] == ("1–19", "88") and got[("alone", "p")] == ("50", "50")
+    assert got[("a", "y")][0] is None and got[("a.y", "u")][1] is None
+    assert got[("a", "x")][0] is None or got[("a.y", "u")][0] is None  # else z is 88 - 60 - 23
+
+
+def possible(told, most):
+    """Every assignment of the unknowns that agrees with all that is published, by trying all numbers."""
+    unknown = [x for x in told.value if not told.visible(x)]
+    spans = {x: range(0, most) if x[0] == "rest" else range(1, told.minimum) if 0 < told.value[x] < told.minimum else range(told.minimum, most) for x in unknown}
+    fixed = {x: n for x, n in told.value.items() if told.visible(x)}
+    for pick in itertools.product(*spans.values()):
+        full = fixed | dict(zip(unknown, pick))
+        if all(full[whole] == sum(full[p] for p in parts) for _, (whole, *parts) in told.sums):
+            yield full
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_all_published_numbers_together_give_no_small_group(seed):
+    """Trees of two or three blocks, small enough to try every solution; groups of 1 and 2 are to be protected."""
+    rng = random.Random(seed)
+    outer = [rng.choice([0, 1, 2, 3, 4, 6]) for _ in range(rng.randint(2, 3))]
+    rows = [("a", f"p{i}", n, sum(outer) + (rng.choice([0, 0, 1])), None, None) for i, n in enumerate(outer)]
+    rows = [(*r[:3], rows[0][3], *r[4:]) for r in rows]
+    for i in rng.sample(range(len(outer)), rng.randint(1, 2)):
+        inside = rng.randint(0, outer[i]) if rng.random() < 0.3 else outer[i]
+        cut = rng.randint(0, inside)
+        rows += [(f"b{i}", "u", cut, inside, "a", f"p{i}"), (f"b{i}", "v", inside - cut, inside, "a", f"p{i}")]
+    told = _Told(rows, 3)
+    told.protect()
+    if any(told.visible(x) and told.value[x] >= 3 for x in told.value):
+        solutions = list(possible(told, 9))
+        assert told.value in solutions
+        for x in told.value:
+            if not told.visible(x) and 0 < told.value[x] < 3:
+                assert len({s[x] for s in solutions}) > 1, (x, rows)
+        for _, (whole, *parts) in told.sums:
+            hidden = [p for p in parts if not told.visible(p)]
+            sums = {sum(s[p] for p in hidden) for s in solutions}
+            assert not hidden or told.value[whole] < 3 or len(sums) > 1 or not 0 < next(iter(sums)) < 3, rows
+
+
 def test_axis(spark):
     cells = spark.createDataFrame([(1, "2024-01", "a", 30), (1, "2024-02", "a", 40), (1, "2024-01", "b", 25), (1, "2024-02", "b", 50)],
                                   "block int, month string, field string, n long")
