@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhound.operators.skew import OrderedGroups, per_heat
+from tallyhound.operators.skew import ranged_running_sums
 
 MINIMUM_GAIN = 0.10  # fixed value: F1 a hypothesis must gain to hold
 
@@ -216,19 +216,12 @@ def confusion(labelled: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def ordering_quality(scored: DataFrame, keys: list[str], order: str = "record_id") -> DataFrame:
     """Average precision, ties together, and precision within the first k, k the number of real ones.
 
-    Scores are first counted per distinct value. Running sums over a key's distinct scores are cut into
-    ranges of the score, so a method with millions of scores is not summed in one task.
+    Scores are first counted per distinct value and added up over ranges of the score, each in its own task however close
+    the scores lie. Where the k-th place falls into equal scores, the order of the ids' MD5 decides.
     """
     counts = scored.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"), F.count_if("real").alias("tp"))
-    # Descending score as an ascending pseudo instant lets the sliced running sums do the work.
-    ranked = counts.withColumn("__at", F.timestamp_micros(F.round(-F.greatest(F.lit(-9e9), F.least(F.lit(9e9), F.col("score"))) * 1e9).cast("long"))).withColumn(
-        "__neg", -F.col("score"))
-    groups = OrderedGroups(keys, ["__at", "__neg"], slice_seconds=1)
-
-    def body(rows: DataFrame, hot: bool) -> DataFrame:
-        return groups.running(rows, {"cum_n": ("sum", F.col("n"), True), "cum_tp": ("sum", F.col("tp"), True)}, hot)
-
-    sums = per_heat(ranked, keys, body)
+    ranked = counts.withColumn("__neg", -F.col("score"))
+    sums = ranged_running_sums(ranked, keys, ["__neg"], {"cum_n": F.col("n"), "cum_tp": F.col("tp")})
     totals = counts.groupBy(*keys).agg(F.sum("tp").alias("k"))
     joined = sums.join(totals, keys)
     ap = F.sum(F.col("tp") / F.col("k") * F.col("cum_tp") / F.col("cum_n"))
@@ -240,15 +233,9 @@ def ordering_quality(scored: DataFrame, keys: list[str], order: str = "record_id
                      F.struct(F.col("score"), before_n.alias("n"), before_tp.alias("tp")))).alias("cut"))
     tied = scored.join(whole.select(*keys, F.col("cut.score").alias("score"), (F.col("k") - F.col("cut.n")).alias("room")),
                        [*keys, "score"])
-    # Equal scores are taken in the order of a hash of the id, which spreads a large tie over many slices.
-    spread = tied.withColumn("__at", F.timestamp_micros(F.shiftrightunsigned(F.xxhash64(order), 18)))
-    places = OrderedGroups(keys, ["__at", order])
-
-    def rank(rows: DataFrame, hot: bool) -> DataFrame:
-        return places.running(rows, {"__rank": ("sum", F.lit(1), True)}, hot)
-
-    taken = per_heat(spread, keys, rank).filter(F.col("__rank") <= F.col("room")).groupBy(*keys).agg(
-        F.count_if("real").alias("__tied"))
+    spread = tied.withColumn("__place", F.md5(F.col(order).cast("string")))
+    placed = ranged_running_sums(spread, keys, ["__place", order], {"__rank": F.lit(1)})
+    taken = placed.filter(F.col("__rank") <= F.col("room")).groupBy(*keys).agg(F.count_if("real").alias("__tied"))
     return whole.join(taken, keys, "left").select(
         *keys, "average_precision",
         ((F.col("cut.tp") + F.coalesce("__tied", F.lit(0))) / F.col("k")).alias("precision_at_k"), "k")

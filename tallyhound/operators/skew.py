@@ -141,6 +141,23 @@ class OrderedGroups:
         return inner.select(*[F.col(c) for c in df.columns], *out)
 
 
+def ranged_running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Add running sums, the current row included, per ``keys`` in ``order`` (ascending, total inside a key).
+
+    Rows are dealt by ranges of key and order, as many of each as of any other, summed inside a range, and moved on by the
+    totals of the ranges before. So a key of any size is spread, however close together its values lie.
+    """
+    values = df.select("*", *[e.alias(f"__v{i}") for i, e in enumerate(sums.values())])
+    ranged = settle(values.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "__range").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(sums))])
+    carried = totals.select(*[F.col(k).alias(f"__k_{k}") for k in [*keys, "__range"]], *[F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__c{i}") for i in range(len(sums))])
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, "__range"]]
+    out = ranged.select("*", *[F.sum(f"__v{i}").over(inside).alias(f"__s{i}") for i in range(len(sums))])
+    return out.join(carried, same).select(*df.columns, *[(F.col(f"__s{i}") + F.col(f"__c{i}")).alias(name) for i, name in enumerate(sums)])
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first by ``order``; combined on the map side, so repeats of a key cost little.
 

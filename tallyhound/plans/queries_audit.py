@@ -9,7 +9,8 @@ from tallyhound.operators import audit, linkage, matching, sequence
 from tallyhound.operators.rules import odometer, volume
 from tallyhound.operators.settle import settle
 from tallyhound.plans.queries_links import LINK_CTES, NORM, link_sql, refuels, requests
-from tallyhound.plans.queries_sequence import PLAIN_SEQ, _SHAPE, exempt
+from tallyhound.plans.queries_matching import CONTEXT as CONTEXT_PAIRS
+from tallyhound.plans.queries_sequence import EXEMPT, OWN, PLAIN_SEQ, SEQ, _SHAPE, exempt
 from tallyhound.plans.queries_sources import data
 from tallyhound.plans.registry import Inputs, query
 
@@ -36,12 +37,51 @@ def _(x: Inputs):
     return audit.explain_unlinked(flagged, "plate", x.view("vehicle"), others(x), F.col("known")).select("id", "cause")
 
 
-@query("au02_linkage")
+@query("au02_linkage", ["refuel", "vehicle", "device", "request"], f"""WITH {LINK_CTES},
+own AS (SELECT * FROM refuel WHERE coalesce(id_type <> 'DNI', true)),
+li AS (SELECT link_tier AS t, card IN (SELECT card FROM vehicle) AS known FROM ({link_sql('own')})),
+ti AS (SELECT count(*) AS total, count(*) FILTER (t = 'exacto') AS e, count(*) FILTER (t IN ('exacto', 'normalizado')) AS n, count(t) AS m,
+              count(*) FILTER (t IS NOT NULL OR coalesce(known, false)) AS c FROM li),
+codes AS (SELECT DISTINCT {NORM.format(c='plate')} AS p FROM vehicle),
+u AS (SELECT id, {NORM.format(c='plate')} AS c, coalesce(card IN (SELECT card FROM vehicle), false) AS known FROM own),
+l AS (SELECT * FROM u WHERE c IS NULL OR c NOT IN (SELECT p FROM codes)),
+oth AS (SELECT {NORM.format(c='plate')} AS p FROM device UNION SELECT {NORM.format(c='plate')} FROM request),
+k AS (SELECT DISTINCT c FROM l WHERE c <> ''),
+near AS (SELECT c, p, levenshtein(c, p) AS d, list_filter(range(1, length(c) + 1), lambda i: c[i] <> p[i])[1] AS f FROM k JOIN codes
+         ON abs(length(c) - length(p)) <= 1 AND damerau_levenshtein(c, p) = 1),
+edit AS (SELECT c, CASE WHEN length(c) <> length(p) THEN 'letra_de_mas_o_de_menos' WHEN d = 1 AND c[f] || p[f] IN ('0O', 'O0', '1I', 'I1', '8B', 'B8')
+           THEN 'confusion_visual' WHEN d = 1 THEN 'letra_cambiada' ELSE 'transposicion' END AS edit FROM near
+         QUALIFY row_number() OVER (PARTITION BY c ORDER BY length(p), p) = 1),
+why AS (SELECT id, l.c, edit, CASE WHEN l.c IS NULL OR l.c = '' THEN 'vacio' WHEN regexp_matches(l.c, '^[0-9]+$') THEN 'solo_digitos'
+          WHEN regexp_matches(l.c, '^[A-Z]+$') THEN 'solo_letras' WHEN length(l.c) NOT IN (SELECT length(p) FROM codes) THEN 'largo_distinto'
+          ELSE 'forma_de_dominio' END AS shape, known, l.c IN (SELECT s FROM tails) AS engine, coalesce(l.c IN (SELECT p FROM oth), false) AS other
+        FROM l LEFT JOIN edit ON edit.c = l.c),
+cause AS (SELECT *, CASE WHEN known THEN 'clave_propia' WHEN engine THEN 'ultimos_8_del_motor' WHEN edit IS NOT NULL THEN 'distancia_1_de_un_dominio'
+            WHEN other THEN 'otra_fuente' WHEN shape <> 'forma_de_dominio' THEN 'forma_del_identificador' ELSE 'sin_explicacion' END AS cause FROM why),
+counted AS (SELECT 'por_causa' AS block, cause AS part FROM cause UNION ALL SELECT 'distancia_1_por_edicion', edit FROM cause WHERE cause = 'distancia_1_de_un_dominio'
+  UNION ALL SELECT 'forma_de_todas_las_sin_vinculo', shape FROM cause UNION ALL SELECT 'forma_del_identificador', shape FROM cause WHERE cause = 'forma_del_identificador'),
+grouped AS (SELECT block, part, count(*) AS n FROM counted GROUP BY ALL)
+SELECT block, part, n, cast(sum(n) OVER (PARTITION BY block) as bigint) AS total FROM grouped
+UNION ALL SELECT 'vinculadas', i.part, i.n, total FROM (SELECT unnest([{{'part': 'exacto', 'n': e}}, {{'part': 'normalizado', 'n': n}}, {{'part': 'motor', 'n': m}},
+  {{'part': 'tarjeta', 'n': c}}]) AS i, total FROM ti)""")
+def _(x: Inputs):
+    return audit.linkage_block(x.view("refuel"), x.view("vehicle"), others(x))
+
+
+@query("au02_published_linkage")
 def _(x: Inputs):
     return audit.publish(audit.linkage_block(x.view("refuel"), x.view("vehicle"), others(x)))
 
 
-@query("au03_odometer_exemptions")
+@query("au03_odometer_exemptions", ["refuel", "vehicle", "exemption"], f"""WITH {SEQ.format(source=OWN.format(exempt=EXEMPT), skip="")},
+ex AS (SELECT DISTINCT id FROM refuel WHERE {EXEMPT}),
+fl AS (SELECT id, bool_or(km = 0) AS still, bool_or(km = 0 AND days > 0 AND NOT exempt) AS o FROM seq WHERE km = 0 GROUP BY id),
+ro AS (SELECT coalesce(still, false) AS still, coalesce(o, false) AS o, ex.id IS NOT NULL AS covered FROM fl FULL JOIN ex ON ex.id = fl.id),
+c AS (SELECT count(*) FILTER (covered) AS a, count(*) FILTER (still) AS b, count(*) FILTER (still AND covered) AS d, count(*) FILTER (still AND NOT o) AS e,
+             count(*) FILTER (o) AS f FROM ro)
+SELECT 'vehiculos_exceptuados_hoy' AS block, 'exceptuados' AS part, count(*) FILTER (odometer_exempt = 'SI') AS n FROM vehicle
+UNION ALL SELECT 'cargas_sin_avance', i.part, i.n FROM (SELECT unnest([{{'part': 'cargas_con_excepcion_vigente', 'n': a}}, {{'part': 'sin_avance', 'n': b}},
+  {{'part': 'sin_avance_con_excepcion', 'n': d}}, {{'part': 'sin_avance_el_mismo_dia_o_con_excepcion', 'n': e}}, {{'part': 'sin_avance_sin_excepcion', 'n': f}}]) AS i FROM c)""")
 def _(x: Inputs):
     steps = settle(sequence.odometer_sequence(refuels(x), exempt=exempt(x)))
     alerts = odometer.no_advance(steps).unionByName(odometer.no_advance_without_exemption(steps))
@@ -73,10 +113,25 @@ def _(x: Inputs):
     return audit.fallback_block(r, audit.fallback_pairs(r)).filter("block = 'litros_con_la_carga_mas_parecida'").select("part", "n")
 
 
-@query("au06_excess")
+@query("au06_excess", ["refuel", "vehicle"], """
+WITH ra AS (SELECT r.id, r.vehicle_id, r.date, litres / tank_capacity AS q FROM refuel r LEFT JOIN vehicle v ON v.vehicle_id = r.vehicle_id),
+po AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY date, id) - 1 AS pos, count(*) OVER (PARTITION BY vehicle_id) AS usable FROM ra WHERE q IS NOT NULL),
+ea AS (SELECT DISTINCT vehicle_id FROM po WHERE q > 1.02 AND pos < greatest(usable * 0.25, 1)),
+cl AS (SELECT *, CASE WHEN vehicle_id IN (SELECT vehicle_id FROM ea) THEN 'desde_el_inicio' ELSE 'despues' END AS w FROM po WHERE q > 1.02),
+ow AS (SELECT w, vehicle_id, count(*) AS n, count(*) / any_value(usable) AS part, stddev_pop(q) / avg(q) AS cv FROM cl GROUP BY 1, 2),
+li AS (SELECT w || '_cociente' AS block, CASE WHEN q <= 1.05 THEN '1_02_a_1_05' WHEN q <= 1.10 THEN '1_05_a_1_10' WHEN q <= 1.25 THEN '1_10_a_1_25'
+         WHEN q <= 1.50 THEN '1_25_a_1_50' ELSE 'mas_de_1_50' END AS part FROM cl
+  UNION ALL SELECT w || '_fraccion', CASE WHEN part < 0.10 THEN 'menos_de_0_10' WHEN part <= 0.30 THEN '0_10_a_0_30' WHEN part < 0.60 THEN '0_30_a_0_60' ELSE 'mas_de_0_60' END FROM ow
+  UNION ALL SELECT w || '_cv', CASE WHEN cv < 0.05 THEN 'menos_de_0_05' WHEN cv <= 0.15 THEN '0_05_a_0_15' WHEN cv <= 0.30 THEN '0_15_a_0_30' ELSE 'mas_de_0_30' END FROM ow WHERE n >= 3),
+gr AS (SELECT block, part, count(*) AS n FROM li GROUP BY ALL),
+su AS (SELECT count(*) AS total, count(q) AS a, count(*) - count(q) AS b, count(*) FILTER (q > 1.0) AS c, count(*) FILTER (q > 1.02) AS d, count(*) FILTER (q > 1.05) AS e,
+              count(*) FILTER (q > 1.1) AS f FROM ra)
+SELECT block, part, n, cast(sum(n) OVER (PARTITION BY block) as bigint) AS total FROM gr
+UNION ALL SELECT 'exceso_volumetrico', i.part, i.n, total FROM (SELECT unnest([{'part': 'cargas_evaluables', 'n': a}, {'part': 'cargas_sin_capacidad_registrada', 'n': b},
+  {'part': 'mas_de_1_0', 'n': c}, {'part': 'mas_de_1_02', 'n': d}, {'part': 'mas_de_1_05', 'n': e}, {'part': 'mas_de_1_1', 'n': f}]) AS i, total FROM su)""")
 def _(x: Inputs):
     alerts = volume.over_tank_with_history(refuels(x), x.view("vehicle"))
-    return audit.publish(audit.excess_block(refuels(x), x.view("vehicle"), alerts))
+    return audit.excess_block(refuels(x), x.view("vehicle"), alerts)
 
 
 @query("au06_excess_concentration", ["refuel", "vehicle"], """
@@ -108,11 +163,23 @@ def _(x: Inputs):
     return audit.coverage_block(refuels(x), requests(x), None, None).select("block", "part", "n")
 
 
-@query("au09_time_windows")
+@query("au09_time_windows", ["refuel", "request", "vehicle"], f"""WITH RECURSIVE {CONTEXT_PAIRS},
+fr AS (SELECT r.id, substr(r.date, 1, 7) AS month, {NORM.format(c='coalesce(v.plate, r.plate)')} AS k,
+              epoch(cast(r.date || ' ' || coalesce(r.time, '00:00:00') as timestamp)) AS s, context_pairs.request_id
+       FROM refuel r LEFT JOIN vehicle v ON v.vehicle_id = r.vehicle_id LEFT JOIN context_pairs ON context_pairs.refuel_id = r.id),
+fq AS (SELECT id, {NORM.format(c='plate')} AS k, epoch(strptime(date || ' ' || time, '%d/%m/%Y %H:%M:%S')) AS s FROM request WHERE station <> 'ESTACION AJENA'),
+mi AS (SELECT fr.id, any_value(month) AS month, min(abs(fr.s - fq.s)) / 60 AS m FROM fr LEFT JOIN fq ON fq.k = fr.k WHERE request_id IS NULL GROUP BY fr.id),
+gap AS (SELECT abs(fr.s - fq.s) / 60 AS m FROM fr JOIN fq ON fq.id = fr.request_id),
+listed AS (SELECT 'cargas_sin_pedido' AS block, CASE WHEN m <= 180 THEN 'hasta_3_horas' WHEN m <= 360 THEN 'de_3_a_6_horas' WHEN m <= 720 THEN 'de_6_a_12_horas' WHEN m <= 1440 THEN 'de_12_a_24_horas' ELSE 'ninguno_a_menos_de_24_horas' END AS part FROM mi
+  UNION ALL SELECT 'cargas_sin_pedido_por_mes', month FROM mi
+  UNION ALL SELECT 'minutos_de_los_pares_que_cruzan', CASE WHEN m <= 5 THEN 'hasta_5' WHEN m <= 30 THEN 'de_5_a_30' WHEN m <= 60 THEN 'de_30_a_60'
+    WHEN m <= 180 THEN 'de_1_a_3_horas' ELSE 'mas_de_3_horas' END FROM gap),
+grouped AS (SELECT block, part, count(*) AS n FROM listed GROUP BY ALL)
+SELECT block, part, n, cast(sum(n) OVER (PARTITION BY block) as bigint) AS total FROM grouped""")
 def _(x: Inputs):
     r, q = refuels(x), requests(x)
     pairs = settle(matching.context_pairs(r, q, x.view("vehicle")))
-    return audit.publish(audit.time_window_block(r, q, x.view("vehicle"), pairs))
+    return audit.time_window_block(r, q, x.view("vehicle"), pairs)
 
 
 @query("au10_invoice_prices", ["invoice", "invoice_line"], """

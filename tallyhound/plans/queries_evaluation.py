@@ -168,9 +168,12 @@ def _(x: Inputs):
     return out.select("method", F.round("average_precision", 6).alias("average_precision"))
 
 
-@query("ev07_precision_at_k")
+@query("ev07_precision_at_k", [], f"""WITH {_LABELLED},
+o AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, md5(doc_id::varchar), doc_id) AS place,
+             count(*) FILTER (real) OVER (PARTITION BY method) AS k FROM lab)
+SELECT method, round(count(*) FILTER (real AND place <= k) / any_value(k), 6) AS precision_at_k, any_value(k) AS k FROM o WHERE k > 0 GROUP BY method""")
 def _(x: Inputs):
-    return evaluate.ordering_quality(labelled(x), ["method"]).select("method", "precision_at_k", "k")
+    return evaluate.ordering_quality(labelled(x), ["method"]).select("method", F.round("precision_at_k", 6).alias("precision_at_k"), "k")
 
 
 @query("ev08_over_runs", [], f"""WITH {_LABELLED}, {_CONFUSION},

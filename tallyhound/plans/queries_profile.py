@@ -10,6 +10,7 @@ from tallyhound.functions.geo import haversine_km
 from tallyhound.operators import eda, profile, suppress
 from tallyhound.operators.matching import greedy_day_pairs
 from tallyhound.plans.queries_links import NORM, refuels, requests
+from tallyhound.plans.queries_matching import GREEDY
 from tallyhound.plans.registry import Inputs, query
 
 ACCENTS = text.ACCENTED, text.PLAIN
@@ -84,7 +85,25 @@ def _(x: Inputs):
                                                      "extra_spaces_pct", "mixed_case_pct", "numbers_as_text_pct")
 
 
-@query("pf04_text_types")
+_IS_DATE = "regexp_matches(shape, '^9{1,4}[-/.]9{1,2}[-/.]9{1,4}([ T]9{1,2}:9{2}(:9{2})?(\\.9+)?)?$')"
+_IS_CODE = "(length(shape) >= 6 AND NOT regexp_matches(shape, '^9{1,2}:9{2}(:9{2})?(\\.9+)?$') AND length(regexp_replace(shape, '[^9]', '', 'g')) / length(shape) >= 0.6)"
+# Distinct values of columns with their shape, and the type and the kind of sensitive data that they show.
+_TYPES = """
+d AS (SELECT "column", v, {shape} AS shape, count(*) AS n FROM l WHERE v IS NOT NULL AND upper(trim(v)) NOT IN ('', 'NAN') GROUP BY ALL),
+s AS (SELECT "column", shape, sum(n) AS n FROM d GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, shape) AS k FROM s),
+a AS (SELECT "column", sum(n) AS total, count(*) AS shapes, sum(n) FILTER ({date}) AS dates, sum(n) FILTER ({code}) AS codes,
+             bool_or(k <= 3 AND shape IN ({plates})) AS plates, max(length(shape)) FILTER (k = 1) AS main FROM r GROUP BY 1),
+b AS (SELECT "column", count(*) AS distinct_values, sum(n) FILTER (try_cast(replace(v, ',', '.') AS double) IS NOT NULL) AS numbers FROM d GROUP BY 1),
+t AS (SELECT *, CASE WHEN total < 20 THEN 'desconocido' WHEN coalesce(dates, 0) / total >= 0.9 THEN 'fecha como texto'
+                     WHEN round_even(100.0 * coalesce(numbers, 0) / total, 1) >= 90 THEN 'número como texto' ELSE 'texto' END AS type FROM a JOIN b USING ("column")),
+typed AS (SELECT "column", type, distinct_values, CASE WHEN type NOT IN ('texto', 'número como texto') THEN NULL WHEN plates THEN 'vehiculo'
+            WHEN (main > 30 OR shapes > 40) AND distinct_values / total > 0.5 THEN 'texto libre'
+            WHEN distinct_values / total > 0.95 AND distinct_values > 50 THEN 'identificador' WHEN coalesce(codes, 0) / total >= 0.5 THEN 'identificador' END AS sensitive_by_value FROM t)""".format(
+    shape=shape_sql("v"), date=_IS_DATE, code=_IS_CODE, plates=", ".join(f"'{p}'" for p in profile.PLATE_SHAPES))
+
+
+@query("pf04_text_types", [], f"""WITH l AS ({_LONG}), {_TYPES} SELECT "column", type, sensitive_by_value FROM typed""")
 def _(x: Inputs):
     return profile.text_types(counts(x))
 
@@ -171,7 +190,16 @@ def _(x: Inputs):
     return suppress.suppress_parts(parts.join(totals, "block"), ["block"]).select("block", "part", "n", "total", "published")
 
 
-@query("pf12_suppressed_axis")
+@query("pf12_suppressed_axis", [], """
+WITH cells AS (SELECT o_custkey % 25 AS block, strftime(o_orderdate, '%Y') AS year, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL),
+f AS (SELECT *, sum(n) OVER (PARTITION BY block, status) + 7 AS ft, sum(n) OVER (PARTITION BY block) + 7 AS bt, n = 0 OR n >= 20 AS open1 FROM cells),
+g AS (SELECT *, ft - sum(CASE WHEN open1 THEN n ELSE 0 END) OVER (PARTITION BY block, status) AS rest,
+             row_number() OVER (PARTITION BY block, status ORDER BY (open1 AND n >= 20) DESC, n, year, status) AS place FROM f),
+h AS (SELECT *, open1 AND NOT (ft >= 20 AND rest > 0 AND rest < 20 AND open1 AND n >= 20 AND place = 1) AS open2 FROM g),
+i AS (SELECT *, bt - sum(CASE WHEN open2 THEN n ELSE 0 END) OVER (PARTITION BY block) AS rest2,
+             row_number() OVER (PARTITION BY block ORDER BY (open2 AND n >= 20) DESC, n, year, status) AS place2 FROM h)
+SELECT block, year, status, n, CASE WHEN n > 0 AND n < 20 THEN '1–19'
+  WHEN open2 AND NOT (bt >= 20 AND rest2 > 0 AND rest2 < 20 AND open2 AND n >= 20 AND place2 = 1) THEN n::varchar END AS published FROM i""")
 def _(x: Inputs):
     o = x.table("orders").select((F.col("o_custkey") % 25).alias("block"), F.date_format("o_orderdate", "yyyy").alias("year"),
                                  F.col("o_orderstatus").alias("status"))
@@ -201,7 +229,10 @@ def _(x: Inputs):
     return profile.compare_profiles(left, right, pairs.select("column", "other"))
 
 
-@query("jn17_paired_columns")
+@query("jn17_paired_columns", [], """
+WITH c AS (SELECT substr(column_name, 3) AS a FROM (DESCRIBE customer)), s AS (SELECT substr(column_name, 3) AS b FROM (DESCRIBE supplier)),
+n AS (SELECT a, b, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS near FROM c, s)
+SELECT a AS "column", b AS other FROM n WHERE near >= 0.8 QUALIFY row_number() OVER (PARTITION BY a ORDER BY near DESC, b DESC) = 1""")
 def _(x: Inputs):
     left = profile.column_overview(profile.value_counts(x.table("customer"))).withColumn("column", F.substring("column", 3, 100))
     right = profile.column_overview(profile.value_counts(x.table("supplier"))).withColumn("column", F.substring("column", 3, 100))
@@ -371,7 +402,13 @@ def _(x: Inputs):
     return eda.leg_coverage(refuels(x), x.view("vehicle"), None, x.view("daily_track"), None)
 
 
-@query("ag10_all_legs")
+@query("ag10_all_legs", ["refuel", "request", "vehicle", "daily_track"], f"""WITH RECURSIVE {GREEDY},
+c AS (SELECT count(*) AS total, count(*) FILTER (id IN (SELECT refuel_id FROM daily_pairs)) AS asked, count(*) FILTER (product = 'DIESEL') AS billed,
+             count(*) FILTER (EXISTS (SELECT 1 FROM vehicle v JOIN daily_track t ON t.plate = v.plate
+                                      WHERE v.vehicle_id = r.vehicle_id AND t.date = cast(r.date as date))) AS tracked FROM refuel r),
+u AS (SELECT unnest([{{'leg': 'Pedido → carga', 'covered': asked}}, {{'leg': 'Carga → GPS diario', 'covered': tracked}},
+                     {{'leg': 'Carga → línea facturada', 'covered': billed}}]) AS i, total FROM c)
+SELECT i.leg AS leg, i.covered AS covered, total, {pct_sql('i.covered', 'total')} AS pct FROM u""")
 def _(x: Inputs):
     r = refuels(x)
     lines = r.filter(F.col("product") == "DIESEL").select(F.col("id").alias("refuel_ref"))
