@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyhound.functions.bands import MINIMUM_GROUP, cardinality_band, count_band, share, two_digits
 from tallyhound.functions.text import as_number, fold_accents, normalise_id, value_shape
+from tallyhound.operators.settle import settle
 
 # Fixed values.
 OTHER = "OTRA_CATEGORIA_SINTETIZABLE"
@@ -59,6 +60,18 @@ def sensitivity_of_name(name: str) -> str | None:
     return None
 
 
+def name_sensitivity(name: Column) -> Column:
+    """``sensitivity_of_name`` as an expression over a column of names."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(fold_accents(F.regexp_replace(name, "(?<=[a-z])(?=[A-Z])", " "))), "[^a-z0-9]+", " ")), " ")
+
+    def hinted(hints: list[str]) -> Column:
+        long = [h for h in hints if len(h) > 3]
+        return F.exists(words, lambda w: w.isin(hints) | (w.rlike("^(" + "|".join(long) + ")") if long else F.lit(False)))
+
+    kinds = [F.when(hinted(hints), kind) for kind, hints in SENSITIVE_HINTS.items()]
+    return F.coalesce(*kinds)
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, value, n, shape, chars, number`` for every distinct value, nulls and blank texts included as null."""
     types = dict(df.dtypes)
@@ -99,15 +112,32 @@ def column_overview(counts: DataFrame) -> DataFrame:
         of_present("numbers").alias("numbers_as_text_pct"), "shapes", "distinct", "present")
 
 
-def shape_histogram(counts: DataFrame, top: int = TOP_SHAPES) -> DataFrame:
-    """The most frequent shapes of each column in percent; groups under 20 and the rest are pooled."""
+def _guarded(counts: DataFrame, sensitive: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The counts, computed once where they are needed to find the sensitive columns as well, and those columns."""
+    if sensitive is not None:
+        return counts, sensitive
+    counts = settle(counts)
+    return counts, sensitive_columns(counts)
+
+
+def shape_histogram(counts: DataFrame, top: int = TOP_SHAPES, sensitive: DataFrame | None = None) -> DataFrame:
+    """The most frequent shapes of each column in percent; groups under 20 and the rest are pooled.
+
+    Long shapes of sensitive columns (by default those of ``sensitive_columns``) show how units or persons are named, so
+    only the band of their length is told.
+    """
+    counts, sensitive = _guarded(counts, sensitive)
     present = counts.filter(F.col("value").isNotNull())
     shapes = present.groupBy("column", "shape").agg(F.sum("n").alias("n"))
     totals = shapes.groupBy("column").agg(F.sum("n").alias("total"))
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("shape"))
     ranked = shapes.filter(F.col("n") >= MINIMUM_GROUP).withColumn("__rank", F.row_number().over(order)).filter(
         F.col("__rank") <= top).select("column", "shape", "n")
-    return _pooled(ranked, totals, "shape")
+    told = _pooled(ranked, totals, "shape").join(sensitive.select("column", F.lit(True).alias("__guarded")), "column", "left")
+    long = F.col("__guarded") & (F.length("shape") > SENSITIVE_SHAPE) & (F.col("shape") != OTHER)
+    band = F.when(F.length("shape") <= 2 * SENSITIVE_SHAPE, "TEXTO_21-40").otherwise("TEXTO_MAS_DE_40")
+    told = told.withColumn("shape", F.when(long, band).otherwise(F.col("shape")))
+    return told.groupBy("column", "shape").agg(F.bround(F.sum("pct"), 1).alias("pct"))
 
 
 def _pooled(visible: DataFrame, totals: DataFrame, label: str) -> DataFrame:
@@ -120,9 +150,11 @@ def _pooled(visible: DataFrame, totals: DataFrame, label: str) -> DataFrame:
     return rows.select("column", label, share(F.col("n"), F.col("total")).alias("pct"))
 
 
-def categories(counts: DataFrame, maximum: int = MAX_CATEGORIES) -> DataFrame:
-    """Values of the columns with few distinct ones; groups under 20 are pooled."""
-    present = counts.filter(F.col("value").isNotNull()).groupBy("column", F.trim("value").alias("value")).agg(
+def categories(counts: DataFrame, maximum: int = MAX_CATEGORIES, sensitive: DataFrame | None = None) -> DataFrame:
+    """Values of the columns with few distinct ones, never of sensitive ones; groups under 20 are pooled."""
+    counts, sensitive = _guarded(counts, sensitive)
+    open_columns = counts.join(sensitive.select("column"), "column", "left_anti")
+    present = open_columns.filter(F.col("value").isNotNull()).groupBy("column", F.trim("value").alias("value")).agg(
         F.sum("n").alias("n"))
     sizes = present.groupBy("column").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
     few = sizes.filter(F.col("distinct") <= maximum).select("column", "total")
@@ -186,6 +218,7 @@ def table_profile(df: DataFrame, name: str) -> DataFrame:
         keys.alias("candidate_keys"))
 
 
+# Shapes of dates and times.
 _DATE_SHAPE = r"^9{1,4}[-/.]9{1,2}[-/.]9{1,4}([ T]9{1,2}:9{2}(:9{2})?(\.9+)?)?$"
 _TIME_SHAPE = r"^9{1,2}:9{2}(:9{2})?(\.9+)?$"
 
@@ -217,6 +250,51 @@ def text_types(counts: DataFrame) -> DataFrame:
     return rows.select("column", kind.alias("type"), reason.alias("sensitive_by_value"))
 
 
+def sensitive_columns(counts: DataFrame) -> DataFrame:
+    """``column, sensitive`` of the columns that are sensitive by their name or by what their values look like."""
+    named = counts.select("column").distinct().select("column", name_sensitivity(F.col("column")).alias("__name"))
+    both = named.join(text_types(counts), "column", "left").select("column", F.coalesce("__name", "sensitive_by_value").alias("sensitive"))
+    return both.filter(F.col("sensitive").isNotNull())
+
+
+def column_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``column, type, sensitive, true_pct, with_time_pct`` of every column, from one table of distinct values.
+
+    Each type is a condition on all present values, counted in one aggregate: boolean within integer within decimal;
+    dates by their declared type; text by its shapes. A column under 20 values is not typed. Sensitive are columns by
+    name, decimals that look like coordinates, integers as long as device or account numbers, and texts by ``text_types``.
+    """
+    counts = value_counts(df, columns)
+    kinds = {"boolean": "boolean", "date": "date", "timestamp": "date", "timestamp_ntz": "date", "string": "text"}
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    declared = F.create_map(*[F.lit(x) for c, t in df.dtypes for x in (c, kinds.get(t, "number" if t.startswith(numeric) else "other"))])
+    number = F.col("value").try_cast("double")
+    n = F.col("n")
+    facts = counts.filter(F.col("value").isNotNull()).groupBy("column").agg(
+        F.sum("n").alias("total"), F.min(F.coalesce(number.isin(0.0, 1.0), F.lit(False))).alias("flags"),
+        F.sum(F.when((number == 1) | (F.col("value") == "true"), n).otherwise(0)).alias("true"),
+        F.min(F.coalesce(number == F.rint(number), F.lit(False))).alias("whole"), F.min(F.coalesce(number.between(-90, 90), F.lit(False))).alias("angle"),
+        F.percentile(F.length(F.substring_index("value", ".", -1)), 0.5, n).alias("decimals"),
+        F.percentile(F.length(F.col("value").try_cast("decimal(38,0)").cast("string")), 0.5, n).alias("digits"),
+        F.sum(F.when(F.col("value").rlike(" (?!00:00:00$)"), n).otherwise(0)).alias("timed"))
+    rows = facts.join(text_types(counts), "column").withColumns({"kind": declared[F.col("column")], "name": name_sensitivity(F.col("column"))})
+    kind, few = F.col("kind"), F.col("total") < MINIMUM_GROUP
+    typed = (
+        F.when(few, "desconocido").when((kind == "boolean") | ((kind == "number") & F.col("flags")), "booleano").when(kind == "date", "fecha")
+        .when((kind == "number") & F.col("whole"), "entero").when(kind == "number", "decimal").otherwise(F.col("type"))
+    )
+    rows = rows.withColumn("typed", typed)
+    amount = F.nullif(F.col("name"), F.lit("organizacion"))  # the price of a place is an amount, not the place's name
+    sensitive = (
+        F.when(F.col("typed") == "decimal", F.coalesce(amount, F.when(F.col("angle") & (F.col("decimals") >= 4), "ubicacion")))
+        .when(F.col("typed") == "entero", F.coalesce(amount, F.when(F.col("digits") >= 11, "identificador")))
+        .when(F.col("typed").isin("texto", "número como texto"), F.coalesce("name", "sensitive_by_value")).otherwise(F.col("name"))
+    )
+    told = lambda c, when: F.when(when, share(F.col(c), F.col("total")))
+    return rows.select("column", F.col("typed").alias("type"), sensitive.alias("sensitive"), told("true", F.col("typed") == "booleano").alias("true_pct"),
+                       told("timed", F.col("typed") == "fecha").alias("with_time_pct"))
+
+
 def discover_relations(tables: dict[str, DataFrame], minimum: float = 0.5, minimum_distinct: int = 50) -> DataFrame:
     """Share of the distinct values of a column found in a nearly unique column of another table.
 

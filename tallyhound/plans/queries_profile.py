@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tallyhound.functions import bands, text
@@ -47,14 +49,35 @@ def counts(x: Inputs):
 _LONG = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", cast({c} as varchar) AS v FROM {t}" for t, c in _TABLES)
 
 
+_IS_DATE = "regexp_matches(shape, '^9{1,4}[-/.]9{1,2}[-/.]9{1,4}([ T]9{1,2}:9{2}(:9{2})?(\\.9+)?)?$')"
+_IS_CODE = "(length(shape) >= 6 AND NOT regexp_matches(shape, '^9{1,2}:9{2}(:9{2})?(\\.9+)?$') AND length(regexp_replace(shape, '[^9]', '', 'g')) / length(shape) >= 0.6)"
+# Distinct values of columns with their shape, and the type and the kind of sensitive data that they show.
+_TYPES = """
+d AS (SELECT "column", v, {shape} AS shape, count(*) AS n FROM l WHERE v IS NOT NULL AND upper(trim(v)) NOT IN ('', 'NAN') GROUP BY ALL),
+s AS (SELECT "column", shape, sum(n) AS n FROM d GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, shape) AS k FROM s),
+a AS (SELECT "column", sum(n) AS total, count(*) AS shapes, sum(n) FILTER ({date}) AS dates, sum(n) FILTER ({code}) AS codes,
+             bool_or(k <= 3 AND shape IN ({plates})) AS plates, max(length(shape)) FILTER (k = 1) AS main FROM r GROUP BY 1),
+b AS (SELECT "column", count(*) AS distinct_values, sum(n) FILTER (try_cast(replace(v, ',', '.') AS double) IS NOT NULL) AS numbers FROM d GROUP BY 1),
+t AS (SELECT *, CASE WHEN total < 20 THEN 'desconocido' WHEN coalesce(dates, 0) / total >= 0.9 THEN 'fecha como texto'
+                     WHEN round_even(100.0 * coalesce(numbers, 0) / total, 1) >= 90 THEN 'número como texto' ELSE 'texto' END AS type FROM a JOIN b USING ("column")),
+typed AS (SELECT "column", type, distinct_values, CASE WHEN type NOT IN ('texto', 'número como texto') THEN NULL WHEN plates THEN 'vehiculo'
+            WHEN (main > 30 OR shapes > 40) AND distinct_values / total > 0.5 THEN 'texto libre'
+            WHEN distinct_values / total > 0.95 AND distinct_values > 50 THEN 'identificador' WHEN coalesce(codes, 0) / total >= 0.5 THEN 'identificador' END AS sensitive_by_value FROM t)""".format(
+    shape=shape_sql("v"), date=_IS_DATE, code=_IS_CODE, plates=", ".join(f"'{p}'" for p in profile.PLATE_SHAPES))
+
+
 @query("pf02_shape_histogram", [], f"""
 WITH l AS (SELECT "column", {shape_sql('v')} AS shape FROM ({_LONG}) WHERE v IS NOT NULL AND upper(trim(v)) NOT IN ('', 'NAN')),
 g AS (SELECT "column", shape, count(*) AS n FROM l GROUP BY 1, 2),
 t AS (SELECT "column", sum(n) AS total FROM g GROUP BY 1),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, shape) AS r FROM g WHERE n >= 20) WHERE r <= 10),
-o AS (SELECT t."column", total - coalesce(sum(n), 0) AS n FROM t LEFT JOIN k ON k."column" = t."column" GROUP BY t."column", total)
-SELECT k."column", shape, {pct_sql('n', 'total')} AS pct FROM k JOIN t ON t."column" = k."column"
-UNION ALL SELECT o."column", 'OTRA_CATEGORIA_SINTETIZABLE', {pct_sql('n', 'total')} FROM o JOIN t ON t."column" = o."column" WHERE n > 0""")
+o AS (SELECT t."column", total - coalesce(sum(n), 0) AS n FROM t LEFT JOIN k ON k."column" = t."column" GROUP BY t."column", total),
+p AS (SELECT k."column", shape, {pct_sql('n', 'total')} AS pct FROM k JOIN t ON t."column" = k."column"
+      UNION ALL SELECT o."column", 'OTRA_CATEGORIA_SINTETIZABLE', {pct_sql('n', 'total')} FROM o JOIN t ON t."column" = o."column" WHERE n > 0),
+z AS (WITH l AS ({_LONG}), {_TYPES} SELECT "column" FROM typed WHERE sensitive_by_value IS NOT NULL)
+SELECT "column", CASE WHEN "column" NOT IN (SELECT "column" FROM z) OR length(shape) <= 20 OR shape = 'OTRA_CATEGORIA_SINTETIZABLE' THEN shape
+  WHEN length(shape) <= 40 THEN 'TEXTO_21-40' ELSE 'TEXTO_MAS_DE_40' END AS shape, round_even(sum(pct), 1) AS pct FROM p GROUP BY 1, 2""")
 def _(x: Inputs):
     return profile.shape_histogram(counts(x))
 
@@ -70,6 +93,41 @@ def _(x: Inputs):
     return profile.categories(counts(x))
 
 
+_GUARDED = [("conductor", "driver"), ("patente", "plate"), ("NumeroTarjeta", "card"), ("producto", "product"), ("origen", "origin"), ("clave", "id_type")]
+
+
+@query("pf07_categories_without_sensitive", ["refuel"], " UNION ALL ".join(f"""
+SELECT '{name}' AS "column", {c} AS value, round_even(100.0 * count(*) / (SELECT count({c}) FROM refuel), 1) AS pct FROM refuel
+WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) >= 20""" for name, c in _GUARDED if name in ("producto", "origen")))
+def _(x: Inputs):
+    named = x.view("refuel").select(*[F.col(c).alias(name) for name, c in _GUARDED])
+    return profile.categories(profile.value_counts(named))
+
+
+# Per table: column, declared kind, sensitivity of the name in the oracle.
+_TYPED = {
+    "orders": [("o_orderkey", "number"), ("o_totalprice", "number"), ("o_orderdate", "date"), ("o_orderstatus", "text"), ("o_orderpriority", "text")],
+    "labels": [("quality", "number"), ("toxic", "number")], "events": [("event_id", "number"), ("user_id", "number"), ("value", "number"), ("ts", "date"), ("event_type", "text")],
+    "pages": [("url", "text")]}
+_TYPED_VALUES = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{k}' AS kind, cast({c} as varchar) AS v FROM {t}" for t, columns in _TYPED.items() for c, k in columns)
+
+
+@query("pf04_column_types", [], f"""WITH raw AS ({_TYPED_VALUES}), l AS (SELECT "column", v FROM raw), {_TYPES},
+x AS (SELECT "column", any_value(kind) AS kind, count(*) AS n, bool_and(try_cast(v AS double) IN (0, 1)) AS flags, count(*) FILTER (try_cast(v AS double) = 1 OR v = 'true') AS yes,
+             bool_and(try_cast(v AS double) = round(try_cast(v AS double))) AS whole, bool_and(abs(try_cast(v AS double)) <= 90) AS angle,
+             median(length(string_split(v, '.')[-1])) AS decimals, median(length(v)) AS digits, count(*) FILTER (kind = 'date' AND length(v) > 10 AND substr(v, 12) <> '00:00:00') AS timed
+      FROM raw WHERE v IS NOT NULL AND upper(trim(v)) NOT IN ('', 'NAN') GROUP BY 1),
+y AS (SELECT x.*, sensitive_by_value AS s, CASE WHEN kind = 'number' AND flags THEN 'booleano' WHEN kind = 'date' THEN 'fecha' WHEN kind = 'number' AND whole THEN 'entero'
+        WHEN kind = 'number' THEN 'decimal' ELSE type END AS type FROM x JOIN typed USING ("column"))
+SELECT "column", type, CASE WHEN "column" IN ('event_id', 'user_id') THEN 'identificador' WHEN type = 'decimal' AND angle AND decimals >= 4 THEN 'ubicacion'
+    WHEN type = 'entero' AND digits >= 11 THEN 'identificador' WHEN type IN ('texto', 'número como texto') THEN s END AS sensitive,
+  CASE WHEN type = 'booleano' THEN round_even(100.0 * yes / n, 1) END AS true_pct, CASE WHEN type = 'fecha' THEN round_even(100.0 * timed / n, 1) END AS with_time_pct FROM y""")
+def _(x: Inputs):
+    out = [profile.column_types(x.table(t), [c for c, _ in columns]) for t, columns in _TYPED.items()]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @query("pf04_column_overview", [], f"""
 WITH l AS (SELECT "column", CASE WHEN upper(trim(v)) NOT IN ('', 'NAN') THEN v END AS v FROM ({_LONG})),
 s AS (SELECT "column", count(*) AS n, count(v) AS p, count(DISTINCT v) AS d,
@@ -85,24 +143,6 @@ def _(x: Inputs):
                                                      "extra_spaces_pct", "mixed_case_pct", "numbers_as_text_pct")
 
 
-_IS_DATE = "regexp_matches(shape, '^9{1,4}[-/.]9{1,2}[-/.]9{1,4}([ T]9{1,2}:9{2}(:9{2})?(\\.9+)?)?$')"
-_IS_CODE = "(length(shape) >= 6 AND NOT regexp_matches(shape, '^9{1,2}:9{2}(:9{2})?(\\.9+)?$') AND length(regexp_replace(shape, '[^9]', '', 'g')) / length(shape) >= 0.6)"
-# Distinct values of columns with their shape, and the type and the kind of sensitive data that they show.
-_TYPES = """
-d AS (SELECT "column", v, {shape} AS shape, count(*) AS n FROM l WHERE v IS NOT NULL AND upper(trim(v)) NOT IN ('', 'NAN') GROUP BY ALL),
-s AS (SELECT "column", shape, sum(n) AS n FROM d GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, shape) AS k FROM s),
-a AS (SELECT "column", sum(n) AS total, count(*) AS shapes, sum(n) FILTER ({date}) AS dates, sum(n) FILTER ({code}) AS codes,
-             bool_or(k <= 3 AND shape IN ({plates})) AS plates, max(length(shape)) FILTER (k = 1) AS main FROM r GROUP BY 1),
-b AS (SELECT "column", count(*) AS distinct_values, sum(n) FILTER (try_cast(replace(v, ',', '.') AS double) IS NOT NULL) AS numbers FROM d GROUP BY 1),
-t AS (SELECT *, CASE WHEN total < 20 THEN 'desconocido' WHEN coalesce(dates, 0) / total >= 0.9 THEN 'fecha como texto'
-                     WHEN round_even(100.0 * coalesce(numbers, 0) / total, 1) >= 90 THEN 'número como texto' ELSE 'texto' END AS type FROM a JOIN b USING ("column")),
-typed AS (SELECT "column", type, distinct_values, CASE WHEN type NOT IN ('texto', 'número como texto') THEN NULL WHEN plates THEN 'vehiculo'
-            WHEN (main > 30 OR shapes > 40) AND distinct_values / total > 0.5 THEN 'texto libre'
-            WHEN distinct_values / total > 0.95 AND distinct_values > 50 THEN 'identificador' WHEN coalesce(codes, 0) / total >= 0.5 THEN 'identificador' END AS sensitive_by_value FROM t)""".format(
-    shape=shape_sql("v"), date=_IS_DATE, code=_IS_CODE, plates=", ".join(f"'{p}'" for p in profile.PLATE_SHAPES))
-
-
 @query("pf04_text_types", [], f"""WITH l AS ({_LONG}), {_TYPES} SELECT "column", type, sensitive_by_value FROM typed""")
 def _(x: Inputs):
     return profile.text_types(counts(x))

@@ -132,3 +132,34 @@ def test_names():
     assert sensitivity_of_name("NumeroTarjeta") == "identificador"
     assert sensitivity_of_name("litros") is None
     assert [name_pattern(n) for n in ("consumo_2025-09-01", "Reporte (12)", "lote_3_final")] == ["consumo", "Reporte", "lote_9_final"]
+
+
+def test_sensitive_columns_are_not_published(spark):
+    from pyspark.sql import functions as F
+
+    from tallyhound.operators import profile
+
+    names = ["conductor", "patente", "NumeroTarjeta", "fechaCarga", "producto", "cod_postal", "Título"]
+    told = spark.createDataFrame([(n,) for n in names], "n string").select("n", profile.name_sensitivity(F.col("n")).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in told} == {n: sensitivity_of_name(n) for n in names}
+    rows = [(["ANA", "LUIS"][i % 2], ["AB123CD", "AA111BB"][i % 2], ["DIESEL", "NAFTA"][i % 2], ["AE999ZZ", "AF888YY"][i % 2],
+             f"UNIDAD DE TRASLADO DEL NORTE {i % 2}") for i in range(80)]
+    df = spark.createDataFrame(rows, "conductor string, patente string, producto string, rodado string, responsable string")
+    counts = profile.value_counts(df)
+    assert {r["column"] for r in profile.categories(counts).collect()} == {"producto"}
+    shapes = {(r["column"], r["shape"]) for r in profile.shape_histogram(counts).collect()}
+    assert ("responsable", "TEXTO_21-40") in shapes and ("rodado", "AA999AA") in shapes
+
+
+def test_types_of_columns(spark):
+    from pyspark.sql import functions as F
+
+    from tallyhound.operators import profile
+
+    df = spark.range(60).select(
+        (F.col("id") % 2).alias("flag"), (F.col("id") % 2 == 0).alias("yes"), F.col("id").alias("count"), (F.col("id") / 7).alias("angle"),
+        (F.col("id") * 1.5 + 1000).alias("amount"), (F.col("id") + 350_000_000_000).alias("line"), F.to_date(F.lit("2024-01-01")).alias("day"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("at"), F.when(F.col("id") < 5, F.lit("x")).alias("rare"), F.lit("a").alias("word"))
+    got = {r["column"]: (r["type"], r["sensitive"]) for r in profile.column_types(df).collect()}
+    assert got == {"flag": ("booleano", None), "yes": ("booleano", None), "count": ("entero", None), "angle": ("decimal", "ubicacion"), "amount": ("decimal", None),
+                   "line": ("entero", "identificador"), "day": ("fecha", None), "at": ("fecha", None), "rare": ("desconocido", None), "word": ("texto", None)}
