@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,17 +17,21 @@ from tallyhound.llm.common import gapless_rank, written
 CAPACITY = 2048
 _CHUNK = re.compile(r"\s*\S+|\s+")  # the tokenizer's own pattern never joins a non-space with a space after it
 _UNSURE = re.compile("[\x1c-\x1f]")  # white space to Python, but not to the tokenizer
-MEMO = 400_000  # chunks whose ids a worker remembers; then it starts anew
+MEMO = 1_000_000  # chunks of either age whose ids a worker remembers
+LONGEST = 32  # longer chunks hardly recur and are not remembered
 _tokenizers: dict[str, object] = {}
-_memo: dict[str, bytes] = {}
+_memo: dict[str, bytes] = {}  # chunks of late
+_older: dict[str, bytes] = {}  # those remembered before; a chunk met again becomes one of late
 
 
 def _tokenizer(path: str):
     if path not in _tokenizers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; its threads would only wait for each other
         from tokenizers import Tokenizer
 
         _tokenizers.clear()
         _memo.clear()
+        _older.clear()
         _tokenizers[path] = Tokenizer.from_file(path)
     return _tokenizers[path]
 
@@ -34,7 +39,8 @@ def _tokenizer(path: str):
 def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of every text as little-endian unsigned 32-bit numbers, as the tokenizer gives them for the whole text.
 
-    Texts are cut before white space, where the byte-level pattern always cuts; a chunk met before is looked up.
+    Texts are cut before white space, where the byte-level pattern always cuts; a chunk met before is looked up. When
+    the memo is full its older half goes, so what recurs stays.
     """
     tokenizer = _tokenizer(path)
     for text in texts:
@@ -48,13 +54,24 @@ def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
         except KeyError:
             pass
         if len(_memo) > MEMO:
+            _older.clear()
+            _older.update(_memo)
             _memo.clear()
-        new = list({c for c in chunks if c not in _memo})
+        found: dict[str, bytes] = {}
+        new = []
+        for chunk in set(chunks) - _memo.keys():
+            if (ids := _older.get(chunk)) is None:
+                new.append(chunk)
+            else:
+                _memo[chunk] = ids
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for chunk, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                _memo[chunk] = np.array(e.ids, "<u4").tobytes()
-        yield b"".join(map(_memo.__getitem__, chunks))
+            for chunk, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                (_memo if len(chunk) <= LONGEST else found)[chunk] = np.array(e.ids, "<u4").tobytes()
+        if found:
+            yield b"".join(found[c] if c in found else _memo[c] for c in chunks)
+        else:
+            yield b"".join(map(_memo.__getitem__, chunks))
 
 
 def _pieces(key: str, text: str, path: str, capacity: int, with_ids: bool, end_id: int):
