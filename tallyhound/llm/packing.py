@@ -59,7 +59,7 @@ def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
             _memo.clear()
         found: dict[str, bytes] = {}
         new = []
-        for chunk in set(chunks) - _memo.keys():
+        for chunk in {c for c in chunks if c not in _memo}:
             if (ids := _older.get(chunk)) is None:
                 new.append(chunk)
             else:
