@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhound.operators.skew import first_by
+
 ALERT_COLUMNS = ["record_id", "anomaly_type", "rule", "detail", "measure"]
 
 
@@ -47,3 +49,21 @@ def alerts_of_each_row(df: DataFrame, record_id: Column,
 
 def union_alerts(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def with_records(alerts: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Alerts with the fields of the record that they are about, whichever table holds it.
+
+    ``tables`` gives each table and its key, in order of precedence; tables of unlike columns are filled with nulls. An id that
+    several tables or rows hold gets the fields of the first table, there of the row that ``first_by`` puts first. Adds
+    ``record_table``; an alert without a record keeps null fields.
+    """
+    parts = []
+    for place, (name, (df, key)) in enumerate(tables.items()):
+        fields = [F.col(c) for c in df.columns if c != key]
+        one = first_by(df.select(F.col(key).cast("string").alias("record_id"), *fields).filter(F.col("record_id").isNotNull()), ["record_id"], [c for c in df.columns if c != key])
+        parts.append(one.withColumns({"record_table": F.lit(name), "__place": F.lit(place)}))
+    records = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if len(parts) > 1:
+        records = first_by(records, ["record_id"], ["__place"])
+    return alerts.join(records.drop("__place"), "record_id", "left")

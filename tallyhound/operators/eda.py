@@ -166,3 +166,43 @@ def alerts_by_month(alerts: DataFrame, dated: DataFrame) -> DataFrame:
     """Alerts per rule and month, counting each record once; ``dated`` has ``record_id, date``."""
     rows = alerts.select("rule", "record_id").distinct().join(dated, "record_id", "left")
     return rows.groupBy("rule", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("records"))
+
+
+# Days of the week from Sunday on.
+WEEKDAYS = ["Domingo", "Lunes", "Martes", "Miércoles", "Jueves", "Viernes", "Sábado"]
+
+
+def enriched_refuels(refuels: DataFrame, vehicles: DataFrame, steps: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Every refuel with its vehicle, its time and what is known of its stretch.
+
+    Adds type, tank and fuel of the vehicle, ``tank_share``, ``month``, ``weekday``, ``hour``; with ``steps`` (see
+    ``odometer_sequence``) the ``km`` since the reading before, null where it is 0 or there is none; with ``days`` (see
+    ``daily_refuels``) ``refuels_that_day`` and ``km_per_litre`` by track, else by odometer, and its ratio to the vehicle's own.
+    """
+    facts = vehicles.groupBy("vehicle_id").agg(*[F.min(c).alias(c) for c in ("vehicle_type", "tank_capacity", "fuel") if c in vehicles.columns])
+    rows = refuels.join(facts, "vehicle_id", "left")
+    hour = F.substring("time", 1, 2).try_cast("int") if "time" in refuels.columns else F.lit(None).cast("int")
+    rows = rows.withColumns({
+        "tank_share": F.try_divide("litres", "tank_capacity"), "month": F.date_format("date", "yyyy-MM"),
+        "weekday": F.get(F.array(*[F.lit(d) for d in WEEKDAYS]), F.dayofweek("date") - 1), "hour": hour})
+    if steps is not None:
+        rows = rows.join(steps.select("id", F.nullif(F.col("km"), F.lit(0.0)).alias("km")), "id", "left")
+    if days is not None:
+        rows = rows.join(days.select("vehicle_id", "date", F.col("report_refuels").alias("refuels_that_day"),
+                                     F.coalesce("track_rate", "odometer_rate").alias("km_per_litre"),
+                                     F.coalesce("track_relative", "odometer_relative").alias("relative_rate")), ["vehicle_id", "date"], "left")
+    return rows
+
+
+def correction_rate(defects: DataFrame) -> DataFrame:
+    """Share of defects that normalising undoes, by type: ``defect_type, defects, corrected_pct``.
+
+    ``defects`` has ``defect_type, injected_value, original_value``. Texts are compared as normalised identifiers, numbers by their digits; other types
+    count as corrected. Two values without any sign left are not equal.
+    """
+    digits = lambda c: F.nullif(F.regexp_replace(c, r"\D", ""), F.lit(""))
+    text = F.nullif(normalise_id(F.col("injected_value")), F.lit("")) == F.nullif(normalise_id(F.col("original_value")), F.lit(""))
+    kind = F.col("defect_type")
+    corrected = F.when(kind == "TEXT_NORMALIZATION", text).when(kind == "NUMERIC_FORMAT", digits("injected_value") == digits("original_value")).otherwise(True)
+    sums = defects.groupBy("defect_type").agg(F.count(F.lit(1)).alias("defects"), F.count_if(F.coalesce(corrected, F.lit(False))).alias("__ok"))
+    return sums.select("defect_type", "defects", share(F.col("__ok"), F.col("defects")).alias("corrected_pct"))

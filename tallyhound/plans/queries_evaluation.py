@@ -418,3 +418,43 @@ def _(x: Inputs):
         F.when(n != 0, F.concat(F.lit("T"), F.lpad(F.col("user_id").cast("string"), 9, "0"))).alias("card"),
         F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + 300).alias("instant"))
     return causes.link_claims(claims, refuels(x)).select("claim", "refuel_id", "link")
+
+
+@query("jn19_alerts_with_records", ["refuel", "vehicle", "invoice", "invoice_line"], """
+WITH l AS (SELECT number, sum(amount) AS lt FROM invoice_line GROUP BY 1),
+al AS (SELECT r.id AS record_id, 'litros_mayor_a_tanque' AS rule FROM refuel r JOIN vehicle v ON v.vehicle_id = r.vehicle_id WHERE litres > tank_capacity
+  UNION ALL SELECT cast(i.number as varchar), 'factura_no_concilia' FROM invoice i LEFT JOIN l ON l.number = i.number
+            WHERE abs((total - coalesce(lt, 0)) / greatest(abs(coalesce(lt, 0)), 1)) > 0.005
+  UNION ALL SELECT line, 'producto_no_combustible' FROM invoice_line WHERE concept = 'LUBRICANTE' UNION ALL SELECT 'nobody', 'sin_registro')
+SELECT al.record_id, al.rule, CASE WHEN r.id IS NOT NULL THEN 'refuel' WHEN i.line IS NOT NULL THEN 'invoice_line' WHEN h.number IS NOT NULL THEN 'invoice' END AS record_table,
+       r.vehicle_id, r.plate, r.station, coalesce(r.litres, i.litres) AS litres, i.number, i.concept, i.amount, h.supplier, h.period, round(h.total, 4) AS total
+FROM al LEFT JOIN refuel r ON r.id = al.record_id LEFT JOIN invoice_line i ON i.line = al.record_id LEFT JOIN invoice h ON cast(h.number as varchar) = al.record_id""")
+def _(x: Inputs):
+    from tallyhound.operators.alerts import with_records
+
+    lines, heads = x.view("invoice_line"), x.view("invoice")
+    alerts = volume.over_tank(refuels(x), x.view("vehicle")).select("record_id", "rule").unionByName(
+        invoices.header_mismatch(heads, lines).select("record_id", "rule")).unionByName(
+        lines.filter("concept = 'LUBRICANTE'").select(F.col("line").alias("record_id"), F.lit("producto_no_combustible").alias("rule"))).unionByName(
+        x.spark.range(1).select(F.lit("nobody").alias("record_id"), F.lit("sin_registro").alias("rule")))
+    found = with_records(alerts, {
+        "refuel": (x.view("refuel").select("id", "vehicle_id", "plate", "station", "litres"), "id"),
+        "invoice_line": (lines.select("line", "number", "concept", "litres", "amount"), "line"),
+        "invoice": (heads.select("number", "supplier", "period", "total").withColumnRenamed("number", "head"), "head")})
+    return found.withColumn("total", F.round("total", 4))
+
+
+_DEFECTS = """SELECT CASE c_custkey % 3 WHEN 0 THEN 'TEXT_NORMALIZATION' WHEN 1 THEN 'NUMERIC_FORMAT' ELSE 'DATE_FORMAT' END AS defect_type,
+  CASE WHEN c_custkey % 3 = 1 THEN cast(c_custkey as string) ELSE c_name END AS original_value,
+  CASE WHEN c_custkey % 3 = 1 AND c_custkey % 5 = 0 THEN concat(cast(c_custkey as string), '.0') WHEN c_custkey % 3 = 1 THEN concat('N° ', cast(c_custkey as string))
+       WHEN c_custkey % 4 = 0 THEN concat(c_name, 'X') ELSE concat(' ', lower(c_name), '-') END AS injected_value FROM {customer}"""
+
+
+@query("ev11_correction_rate", [], f"""WITH d AS ({_DEFECTS.format(customer='customer')}),
+n AS (SELECT defect_type, CASE defect_type WHEN 'TEXT_NORMALIZATION' THEN upper(regexp_replace(injected_value, '[\\s\\-_.]', '', 'g')) = upper(regexp_replace(original_value, '[\\s\\-_.]', '', 'g'))
+        WHEN 'NUMERIC_FORMAT' THEN regexp_replace(injected_value, '\\D', '', 'g') = original_value ELSE true END AS ok FROM d)
+SELECT defect_type, count(*) AS defects, round_even(100.0 * count(*) FILTER (ok) / count(*), 1) AS corrected_pct FROM n GROUP BY 1""")
+def _(x: Inputs):
+    from tallyhound.operators.eda import correction_rate
+
+    return correction_rate(x.spark.sql(_DEFECTS.format(customer=f"parquet.`{x.sf_dir}/customer.parquet`")))

@@ -186,6 +186,21 @@ def _(x: Inputs):
         F.round("track_relative", 4).alias("track_relative"), F.round("track_vs_type", 4).alias("track_vs_type"))
 
 
+@query("ag11_enriched_refuels", DAY_VIEWS, f"""WITH {PLAIN_SEQ}, {DAYS}
+SELECT r.id, v.vehicle_type, v.tank_capacity, v.fuel, round(r.litres / v.tank_capacity, 6) AS tank_share, substr(r.date, 1, 7) AS month,
+       ['Domingo', 'Lunes', 'Martes', 'Miércoles', 'Jueves', 'Viernes', 'Sábado'][dayofweek(cast(r.date as date)) + 1] AS weekday,
+       cast(substr(r.time, 1, 2) as integer) AS hour, nullif(s.km, 0) AS km, o.own AS refuels_that_day,
+       round(coalesce(o.trate, o.orate), 6) AS km_per_litre, round(coalesce(o.trel, o.orel), 4) AS relative_rate
+FROM refuel r LEFT JOIN vehicle v ON v.vehicle_id = r.vehicle_id LEFT JOIN (SELECT id, km FROM seq WHERE km IS NOT NULL) s ON s.id = r.id
+LEFT JOIN own_days o ON o.vehicle_id = r.vehicle_id AND o.date = cast(r.date as date)""")
+def _(x: Inputs):
+    from tallyhound.operators.eda import enriched_refuels
+
+    out = enriched_refuels(refuels(x), x.view("vehicle"), own_sequence(x), days(x))
+    return out.select("id", "vehicle_type", "tank_capacity", "fuel", F.round("tank_share", 6).alias("tank_share"), "month", "weekday", "hour", "km",
+                      "refuels_that_day", F.round("km_per_litre", 6).alias("km_per_litre"), F.round("relative_rate", 4).alias("relative_rate"))
+
+
 @query("r06c_jump_in_context", [*CONTEXT, "daily_track"], f"""WITH {FULL_SEQ}, {DAYS}
 SELECT {alert_sql('ODOMETRO_SALTO', 'salto_con_contexto', 's.id', 'round(km - rate * s.days, 4)')} FROM seq s
 LEFT JOIN (SELECT id, track_km, track_complete FROM mem) m ON m.id = s.id

@@ -22,6 +22,29 @@ def test_delimited_files(spark, tmp_path):
     assert report == [{"table": "consumo", "files": 1, "mode": "unico"}] and tables["consumo"].count() == 30
 
 
+def test_files_are_grouped_by_their_headers(spark, tmp_path):
+    def write(name, header, low, high):
+        with open(tmp_path / name, "w") as f:
+            f.write(header + "\n" + "".join(f"{i};v{i}\n" for i in range(low, high)))
+
+    write("lote 1 (2).csv", "Clave;Valor", 0, 40)
+    write("lote 2.csv", "Clave;Valor", 30, 70)
+    os.makedirs(tmp_path / "sub")
+    write("sub/lote_2024-05-01.csv", "clave;valor", 70, 90)
+    write("otra-0f8fad5b-d9cb-469f-a165-70867728950e.csv", "x;y", 0, 5)
+    heads = {r["path"].rsplit("/", 1)[-1]: r["header"] for r in files.file_headers(spark, str(tmp_path)).collect()}
+    assert len(heads) == 4 and heads["lote%202.csv"] == "Clave;Valor"
+    tables, report = files.group_files(spark, str(tmp_path))
+    assert sorted((r["table"], r["files"], r["mode"]) for r in report) == [("lote", 3, "lotes"), ("otra", 1, "unico")]
+    assert tables["lote"].select("Clave").distinct().count() == 90 and tables["otra"].count() == 5
+
+
+def test_patterns_of_names():
+    for name, pattern in {"consumo_2025-09-01": "consumo", "Reporte (12)": "Reporte", "lote_3_final": "lote_9_final", "REPORT": "REPORT", "a 2024-01-02T10:00:00": "a",
+                          "0f8fad5b-d9cb-469f-a165-70867728950e": "", "dato(1) (2)": "dato", "carga(x)": "carga(x", "abc12": "abc", "": "", "12": ""}.items():
+        assert files.name_pattern(name) == pattern, name
+
+
 def test_batches_and_versions(spark):
     def part(name, time, low, high):
         return spark.range(low, high).select(F.col("id").cast("string").alias("k"), F.lit(name).alias("v"), F.lit(name).alias("_file"), F.lit(time).alias("_mtime"))
