@@ -41,13 +41,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of every document."""
+    """How many words the mix takes of every document, and the block, shard and place of the first of them (null if none)."""
     from tallyhound.llm.mixing import mix_sources
 
     draws, docs = mix_sources(_table(spark, sf_dir, "documents"))
-    taken = draws.groupBy("__row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    first = F.min(F.struct("pass", "block", "shard", "place")).alias("first")
+    taken = draws.groupBy("__row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), first)
     return docs.join(taken, "__row", "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first.block", "first.shard", "first.place")
 
 
 def tokenizer_path() -> str:
