@@ -11,6 +11,7 @@ DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _documents(df: DataFrame) -> DataFrame:
+    """The columns of ``documents``, characters counted anew (null for a null text)."""
     return df.select(*DOCUMENT[:-1], F.char_length("text").cast("long").alias("n_chars"))
 
 
@@ -46,19 +47,23 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix draws: a row per document and pass, cut short where the mix takes only a part."""
+    """The words that the mix draws: a row per document and pass, cut short where the mix takes only a part.
+
+    Rows are written shard by shard, in the shuffled order of each shard; a shard may take several files.
+    """
     from tallyhound.llm.mixing import mixed_documents
 
-    return _documents(mixed_documents(docs))
+    mixed = mixed_documents(docs).repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+    return _documents(mixed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their place in sequences of 2048 tokens."""
+    """The pieces of all documents, token ids included, with their place in sequences of 2048 tokens."""
     from tallyhound.llm.packing import pack as best_fit
     from tallyhound.llm.packing import tokenised_pieces
     from tallyhound.llm.queries import tokenizer_path
 
-    return best_fit(tokenised_pieces(docs, tokenizer_path(), with_ids=False))
+    return best_fit(tokenised_pieces(docs, tokenizer_path()))
 
 
 STAGES = [
@@ -73,6 +78,7 @@ ORACLE_SQL = None  # no stage can be stated in SQL; tests/llm holds the brute-fo
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents table; each stage but the last is written to the shared folder and read again."""
     from tallyhound.llm.common import shared_folder
 
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
