@@ -74,9 +74,17 @@ def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
             yield b"".join(map(_memo.__getitem__, chunks))
 
 
-def _pieces(key: str, text: str, path: str, capacity: int, with_ids: bool, end_id: int):
+def _pieces(key: str, text: str, path: str, capacity: int, with_ids: bool, end_id: int, id_bytes: int):
     end = np.array([end_id], "<u4").tobytes()
 
+    def stored(part: bytes) -> bytes | None:
+        if not with_ids or id_bytes == 4:
+            return part if with_ids else None
+        ids = np.frombuffer(part, "<u4")
+        if ids.max(initial=0) >= 1 << 16:
+            raise ValueError("an id does not fit 16 bits; use id_bytes=4")
+        return ids.astype("<u2").tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -89,7 +97,7 @@ def _pieces(key: str, text: str, path: str, capacity: int, with_ids: bool, end_i
                     stop = n % capacity or capacity
                     while start < n:
                         part = ids[4 * start : 4 * stop]
-                        for column, value in zip(out, (k, piece, start, stop - start, zlib.crc32(part), part if with_ids else None), strict=True):
+                        for column, value in zip(out, (k, piece, start, stop - start, zlib.crc32(part), stored(part)), strict=True):
                             column.append(value)
                         start, stop, piece = stop, stop + capacity, piece + 1
                 columns = [rows.column(key).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:5]]]
@@ -101,15 +109,18 @@ def _pieces(key: str, text: str, path: str, capacity: int, with_ids: bool, end_i
     return run
 
 
-def tokenised_pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = True, end_id: int = 0) -> DataFrame:
-    """One row per piece: key, piece, start, length, ids_crc32 and, if asked for, the ids as 32-bit numbers.
+def tokenised_pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = True, end_id: int = 0,
+                     id_bytes: int = 4) -> DataFrame:
+    """One row per piece: key, piece, start, length, ids_crc32 and, if asked for, the ids as little-endian numbers.
+
+    ``id_bytes`` is 4, or 2 for vocabularies of up to 65,536 ids; the checksum is always that of 32-bit ids.
 
     A document's ids end with ``end_id``. One longer than ``capacity`` is cut so that only its first piece is
     shorter. A null text is empty and gives the end id alone.
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(key, text).mapInArrow(_pieces(key, text, path, capacity, with_ids, end_id), schema)
+    return docs.select(key, text).mapInArrow(_pieces(key, text, path, capacity, with_ids, end_id, id_bytes), schema)
 
 
 class _Gaps:

@@ -1,6 +1,7 @@
 """The corpus pipeline from end to end on a small table with nulls, empty and repeated rows."""
 
 import sys
+import zlib
 
 import numpy as np
 import pytest
@@ -38,8 +39,8 @@ def test_run_packs_ids_that_decode_to_kept_text(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows
     for r in rows:
-        ids = np.frombuffer(r["ids"], "<u4")
-        assert len(ids) == r["length"] and r["offset"] + r["length"] <= 2048
+        ids = np.frombuffer(r["ids"], "<u2")
+        assert zlib.crc32(ids.astype("<u4").tobytes()) == r["ids_crc32"] and len(ids) == r["length"] and r["offset"] + r["length"] <= 2048
         if r["piece"] == 0:
             opening = tokenizer.decode(ids[ids != 0][:40].tolist()).strip().split("\n")[0][:15]
             assert any(opening in t for t in source), opening
