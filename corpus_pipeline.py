@@ -58,12 +58,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, token ids included, with their place in sequences of 2048 tokens."""
+    """The pieces of all documents, token ids (16 bits each) included, with their place in sequences of 2048 tokens."""
     from tallyhound.llm.packing import pack as best_fit
     from tallyhound.llm.packing import tokenised_pieces
     from tallyhound.llm.queries import tokenizer_path
 
-    return best_fit(tokenised_pieces(docs, tokenizer_path()))
+    return best_fit(tokenised_pieces(docs, tokenizer_path(), id_bytes=2))
 
 
 STAGES = [
