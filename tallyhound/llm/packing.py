@@ -36,7 +36,7 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
-def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
+def token_ids(texts: list[str], path: str, memo: int = MEMO) -> Iterator[bytes]:
     """The ids of every text as little-endian unsigned 32-bit numbers, as the tokenizer gives them for the whole text.
 
     Texts are cut before white space, where the byte-level pattern always cuts; a chunk met before is looked up. When
@@ -53,7 +53,7 @@ def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
             continue
         except KeyError:
             pass
-        if len(_memo) > MEMO:
+        if len(_memo) > memo:
             _older.clear()
             _older.update(_memo)
             _memo.clear()
@@ -74,7 +74,7 @@ def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
             yield b"".join(map(_memo.__getitem__, chunks))
 
 
-def _pieces(key: str, text: str, path: str, capacity: int, with_ids: bool, end_id: int, id_bytes: int):
+def _pieces(key: str, text: str, path: str, capacity: int, with_ids: bool, end_id: int, id_bytes: int, memo: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def stored(part: bytes) -> bytes | None:
@@ -90,7 +90,7 @@ def _pieces(key: str, text: str, path: str, capacity: int, with_ids: bool, end_i
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
                 out: list[list] = [[], [], [], [], [], []]
-                for k, ids in enumerate(token_ids([t or "" for t in rows.column(text).to_pylist()], path)):
+                for k, ids in enumerate(token_ids([t or "" for t in rows.column(text).to_pylist()], path, memo)):
                     ids += end
                     n = len(ids) // 4
                     start, piece = 0, 0
@@ -110,17 +110,18 @@ def _pieces(key: str, text: str, path: str, capacity: int, with_ids: bool, end_i
 
 
 def tokenised_pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = True, end_id: int = 0,
-                     id_bytes: int = 4) -> DataFrame:
+                     id_bytes: int = 4, memo: int = MEMO) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32 and, if asked for, the ids as little-endian numbers.
 
     ``id_bytes`` is 4, or 2 for vocabularies of up to 65,536 ids; the checksum is always that of 32-bit ids.
+    ``memo`` bounds the chunks that a worker remembers, about 200 bytes each and twice as many at most; it changes no result.
 
     A document's ids end with ``end_id``. One longer than ``capacity`` is cut so that only its first piece is
     shorter. A null text is empty and gives the end id alone.
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(key, text).mapInArrow(_pieces(key, text, path, capacity, with_ids, end_id, id_bytes), schema)
+    return docs.select(key, text).mapInArrow(_pieces(key, text, path, capacity, with_ids, end_id, id_bytes, memo), schema)
 
 
 class _Gaps:
