@@ -63,7 +63,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tallyhound.llm.packing import tokenised_pieces
     from tallyhound.llm.queries import tokenizer_path
 
-    return best_fit(tokenised_pieces(docs, tokenizer_path(), id_bytes=2))
+    return best_fit(tokenised_pieces(docs, tokenizer_path(), id_bytes=2, memo=250_000))
 
 
 STAGES = [
