@@ -83,7 +83,8 @@ def _(x: Inputs):
 
 
 @query("pf07_categories", [], f"""
-WITH g AS (SELECT "column", trim(v) AS value, count(*) AS n FROM ({_LONG}) WHERE v IS NOT NULL AND upper(trim(v)) NOT IN ('', 'NAN') GROUP BY 1, 2),
+WITH z AS (WITH l AS ({_LONG}), {_TYPES} SELECT "column" FROM typed WHERE sensitive_by_value IS NOT NULL),
+g AS (SELECT "column", trim(v) AS value, count(*) AS n FROM ({_LONG}) WHERE "column" NOT IN (SELECT "column" FROM z) AND v IS NOT NULL AND upper(trim(v)) NOT IN ('', 'NAN') GROUP BY 1, 2),
 t AS (SELECT "column", sum(n) AS total FROM g GROUP BY 1 HAVING count(*) <= 50),
 k AS (SELECT g.* FROM g JOIN t ON t."column" = g."column" WHERE n >= 20),
 o AS (SELECT t."column", total - coalesce(sum(n), 0) AS n FROM t LEFT JOIN k ON k."column" = t."column" GROUP BY t."column", total)
