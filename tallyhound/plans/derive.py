@@ -188,10 +188,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_views(names: list[str], body: str) -> str:
-    """The oracle's SQL: the named views as common table expressions, then the body."""
-    ctes = ",\n".join(f"{n} AS ({oracle(VIEWS[n])})" for n in names)
+def with_views(names: list[str], body: str, instead: dict[str, str] | None = None) -> str:
+    """The oracle's SQL: the named views as common table expressions, then the body; ``instead`` gives other SQL for names."""
+    shown = {n: oracle(VIEWS[n]) for n in names} | (instead or {})
+    ctes = ",\n".join(f"{n} AS ({sql})" for n, sql in shown.items())
     body = body.strip()
     opening = next((o for o in ("WITH RECURSIVE", "WITH") if body.upper().startswith(o)), "")
     joined = f"{ctes},\n{body[len(opening):].lstrip()}" if opening else f"{ctes}\n{body}"
-    return f"{opening or 'WITH'} {joined}" if names else body
+    return f"{opening or 'WITH'} {joined}" if shown else body

@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 
 from tallyhound.operators import features, models, ranking
 from tallyhound.operators.settle import settle
+from tallyhound.plans import derive, queries_ledger, queries_matching  # noqa: F401  their SQL is used below
 from tallyhound.plans.queries_links import refuels, requests
+from tallyhound.plans.queries_sequence import DAY_VIEWS, DAYS, EXEMPT
 from tallyhound.plans.queries_sources import data
-from tallyhound.plans.registry import Inputs, query
+from tallyhound.plans.registry import BODIES, ORACLES, Inputs, query
 from tallyhound.plans.run import run_rules
 
 _DIMS = [f"e{i}" for i in range(64)]
 
 
 def embedded(x: Inputs):
-    """The first sixteen dimensions of the embeddings as features, one label against the rest."""
+    """The 64 dimensions of the embeddings as features, one label against the rest."""
     return x.table("embeddings").select(
         F.col("vec_id").cast("string").alias("id"), (F.col("label") == 0).alias("label"), (F.col("vec_id") % 4).alias("run"),
         *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_DIMS)])
@@ -132,9 +134,53 @@ def _(x: Inputs):
     return models.compare_with_rules(rows, rows.filter("e0 > 0.1"), rarity, rows.filter("label"))
 
 
-@query("r23_all_rules")
-def _(x: Inputs):
+# SQL of the single rules, each with what the whole run gives it in place of the plain views.
+_KEPT = {"refuel": "SELECT * FROM kept_refuel"}
+_SPENT = {"spend": "SELECT id, contract, cast(date as date) AS date, amount FROM every_refuel"}
+_BILLED = {"spend": "SELECT id, contract, cast(date as date) AS date, amount FROM every_refuel WHERE id NOT IN (SELECT record_id FROM copy)"}
+_LINES = {"part": "SELECT id AS p_partkey, unit_price AS p_retailprice FROM every_refuel",
+          "invoice_line": f"SELECT * REPLACE ('R' || lpad(cast(refuel_ref as varchar), 12, '0') AS refuel_ref) FROM ({derive.oracle(derive.VIEWS['invoice_line'])})"}
+_OPEN = {"refuel": "SELECT * FROM every_refuel WHERE id NOT IN (SELECT record_id FROM copy)"}
+RULE_SQL: dict[str, dict[str, str]] = {
+    **dict.fromkeys([
+        "r01_exact_duplicates", "r02_missing_mandatory", "r03n_unknown_plate", "r03n_unknown_plate_normalised", "r03c_unlinked_refuel",
+        "r03c_unlinked_request", "r03c_unlinked_device", "r04n_over_tank", "r04c_over_tank_with_history", "r11_inactive_vehicle",
+        "r12n_far_from_zone", "r12c_far_from_track", "r14a_invoice_header_vs_lines", "r14b_document_vs_debt", "r16n_written_off_with_device",
+        "r16c_active_device", "r18n_fallback_refuels", "r18c_double_charges"], {}),
+    **dict.fromkeys([
+        "r05n_odometer_decreases", "r05c_decrease_in_context", "r06n_jump_fixed", "r06h_jump_by_history", "r06c_jump_in_context",
+        "r09c_split_tank_without_distance", "r10s_low_rate_by_type", "r13n_naive_match", "r13c_context_match", "r17n_no_advance", "r17s_small_advance", "r17c_no_advance_without_exemption"], _KEPT),
+    "r09n_split_tank": _KEPT | {"request": f"SELECT * FROM ({derive.oracle(derive.VIEWS['request'])}) WHERE false"},  # days of the network alone
+    "r09s_refuels_close_in_time": _OPEN, "r14n_month_reconciliation": _BILLED, "r14c_line_irregularities": _LINES,
+    "r15n_spend_over_cap": _SPENT, "r15c_quota_irregularities": _SPENT,
+}
+# Low rates of days without a refuel that another rule accounts for, whose reading is exempt or which stood still.
+_ACCOUNTED = ["r04c_over_tank_with_history", "r11_inactive_vehicle", "r09c_split_tank_without_distance", "r12c_far_from_track", "r17c_no_advance_without_exemption"]
+_LOW = f"""WITH {DAYS} SELECT id AS record_id, 'CONSUMO_ATIPICO' AS anomaly_type, '{{rule}}' AS rule FROM mem
+WHERE litres >= tank_capacity * 0.3 AND {{rate}} < 0.32
+  AND NOT EXISTS (SELECT 1 FROM refuel WHERE refuel.vehicle_id = mem.vehicle_id AND cast(refuel.date as date) = mem.date
+                  AND ({EXEMPT} OR id IN (SELECT record_id FROM accounted)))"""
+
+
+def _all_rules() -> str:
+    part = {n: f"SELECT cast(record_id as varchar) AS record_id, anomaly_type, rule FROM ({derive.with_views(*BODIES[n], instead)})" for n, instead in RULE_SQL.items()}
+    low = [f"SELECT * FROM ({derive.with_views([*DAY_VIEWS, 'exemption'], _LOW.format(rule=rule, rate=rate), _KEPT)})"
+           for rule, rate in (("rendimiento_bajo_odometro", "orel"), ("rendimiento_bajo_gps", "coalesce(trel, orel)"))]
+    return f"""WITH copy AS (SELECT record_id FROM ({ORACLES['r01_exact_duplicates']})),
+every_refuel AS ({derive.oracle(derive.VIEWS['refuel'])}),
+kept_refuel AS (SELECT * FROM every_refuel WHERE id NOT IN (SELECT record_id FROM copy UNION SELECT record_id FROM ({ORACLES['r18c_double_charges']}))),
+accounted AS ({" UNION ".join(part[n] for n in _ACCOUNTED)}),
+alerts AS ({" UNION ALL ".join([*part.values(), *low])})
+SELECT rule, anomaly_type, count(*) AS alerts, count(DISTINCT record_id) AS records FROM alerts GROUP BY ALL"""
+
+
+def all_data(x: Inputs):
+    """All tables of the fleet, invoice lines that name their refuels."""
     tables = data(x)
-    tables["invoice_line"] = tables["invoice_line"].withColumn("refuel_ref", F.concat(F.lit("R"), F.lpad(F.col("refuel_ref").cast("string"), 12, "0")))
-    alerts = run_rules(tables).alerts
+    return tables | {"invoice_line": tables["invoice_line"].withColumn("refuel_ref", F.concat(F.lit("R"), F.lpad(F.col("refuel_ref").cast("string"), 12, "0")))}
+
+
+@query("r23_all_rules", [], _all_rules())
+def _(x: Inputs):
+    alerts = run_rules(all_data(x)).alerts
     return alerts.groupBy("rule", "anomaly_type").agg(F.count(F.lit(1)).alias("alerts"), F.count_distinct("record_id").alias("records"))

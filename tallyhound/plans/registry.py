@@ -26,6 +26,7 @@ class Inputs:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, tuple[list[str], str]] = {}  # of the SQL: the views it names, and the text without them
 
 
 def query(name: str, views: list[str] | None = None, sql: str | None = None):
@@ -40,7 +41,8 @@ def query(name: str, views: list[str] | None = None, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = derive.with_views(views or [], sql)
+            BODIES[name] = views or [], sql
+            ORACLES[name] = derive.with_views(*BODIES[name])
         return fn
 
     return add
