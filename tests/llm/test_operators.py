@@ -336,6 +336,28 @@ def test_near_passages_meet_in_groups_of_unlike_ones(spark):
     assert len({r["doc_id"] for r in got} & want) >= 0.9 * len(want) and {r["doc_id"] for r in got} <= want
 
 
+def test_short_copies_and_lines_edited_in_the_middle_are_found(spark):
+    """Lines of 100 words with two words changed in the middle are found whole; so are copies of texts too short for a window."""
+    rng = random.Random(21)
+    base, rows = prose(rng, 100), []
+    for i in range(20):
+        words = base.split()
+        for k in (33, 66):
+            words[k] = f"edit{i}at{k}"
+        rows.append((i, f"{prose(rng, 30)}\n{' '.join(words)}\n{prose(rng, 40)}"))
+    rows += [(100 + i, "a short text of exactly eight words here") for i in range(5)] + [(200 + i, "two words") for i in range(3)]
+    rows += [(300, "a short text that nobody repeats at all"), (301, "  "), (302, None), (None, "two words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substring_dedup.repeated_paragraphs(df).collect()
+    whole = {r["doc_id"] for r in got if (r["start"], r["n_words"], r["first_id"]) == (30, 100, 0)}
+    assert len(whole) >= 0.9 * 19
+    assert {r["doc_id"] for r in got} - set(range(20)) == {101, 102, 103, 104, 201, 202, None}
+    left = {r["doc_id"]: r for r in substring_dedup.drop_repeats(df).collect()}
+    assert left[100]["text"] == rows[20][1] and left[101]["n_dropped_words"] == 8 and not left[101]["text"].strip()
+    edited = [left[i]["n_dropped_words"] for i in whole]
+    assert min(edited) >= 100 and max(edited) <= 102
+
+
 def test_shards_are_near_equal_and_whole(spark, docs, empty):
     out = sharding.shard_by_bytes(docs, 5).collect()
     assert len(out) == docs.count()
