@@ -73,8 +73,8 @@ def _(x: Inputs):
 @query("ml06_permutation_importance")
 def _(x: Inputs):
     rows = embedded(x)
-    model = models.train_forest(rows.filter("run < 2"), _DIMS[:4], trees=20)
-    return x.spark.createDataFrame(models.permutation_importance(model, rows.filter("run >= 2"), repeats=1), "feature string, loss double")
+    model = models.train_forest(rows.filter("run < 2"), _DIMS)
+    return x.spark.createDataFrame(models.permutation_importance(model, rows.filter("run >= 2")), "feature string, loss double")
 
 
 @query("ml07_methods_over_runs")
