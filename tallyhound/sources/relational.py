@@ -89,43 +89,62 @@ def upsert(target: DataFrame | None, rows: DataFrame, key: list[str], order: lis
     return fresh if target is None else target.join(fresh.select(*key), key, "left_anti").unionByName(fresh)
 
 
-class SnapshotStore:
-    """Tables kept as snapshots in a shared folder; a load writes new snapshots and then names them current.
+class KeyedTables:
+    """Tables in a shared folder that loads put rows into by key, as Parquet partitioned by a hash bucket of the key.
 
-    A load that dies half-way leaves the current snapshots as they were.
+    A load reads and rewrites the buckets that its rows fall into, by Spark's dynamic partition overwrite, and leaves
+    the others alone. Old and new rows of a bucket meet in one task, so choose ``buckets``, which stay the same for the
+    life of the folder, by the size a table will reach. Tasks may fail and be repeated; if the driver itself dies while
+    Spark puts finished buckets in place, run that load again from its whole source.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _current(self) -> dict[str, str]:
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
         from tallyhound.sources.dataset import path_exists
 
-        path = f"{self.folder}/_loads"
-        if not path_exists(self.spark, path):
-            return {}
-        last = self.spark.read.json(path).orderBy(F.col("load").desc()).limit(1).collect()
-        return json.loads(last[0]["snapshots"]) if last else {}
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self._exists = lambda path: path_exists(spark, path)
+        if self._exists(f"{self.folder}/_loads"):
+            before = spark.read.json(f"{self.folder}/_loads").agg(F.max("buckets")).first()[0]
+            if before != buckets:
+                raise ValueError(f"the folder has {before} buckets, not {buckets}")
 
-    def read(self, name: str) -> DataFrame | None:
-        path = self._current().get(name)
-        return None if path is None else self.spark.read.parquet(path)
+    def _stored(self, name: str) -> DataFrame | None:
+        path = f"{self.folder}/{name}"
+        return self.spark.read.parquet(path) if self._exists(path) else None
 
-    def load(self, tables: dict[str, DataFrame], origin: str, until: str | None = None) -> dict[str, int]:
-        """Upsert the tables by their keys, append a row to the load log, return the rows per table."""
-        current = self._current()
-        stamp = datetime.now(timezone.utc).isoformat(timespec="microseconds")
-        number = len(self.spark.read.json(f"{self.folder}/_loads").collect()) + 1 if current else 1
-        snapshots, counts = dict(current), {}
+    def read(self, name: str) -> DataFrame | None:
+        """The table as it is now; None where nothing was loaded."""
+        stored = self._stored(name)
+        return None if stored is None else stored.drop("__bucket")
+
+    def load(self, tables: dict[str, DataFrame], origin: str, until: str | None = None,
+             keys: dict[str, list[str]] | None = None, order: dict[str, list[str]] | None = None) -> dict[str, int]:
+        """Put the tables in by their keys and append a row to the load log; returns the rows put into each table.
+
+        A new row replaces the one of its key. With ``order``, per table columns that tell which row of a key is the
+        last (nulls before all), a row that arrives late leaves the later one there. Null keys are equal. Rows that tell apart in nothing
+        else are chosen by content, so the result does not depend on how the rows are dealt out.
+        """
+        counts = {}
         for name, rows in tables.items():
-            target = self.spark.read.parquet(current[name]) if name in current else None
-            path = f"{self.folder}/{name}/load={number:06d}"
-            upsert(target, rows, KEYS[name]).write.mode("overwrite").parquet(path)
-            snapshots[name] = path
-            counts[name] = self.spark.read.parquet(path).count()
-        entry = [(number, stamp, origin, until, json.dumps(counts), json.dumps(snapshots))]
+            key = (keys or KEYS)[name]
+            fresh = rows.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int"))
+            touched = {b: n for b, n in fresh.groupBy("__bucket").count().collect()}  # at most ``buckets`` rows
+            counts[name] = sum(touched.values())
+            if not touched:
+                continue
+            both, stored = fresh.withColumn("__new", F.lit(1)), self._stored(name)
+            if stored is not None:
+                kept = stored.filter(F.col("__bucket").isin(list(touched))).withColumn("__new", F.lit(0))
+                both = both.unionByName(kept, allowMissingColumns=True)
+            rest = [c for c in both.columns if c not in {*key, "__bucket", "__new"}]
+            last = F.max(F.struct(*[F.col(c).alias(f"__{i}") for i, c in enumerate((order or {}).get(name, []))], "__new", *rest)).alias("__last")
+            merged = both.repartition("__bucket").groupBy("__bucket", *key).agg(last)
+            merged = merged.select(*key, *[F.col("__last")[c].alias(c) for c in rest], "__bucket")
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(f"{self.folder}/{name}")
+        stamp = datetime.now(timezone.utc).isoformat(timespec="microseconds")
         self.spark.createDataFrame(
-            entry, "load int, instant string, origin string, until string, rows string, snapshots string"
+            [(stamp, origin, until, json.dumps(counts), self.buckets)], "instant string, origin string, until string, rows string, buckets int"
         ).coalesce(1).write.mode("append").json(f"{self.folder}/_loads")
         return counts
 

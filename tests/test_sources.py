@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tallyhound.sources import dataset, files, relational
@@ -69,14 +71,35 @@ def test_incremental_load_equals_full_load(spark, tmp_path):
     source = str(tmp_path / "in")
     for i, (low, high) in enumerate([(0, 40), (30, 70), (60, 100)]):
         whole.filter((F.col("litres") >= low * 2) & (F.col("litres") < high * 2)).coalesce(1).write.parquet(f"{source}/part={i}")
-    store = relational.SnapshotStore(spark, str(tmp_path / "store"))
+    store = relational.KeyedTables(spark, str(tmp_path / "store"), buckets=8)
     flat = f"{source}/*"
     schema = whole.schema
     for _ in range(2):  # the second run finds nothing new
         incremental_load(spark, flat, schema, store, "refuel", str(tmp_path / "ck"), files_per_batch=1)
     assert rows(store.read("refuel").select("id", "litres")) == rows(whole)
-    full = relational.SnapshotStore(spark, str(tmp_path / "full"))
+    full = relational.KeyedTables(spark, str(tmp_path / "full"))
     assert full.load({"refuel": whole}, "all") == {"refuel": 100}
     assert full.load({"refuel": whole}, "again") == {"refuel": 100}
     assert rows(full.read("refuel")) == rows(store.read("refuel").select("id", "litres"))
     assert os.path.isdir(str(tmp_path / "full" / "_loads"))
+
+
+def test_a_load_rewrites_the_buckets_it_touches(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    store = relational.KeyedTables(spark, folder, buckets=16)
+    frame = lambda *r: spark.createDataFrame(list(r), "id string, day int, v string")
+    store.load({"refuel": frame(*[(str(i), 1, "a") for i in range(60)], (None, 1, "a"))}, "first")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(f"{folder}/refuel") for f in names if f.endswith(".parquet")}
+    before = files()
+    order = {"refuel": ["day"]}
+    assert store.load({"refuel": frame(("7", 3, "b"), (None, 2, "b"), ("7", 2, "z"))}, "second", order=order) == {"refuel": 3}
+    assert len(before - files()) <= 2
+    store.load({"refuel": frame(("7", 1, "late"))}, "third", order=order)
+    got = {r["id"]: r["v"] for r in store.read("refuel").collect()}
+    assert len(got) == store.read("refuel").count() == 61 and got["7"] == "b" and got[None] == "b" and got["8"] == "a"
+    store.load({"refuel": frame(("7", 1, "plain"))}, "fourth")
+    assert {r["v"] for r in store.read("refuel").filter("id = '7'").collect()} == {"plain"}
+    store.load({"refuel": frame()}, "nothing")
+    assert store.read("refuel").count() == 61 and store.read("card") is None
+    with pytest.raises(ValueError):
+        relational.KeyedTables(spark, folder, buckets=8)
