@@ -23,11 +23,17 @@ def _has_folder(spark: SparkSession) -> bool:
     return False
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's own part of the checkpoint folder, which driver and executors share."""
+    if not _has_folder(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.sparkContext.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and write it to the checkpoint folder, so the plans that share it start from there.
 
     On a cluster the folder is the shared one of ``spark.checkpoint.dir``; without that setting this is an error.
     """
-    if not _has_folder(df.sparkSession):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

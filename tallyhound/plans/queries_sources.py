@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tallyhound.operators.settle import shared_folder
 from tallyhound.plans.queries_links import LINK_CTES, NORM, link_sql
 from tallyhound.plans.registry import Inputs, query
 from tallyhound.sources import files, normalise, relational
+from tallyhound.streaming.incremental import incremental_load
 
 
 @query("src02_numeric_columns", [], """
@@ -156,3 +160,27 @@ def _(x: Inputs):
 
     linked = link_identifiers(x.view("device"), "plate", x.view("vehicle"))
     return linked.groupBy(F.coalesce("link_tier", F.lit("ninguno")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("st01_load_by_key", [], """
+SELECT o_orderkey, o_custkey, o_totalprice + CASE WHEN o_orderkey % 10 IN (4, 5) THEN 2 WHEN o_orderkey % 10 >= 6 THEN 1 ELSE 0 END AS o_totalprice,
+       CASE WHEN o_orderkey % 10 IN (4, 5) THEN 3 WHEN o_orderkey % 10 >= 6 THEN 2 ELSE 1 END AS version FROM orders""")
+def _(x: Inputs):
+    """All orders in three loads that overlap; the last one holds newer rows of some keys and late ones of others."""
+    o, last = x.table("orders").select("o_orderkey", "o_custkey", "o_totalprice"), F.col("o_orderkey") % 10
+    version = lambda rows, n: rows.withColumns({"o_totalprice": F.col("o_totalprice") + F.lit(n - 1), "version": F.lit(n)})
+    late = version(o.filter(last.isin(4, 5)), 3).unionByName(version(o.filter(last >= 8), 1))
+    store = relational.KeyedTables(x.spark, f"{shared_folder(x.spark)}/load-{uuid.uuid4().hex}")
+    for i, rows in enumerate((version(o.filter(last < 7), 1), version(o.filter(last >= 5), 2), late)):
+        store.load({"orders": rows}, f"load {i}", keys={"orders": ["o_orderkey"]}, order={"orders": ["version"]})
+    return store.read("orders").select(*o.columns, "version")
+
+
+@query("st01_incremental_load", [], "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
+def _(x: Inputs):
+    """The customer files as a stream put in by key; the second run finds nothing new."""
+    folder, columns = f"{shared_folder(x.spark)}/load-{uuid.uuid4().hex}", ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]
+    store = relational.KeyedTables(x.spark, f"{folder}/tables")
+    for _ in range(2):
+        incremental_load(x.spark, f"{x.sf_dir}/customer.parquet*", x.table("customer").schema, store, "customer", f"{folder}/progress", key=["c_custkey"])
+    return store.read("customer").select(*columns)
