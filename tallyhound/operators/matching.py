@@ -17,7 +17,7 @@ from tallyhound.operators.rangejoin import bucketed_range_join
 from tallyhound.operators.runs import over_groups
 from tallyhound.operators.sequence import without
 from tallyhound.operators.settle import settle
-from tallyhound.operators.skew import OrderedGroups, per_heat, split_by_heat
+from tallyhound.operators.skew import OrderedGroups, grown, per_heat, split_by_heat
 
 # The window and the cost of a pair.
 MINUTES_BEFORE = 180
@@ -28,7 +28,8 @@ LITRES_TOLERANCE = 0.5
 
 COMPONENT_ROWS = 2000  # larger components are matched by auction
 EPSILON = 0.005  # least rise of a bid; the auction's total is within this much a refuel of the best
-SLICE_MICROS = 2 * (MINUTES_BEFORE + MINUTES_AFTER) * 60_000_000
+SLICE_MICROS = 2 * (MINUTES_BEFORE + MINUTES_AFTER) * 60_000_000  # the shortest slice of the auction
+SLICE_ROWS = 50_000  # about as many rows as one of its tasks takes
 
 
 def assign(cost: np.ndarray, unmatched: float = UNMATCHED_COST) -> np.ndarray:
@@ -103,7 +104,7 @@ def keyed_refuels(refuels: DataFrame, vehicles: DataFrame | None, excluded: Data
     plate = F.col("plate")
     if vehicles is not None and "card" in vehicles.columns and "card" in refuels.columns:
         owners = lookup(vehicles, F.col("card"), F.col("plate"), "card", "__owner_plate")
-        rows = rows.join(owners, "card", "left")
+        rows = rows.join(grown(owners), "card", "left")
         plate = F.coalesce("__owner_plate", "plate")
     key = F.when(is_personal(rows), F.concat(F.lit("P:"), F.col("driver"))).otherwise(
         F.concat(F.lit("D:"), normalise_id(plate)))
@@ -194,10 +195,10 @@ def bid_locally(a: dict[str, np.ndarray], active: np.ndarray, b: dict[str, np.nd
     return gone
 
 
-_BIDDERS = "match_key string, component long, kind string, id string, at long, litres double, voided boolean, bids boolean, price double, owner string, gone boolean"
+_BIDDERS = "match_key string, component long, kind string, id string, at long, litres double, voided boolean, bids boolean, price double, owner string, gone boolean, origin long, length long"
 
 
-def _bidding(shift: int, epsilon: float):
+def _bidding(half: int, epsilon: float):
     minute = 60_000_000
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,9 +209,11 @@ def _bidding(shift: int, epsilon: float):
         before, after = (MINUTES_BEFORE, MINUTES_AFTER) if refuels_bid else (MINUTES_AFTER, MINUTES_BEFORE)
         arrays = lambda side: {c: side[c].to_numpy(dtype=float if c == "voided" else None) for c in ("at", "litres", "voided")}
         bidders = arrays(a)
-        start = (bidders["at"] + shift) // SLICE_MICROS * SLICE_MICROS - shift
+        origin, length = int(pdf["origin"].iloc[0]), int(pdf["length"].iloc[0])
+        shift = half * (length // 2) - origin
+        start = (bidders["at"] + shift) // length * length - shift
         first, last = bidders["at"] - before * minute, bidders["at"] + after * minute
-        bidders |= {"first": first, "last": last, "inside": (first >= start) & (last < start + SLICE_MICROS)}
+        bidders |= {"first": first, "last": last, "inside": (first >= start) & (last < start + length)}
         number = {x: i for i, x in enumerate(a["id"])}
         owner = np.array([-1 if x is None else number.get(x, -2) for x in b["owner"]], np.int64)
         price, was = b["price"].to_numpy(copy=True), owner.copy()
@@ -222,32 +225,38 @@ def _bidding(shift: int, epsilon: float):
     return work
 
 
-def auction_pairs(rows: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+def auction_pairs(rows: DataFrame, epsilon: float = EPSILON, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Nearly cheapest one-to-one pairs of components of any size: ``refuel_id, request_id``.
 
     ``rows`` has ``match_key, component, kind, id, at`` (microseconds), ``litres, voided``. The side of a component with fewer rows bids
-    for rows of the other. Time is cut into slices twice as long as a bidder's window, and in every other round the cuts
-    lie half a slice later, so each bidder sees all its partners inside one slice in one of two rounds running. There it
-    bids with the prices as they stand, which no other task changes then. Prices start at nothing and only rise; when
-    no bidder without a partner wants one, the total cost is within ``epsilon`` per bidder of the least. A task holds the
-    rows of one slice, never pairs, whatever the key's size.
+    for rows of the other. Time is cut into slices of about ``slice_rows`` rows, at least twice as long as a bidder's window, and
+    in every other round the cuts lie half a slice later, so each bidder sees all its partners inside one slice in one of two
+    rounds running. There it bids with the prices as they stand, which no other task changes then. Prices start at nothing and
+    only rise; when no bidder without a partner wants one, the total cost is within ``epsilon`` per bidder of the least. A task
+    holds the rows of one slice, never pairs, whatever the key's size. Bidders that outbid one another across a cut take a
+    round each time, so slices are as long as a task can take: rounds grow with the cuts in reach of dense hours.
     """
     keys = ["match_key", "component"]
     refuel = F.col("kind") == "refuel"
-    sides = rows.groupBy(*keys).agg((F.count_if(refuel) <= F.count_if(~refuel)).alias("few"))
+    # Slices start well before the first row and end well after the last, so that a single one holds every window.
+    units = F.floor((F.max("at") - F.min("at")) / SLICE_MICROS) + 3
+    slices = F.ceil(F.count(F.lit(1)) / slice_rows)
+    sides = rows.groupBy(*keys).agg(
+        (F.count_if(refuel) <= F.count_if(~refuel)).alias("few"), (F.min("at") - SLICE_MICROS).alias("origin"),
+        (F.greatest(F.ceil(units / slices), F.lit(1)) * SLICE_MICROS).cast("long").alias("length"))
     state = rows.join(sides, keys).select(
         *keys, "kind", "id", "at", "litres", "voided", (refuel == F.col("few")).alias("bids"), F.lit(0.0).alias("price"),
-        F.lit(None).cast("string").alias("owner"), F.lit(False).alias("gone"), F.lit(False).alias("held"))
-    shift = 0
+        F.lit(None).cast("string").alias("owner"), F.lit(False).alias("gone"), "origin", "length", F.lit(False).alias("held"))
+    half = 0
     while True:
-        sliced = state.withColumn("slice", F.floor((F.col("at") + shift) / SLICE_MICROS))
-        bid = settle(sliced.groupBy(*keys, "slice").applyInPandas(_bidding(shift, epsilon), _BIDDERS))
+        sliced = state.withColumn("slice", F.expr(f"(at - origin + {half} * (length div 2)) div length"))
+        bid = settle(sliced.groupBy(*keys, "slice").applyInPandas(_bidding(half, epsilon), _BIDDERS))
         taken = bid.filter("owner is not null").select(*keys, F.lit(True).alias("bids"), F.col("owner").alias("id"), F.lit(True).alias("held"))
         state = bid.join(taken, [*keys, "bids", "id"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
         if state.filter("bids and not held and not gone").isEmpty():
             pairs, mine = bid.filter("owner is not null"), F.col("kind") == "refuel"
             return pairs.select(F.when(mine, F.col("id")).otherwise(F.col("owner")).alias("refuel_id"), F.when(mine, F.col("owner")).otherwise(F.col("id")).alias("request_id"))
-        shift = SLICE_MICROS // 2 - shift
+        half = 1 - half
 
 
 def optimal_pairs(refuels: DataFrame, requests: DataFrame, hot_rows: int | None = None, component_rows: int = COMPONENT_ROWS) -> DataFrame:

@@ -119,6 +119,21 @@ def test_auction_costs_as_little_as_the_exact_match(spark, n, m):
         assert best - 1e-9 <= got <= best + matching.EPSILON * min(n, m)
 
 
+def test_auction_of_a_chain_of_days_takes_few_rounds(spark, monkeypatch):
+    """Many requests outbid one another over ten days; rounds must not grow with the hours that the chain spans."""
+    rng = np.random.default_rng(4)
+    a = {f"F{i:04d}": (int(rng.integers(0, 864_000)), float(rng.integers(10, 200)), False) for i in range(2400)}
+    b = {f"Q{i:04d}": (int(rng.integers(0, 864_000)), float(rng.integers(10, 200)), False) for i in range(1000)}
+    rows = [("K", 1, kind, k, v[0] * 1_000_000, v[1], v[2]) for kind, side in (("refuel", a), ("request", b)) for k, v in side.items()]
+    df = spark.createDataFrame(rows, "match_key string, component long, kind string, id string, at long, litres double, voided boolean")
+    settled, rounds = matching.settle, []
+    monkeypatch.setattr(matching, "settle", lambda x: rounds.append(x) or settled(x))
+    whole = cost_of(pairs(matching.auction_pairs(df)), a, b)
+    assert len(rounds) <= 2
+    sliced = cost_of(pairs(matching.auction_pairs(df, slice_rows=1000)), a, b)
+    assert abs(whole - sliced) <= matching.EPSILON * 1000 and len(rounds) <= 10
+
+
 def test_large_components_take_the_auction(spark, vehicles):
     refuels = typed_refuels(spark.createDataFrame([(f"C{i}", "AA001BB", "T1", None, "PATENTE", "2024-03-05", f"10:0{i}:00", 40.0 + i) for i in range(4)], REFUEL))
     requests = typed_requests(spark.createDataFrame([request(f"P{i}", "AA001BB", f"09:1{i}:00", 40.0 + i) for i in range(4)], REQUEST))
