@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ SIMILARITY = 0.75
 ROWS = 2  # minima per band
 MARKS = 1 << 26  # bits of the broadcast bitmap of paragraphs to verify
 RECALL = 0.98
+ORDERED_BY = 8  # one in so many units counts for the order of the n-grams
+FREQUENT = 500_000  # n-grams, at most, that come last in that order
 
 
 def bands_for(similarity: float = SIMILARITY, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -143,7 +145,7 @@ def _bands(text: str, size: int, reach: int, n: int, bands: int, rows: int):
 
 
 def _unit_sets(text: str, size: int, reach: int, n: int, shared):
-    """The n-grams of the units that the bitmap marks; copies in a slab once."""
+    """The n-grams of the units that the bitmap marks, and whether a unit is a window; copies in a slab once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
@@ -157,7 +159,7 @@ def _unit_sets(text: str, size: int, reach: int, n: int, shared):
                 at = sets.unit & (MARKS - 1)
                 hit = np.flatnonzero((marks[at >> 6] >> (at & 63)) & 1 == 1)
                 grams = [np.unique(sets.grams[b : b + k]).view(np.int64) for b, k in zip(sets.begin[hit], sets.size[hit], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(sets.unit[hit]), pa.array(grams, pa.list_(pa.int64()))], ["unit", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets.unit[hit]), pa.array(lengths[hit] == size), pa.array(grams, pa.list_(pa.int64()))], ["unit", "window", "grams"])
 
     return run
 
@@ -171,48 +173,82 @@ def _bitmap(units: DataFrame) -> np.ndarray:
     return out
 
 
-def _compared(members: DataFrame, sets: DataFrame, similarity: float, step: int) -> DataFrame:
-    """``members`` (group, unit, row, label, pivot, pivot_row, pivot_label) with ``near``: is the unit like its pivot?
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that many units hold, in order, and about how many; they only order the n-grams, so a part of the units will do."""
+    some = sets.filter(F.pmod("unit", F.lit(ORDERED_BY)) == 0).select(F.explode("grams").alias("gram"))
+    found = some.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").orderBy(F.col("held").desc(), "gram").limit(FREQUENT).toArrow()
+    grams, held = found.column("gram").to_numpy(), found.column("held").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], held[order]
 
-    ``group`` becomes the hash of the old group and one more minimum over the unit's n-grams. Paragraphs of one row
-    are never near. The label of a near unit becomes that of its pivot.
-    """
-    lowest = F.array_min(F.transform("x", lambda g: F.xxhash64(g, F.lit(step))))
+
+def _prefixes(similarity: float, shared):
+    """The n-grams of each unit's prefix, rare ones first, and the largest partner that their position still allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, held = shared.value
+        for batch in batches:
+            lists = batch.column("grams")
+            n = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+            if not n.sum():
+                continue
+            owner, grams = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy()
+            count = np.zeros(len(grams), np.int64)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+                count = np.where(frequent[at] == grams, held[at], 0)
+            grams = grams[np.lexsort((grams, count, owner))]
+            place, whole = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n), n[owner]
+            # similarity * (n + m - o) <= o, where o <= n - place
+            largest = np.floor((1 + similarity) / similarity * (whole - place) - whole + 1e-6)
+            use = largest >= similarity * whole - 1e-6
+            kind = batch.column("window").to_numpy(zero_copy_only=False)[owner]  # windows meet windows alone
+            key = np.where(kind, grams, mix(grams.view(np.uint64)).view(np.int64))
+            rows = batch.select(["unit", "row", "root"]).take(pa.array(owner[use]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[use]), *rows.columns, pa.array(whole[use].astype(np.int32)), pa.array(largest[use].astype(np.int32))], ["gram", "unit", "row", "root", "n", "largest"])
+
+    return run
+
+
+def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity."""
+    left, right = sets.select(F.col("unit").alias("a"), F.col("grams").alias("x")), sets.select(F.col("unit").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    like = (both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)) & (F.col("row") != F.col("pivot_row"))
-    met = members.join(sets.withColumnRenamed("grams", "x"), "unit").join(sets.select(F.col("unit").alias("pivot"), F.col("grams").alias("y")), "pivot")
-    met = met.withColumn("near", like)
-    return written(met.select(F.xxhash64("group", lowest).alias("group"), "unit", "row", F.when(F.col("near"), F.col("pivot_label")).otherwise(F.col("label")).alias("label"), "pivot", "near"))
+    return pairs.join(left, "a").join(right, "b").filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _regrouped(members: DataFrame) -> DataFrame:
-    """``members`` (group, unit, row, label) of the groups that are not one already, with the pivot of their group."""
-    low = F.col("unit").bitwiseXOR(F.col("group"))  # another order, so another pivot, in every group
-    groups = members.groupBy("group").agg(
-        F.min(F.struct(low.alias("low"), F.col("row").alias("row"), F.col("label").alias("label"))).alias("p"),
-        F.min("row").alias("r"), F.max("row").alias("s"), F.min("label").alias("l"), F.max("label").alias("m")).filter("r <> s and l <> m")
-    chosen = groups.select(F.col("group").alias("g"), F.col("p.low").bitwiseXOR(F.col("group")).alias("pivot"), F.col("p.row").alias("pivot_row"), F.col("p.label").alias("pivot_label"))
-    return members.join(chosen, F.col("group") == F.col("g")).filter("unit <> pivot").drop("g")
+def _mixed(prefix: DataFrame) -> DataFrame:
+    """The lists of ``prefix`` that hold several components and several rows, with the most central unit of each.
+
+    Central is the unit with most left after the n-gram, that is, with the fewest rare ones before.
+    """
+    lists = prefix.groupBy(F.col("gram").alias("g")).agg(
+        F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("row").alias("s0"), F.max("row").alias("s1"),
+        F.max(F.struct(F.expr("largest - n").alias("room"), "unit", "row", "root", "n", "largest")).alias("c"))
+    return prefix.join(lists.filter("r0 <> r1 and s0 <> s1").select("g", "c"), F.col("gram") == F.col("g")).drop("g")
 
 
-def _near_units(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between units that met: compare all with their pivot, split the groups by one more minimum, repeat.
+def _near_units(stars: DataFrame, units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the units of ``sets`` as the comparison of all their pairs would; units of one row are no pair.
 
-    A pivot leaves after its round. Units near it stay for as long as their group also holds units that nothing
-    joins to them yet, which may be near them though not near the pivot. So a group is never paired with itself:
-    every round compares a unit once, and groups fall apart until each is one component or one document.
+    ``stars`` are pairs (a, b) of units that met. Those that are near are linked first. Then only units that are not
+    yet connected are compared, if they share an n-gram among the rare ones of both that similar sets must share
+    (prefix filter) and their sizes allow it: first with the most central unit of each n-gram's list, then, where
+    several components are left in a list, all of them. ``units`` has the ``row`` of each ``unit``.
     """
-    links, step = [], 0
-    while True:
-        if step and not step & (step - 1):  # before rounds 1, 2, 4, 8 … leave out the n-grams of units that are done
-            asked = members.select("unit").union(members.select("pivot")).distinct()
-            sets = written(sets.join(asked, "unit", "left_semi"))
-        done = _compared(members, sets, similarity, step)
-        links.append(done.filter("near").select(F.col("unit").alias("a"), F.col("pivot").alias("b")))
-        members = written(_regrouped(done.select("group", "unit", "row", "label")))
-        step += 1
-        if members.isEmpty():
-            return reduce(DataFrame.union, links)
+    links = written(_near(stars, sets, similarity))
+    shared = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
+    roots = components(links)
+    known = sets.join(units, "unit").join(roots, F.col("unit") == F.col("node"), "left").select("unit", "row", F.coalesce("root", "unit").alias("root"), "window", "grams")
+    prefix = written(_mixed(written(known.mapInArrow(_prefixes(similarity, shared), "gram long, unit long, row long, root long, n int, largest int"))))
+    spokes = prefix.filter("root <> c.root and row <> c.row and n <= c.largest and c.n <= largest")
+    links = links.union(written(_near(spokes.select(F.least("unit", "c.unit").alias("a"), F.greatest("unit", "c.unit").alias("b")).distinct(), sets, similarity)))
+    roots = components(links)
+    apart = prefix.drop("root", "c").join(roots, F.col("unit") == F.col("node"), "left").select("gram", "unit", "row", "n", "largest", F.coalesce("root", "unit").alias("root"))
+    apart = written(_mixed(written(apart)).drop("c"))
+    x, y = apart.alias("x"), apart.alias("y")
+    pairs = x.join(y, F.expr("x.gram = y.gram and x.root <> y.root and x.row <> y.row and x.unit < y.unit and x.n <= y.largest and y.n <= x.largest"))
+    return links.union(written(_near(pairs.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")).distinct(), sets, similarity)))
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = PARAGRAPH, reach: int = REACH, n: int = N, similarity: float = SIMILARITY) -> DataFrame:
@@ -220,9 +256,9 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
 
     ``row`` is the hash of key and text, ``start`` the paragraph's first word in the text. Paragraphs are lines of
     ``size`` words or more, whole texts of fewer words, and windows of ``size`` words that the words cut, for passages
-    inside lines. Equal paragraphs are one unit. Units that agree in a band are compared with the band's smallest
-    unit, then in ever finer groups with other ones, by the exact Jaccard similarity of their word n-grams; linked
-    units form components. The first occurrence in a component, by key (null last) and position, is no repeat, nor
+    inside lines. Equal paragraphs are one unit. Units that share a band with a unit of another row are compared by the
+    exact Jaccard similarity of their word n-grams, with the band's smallest unit first and then with every one of
+    them that can be similar and is not connected yet; linked units form components. The first occurrence in a component, by key (null last) and position, is no repeat, nor
     is what its own document has of the component. Shorter lines of longer texts are no paragraphs (line dedup
     counts them); texts without words, and null texts, have none. Rows equal in key and text count once.
     """
@@ -234,16 +270,17 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     units = written(units.select("unit", "first", F.expr("r <> s").alias("spread")))
     bands = docs.select(text).mapInArrow(_bands(text, size, reach, n, bands_for(similarity), ROWS), "band long, unit long")
     met = bands.repartition("band").groupBy("band", "unit").agg(F.lit(1).alias("one"))
-    met = met.select("unit", F.min("unit").over(Window.partitionBy("band")).alias("pivot")).filter("unit <> pivot")
+    met = met.select("band", "unit", F.min("unit").over(Window.partitionBy("band")).alias("pivot")).filter("unit <> pivot")
     ours, theirs = units.select("unit", F.col("first.row").alias("row")), units.select(F.col("unit").alias("pivot"), F.col("first.row").alias("pivot_row"))
-    # Overlapping paragraphs of one document meet too; they repeat nothing
-    pairs = written(met.distinct().join(ours, "unit").join(theirs, "pivot").filter("row <> pivot_row"))
-    members = pairs.select(F.col("pivot").alias("group"), "unit", "row", F.col("unit").alias("label"), "pivot", "pivot_row", F.col("pivot").alias("pivot_label"))
-    asked = members.select("unit").union(members.select("pivot")).distinct()
+    # Overlapping paragraphs of one document meet too; they repeat nothing, and bands of one document are left out
+    placed = written(met.join(ours, "unit").join(theirs, "pivot").select("band", "unit", "pivot", (F.col("row") != F.col("pivot_row")).alias("apart")))
+    stars = placed.filter("apart").select(F.col("unit").alias("a"), F.col("pivot").alias("b")).distinct()
+    several = placed.join(placed.filter("apart").select("band").distinct(), "band", "left_semi")
+    asked = written(several.select("unit").union(several.select("pivot")).distinct())
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(asked))
-    marked_sets = docs.select(text).mapInArrow(_unit_sets(text, size, reach, n, shared), "unit long, grams array<long>")
+    marked_sets = docs.select(text).mapInArrow(_unit_sets(text, size, reach, n, shared), "unit long, window boolean, grams array<long>")
     sets = written(marked_sets.join(asked, "unit", "left_semi").dropDuplicates(["unit"]))
-    roots = components(_near_units(members, sets, similarity))
+    roots = components(_near_units(stars, ours, sets, similarity))
     named = roots.union(roots.select("root", "root").distinct())
     rooted = units.join(named, F.col("unit") == F.col("node"), "left").filter("spread or node is not null")
     rooted = rooted.select("unit", "first", "spread", F.coalesce("root", "unit").alias("component"))

@@ -336,6 +336,28 @@ def test_near_passages_meet_in_groups_of_unlike_ones(spark):
     assert len({r["doc_id"] for r in got} & want) >= 0.9 * len(want) and {r["doc_id"] for r in got} <= want
 
 
+def test_no_near_passage_is_left_out_among_unlike_ones(spark):
+    """Passages near each other, but seldom near the smallest of those they meet, are all linked (brute force)."""
+    rng = np.random.Generator(np.random.PCG64(17))
+    rows = []
+    for family in range(8):
+        base = [f"w{family}x{k}" for k in range(23)]
+        for _ in range(50):
+            words, left, right = list(base), int(rng.integers(0, 4)), int(rng.integers(0, 4))
+            words[:left] = [f"p{rng.integers(0, 3)}" for _ in range(left)]
+            words[23 - right :] = [f"q{rng.integers(0, 3)}" for _ in range(right)]
+            rows.append((len(rows), " ".join(words)))
+    sets = [shingles(text) for _, text in rows]
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["first_id"] for r in substring_dedup.repeated_paragraphs(df).collect()}
+    assert got == {i: r for i, r in enumerate(root) if r != i}
+
+
 def test_short_copies_and_lines_edited_in_the_middle_are_found(spark):
     """Lines of 100 words with two words changed in the middle are found whole; so are copies of texts too short for a window."""
     rng = random.Random(21)
