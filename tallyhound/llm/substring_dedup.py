@@ -211,10 +211,10 @@ def _prefixes(similarity: float, shared):
 
 
 def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    """The rows of ``pairs`` (a, b, …) whose sets reach the similarity."""
     left, right = sets.select(F.col("unit").alias("a"), F.col("grams").alias("x")), sets.select(F.col("unit").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select(*pairs.columns)
 
 
 def _mixed(prefix: DataFrame) -> DataFrame:
@@ -228,27 +228,34 @@ def _mixed(prefix: DataFrame) -> DataFrame:
     return prefix.join(lists.filter("r0 <> r1 and s0 <> s1").select("g", "c"), F.col("gram") == F.col("g")).drop("g")
 
 
-def _near_units(stars: DataFrame, units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect the units of ``sets`` as the comparison of all their pairs would; units of one row are no pair.
+def _joined(roots: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``roots`` (node, root) after further ``links`` (a, b) between roots, and what became of these roots."""
+    moved = components(links)
+    later = moved.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return roots.join(later, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).union(moved), later
+
+
+def _near_units(stars: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the units in ``sets`` as the comparison of all their pairs would link them; units of one row are no pair.
 
     ``stars`` are pairs (a, b) of units that met. Those that are near are linked first. Then only units that are not
     yet connected are compared, if they share an n-gram among the rare ones of both that similar sets must share
     (prefix filter) and their sizes allow it: first with the most central unit of each n-gram's list, then, where
-    several components are left in a list, all of them. ``units`` has the ``row`` of each ``unit``.
+    several components are left in a list, all of them.
     """
-    links = written(_near(stars, sets, similarity))
+    roots = components(_near(stars, sets, similarity).select("a", "b"))
     shared = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
-    roots = components(links)
-    known = sets.join(units, "unit").join(roots, F.col("unit") == F.col("node"), "left").select("unit", "row", F.coalesce("root", "unit").alias("root"), "window", "grams")
+    known = sets.join(roots, F.col("unit") == F.col("node"), "left").select("unit", "row", F.coalesce("root", "unit").alias("root"), "window", "grams")
     prefix = written(_mixed(written(known.mapInArrow(_prefixes(similarity, shared), "gram long, unit long, row long, root long, n int, largest int"))))
     spokes = prefix.filter("root <> c.root and row <> c.row and n <= c.largest and c.n <= largest")
-    links = links.union(written(_near(spokes.select(F.least("unit", "c.unit").alias("a"), F.greatest("unit", "c.unit").alias("b")).distinct(), sets, similarity)))
-    roots = components(links)
-    apart = prefix.drop("root", "c").join(roots, F.col("unit") == F.col("node"), "left").select("gram", "unit", "row", "n", "largest", F.coalesce("root", "unit").alias("root"))
-    apart = written(_mixed(written(apart)).drop("c"))
+    spokes = spokes.select(F.col("unit").alias("a"), F.col("c.unit").alias("b"), F.col("root").alias("ra"), F.col("c.root").alias("rb")).distinct()
+    roots, later = _joined(roots, _near(spokes, sets, similarity).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    apart = prefix.drop("c").join(later, F.col("root") == F.col("old"), "left").withColumn("root", F.coalesce("new", "root")).drop("old", "new")
+    apart = written(_mixed(apart).drop("c"))
     x, y = apart.alias("x"), apart.alias("y")
     pairs = x.join(y, F.expr("x.gram = y.gram and x.root <> y.root and x.row <> y.row and x.unit < y.unit and x.n <= y.largest and y.n <= x.largest"))
-    return links.union(written(_near(pairs.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")).distinct(), sets, similarity)))
+    pairs = pairs.select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")).distinct()
+    return written(_joined(roots, _near(pairs, sets, similarity).select(F.col("ra").alias("a"), F.col("rb").alias("b")))[0])
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = PARAGRAPH, reach: int = REACH, n: int = N, similarity: float = SIMILARITY) -> DataFrame:
@@ -273,14 +280,14 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     met = met.select("band", "unit", F.min("unit").over(Window.partitionBy("band")).alias("pivot")).filter("unit <> pivot")
     ours, theirs = units.select("unit", F.col("first.row").alias("row")), units.select(F.col("unit").alias("pivot"), F.col("first.row").alias("pivot_row"))
     # Overlapping paragraphs of one document meet too; they repeat nothing, and bands of one document are left out
-    placed = written(met.join(ours, "unit").join(theirs, "pivot").select("band", "unit", "pivot", (F.col("row") != F.col("pivot_row")).alias("apart")))
-    stars = placed.filter("apart").select(F.col("unit").alias("a"), F.col("pivot").alias("b")).distinct()
-    several = placed.join(placed.filter("apart").select("band").distinct(), "band", "left_semi")
-    asked = written(several.select("unit").union(several.select("pivot")).distinct())
+    placed = written(met.join(ours, "unit").join(theirs, "pivot").select("band", "unit", "row", "pivot", "pivot_row"))
+    apart = placed.filter("row <> pivot_row")
+    several = placed.join(apart.select("band").distinct(), "band", "left_semi")
+    asked = written(several.select("unit", "row").union(several.select("pivot", "pivot_row")).distinct())
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(asked))
     marked_sets = docs.select(text).mapInArrow(_unit_sets(text, size, reach, n, shared), "unit long, window boolean, grams array<long>")
-    sets = written(marked_sets.join(asked, "unit", "left_semi").dropDuplicates(["unit"]))
-    roots = components(_near_units(stars, ours, sets, similarity))
+    sets = written(marked_sets.join(asked, "unit").dropDuplicates(["unit"]))
+    roots = _near_units(apart.select(F.col("unit").alias("a"), F.col("pivot").alias("b")).distinct(), sets, similarity)
     named = roots.union(roots.select("root", "root").distinct())
     rooted = units.join(named, F.col("unit") == F.col("node"), "left").filter("spread or node is not null")
     rooted = rooted.select("unit", "first", "spread", F.coalesce("root", "unit").alias("component"))
