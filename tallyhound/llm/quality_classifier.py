@@ -193,13 +193,16 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[La
     bound = int(part * 1_000_000)
     scored = docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < bound)
     found = scored.mapInArrow(_training_rows(text, model), "print long, label double, columns binary, weights binary").dropDuplicates(["print"])
-    rows = sorted(found.limit(2 * sample).collect(), key=lambda r: r["print"])
+    rows = found.limit(2 * sample).toArrow().combine_chunks()
+    order = np.argsort(rows.column("print").to_numpy(), kind="stable")
     scorer, parts = LinearScorer(), []
-    for i in range(0, len(rows), 64):
-        some = rows[i : i + 64]
-        columns = [np.frombuffer(r["columns"], "<i4") for r in some]
-        row = np.repeat(np.arange(len(some)), [len(c) for c in columns])
-        parts.append(((row, np.concatenate(columns), np.concatenate([np.frombuffer(r["weights"], "<f4") for r in some]).astype(np.float64)), np.array([r["label"] for r in some])))
+    for i in range(0, len(order), 64):
+        some = rows.take(pa.array(order[i : i + 64])).to_pydict()
+        columns = [np.frombuffer(c, "<i4") for c in some["columns"]]
+        row = np.repeat(np.arange(len(columns), dtype=np.uint8), [len(c) for c in columns])
+        parts.append(((row, np.concatenate(columns), np.concatenate([np.frombuffer(w, "<f4") for w in some["weights"]])), np.array(some["label"])))
+    del rows
+    pa.default_memory_pool().release_unused()
     scorer.fit(parts)
     return model, scorer
 

@@ -358,6 +358,14 @@ def test_no_near_passage_is_left_out_among_unlike_ones(spark):
     assert got == {i: r for i, r in enumerate(root) if r != i}
 
 
+def test_training_rows_take_little_of_the_driver(docs, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality_classifier.LinearScorer, "fit", lambda self, parts: taken.extend(parts))
+    quality_classifier.train(docs)
+    row, column, weight = (sum(f[k].nbytes for f, _ in taken) for k in range(3))
+    assert 0 < row + column + weight <= 9 * sum(len(f[1]) for f, _ in taken)
+
+
 def test_short_copies_and_lines_edited_in_the_middle_are_found(spark):
     """Lines of 100 words with two words changed in the middle are found whole; so are copies of texts too short for a window."""
     rng = random.Random(21)
