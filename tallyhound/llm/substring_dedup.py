@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhound.llm.common import written
+from tallyhound.llm.common import buckets_for, written
 from tallyhound.llm.graph import components
 from tallyhound.llm.hashing import Words, mix, slabs
 
@@ -23,6 +23,9 @@ SIMILARITY = 0.75
 ROWS = 2  # minima per band
 MARKS = 1 << 26  # bits of the broadcast bitmap of paragraphs to verify
 RECALL = 0.98
+BUCKETS = 4096  # of bands, at least
+UNITS_PER_BUCKET = 200_000
+HELD = 1 << 20  # bands that a task gathers before it deals them out
 ORDERED_BY = 8  # one in so many units counts for the order of the n-grams
 FREQUENT = 500_000  # n-grams, at most, that come last in that order
 
@@ -78,25 +81,36 @@ def spans(words: Words, data: np.ndarray, size: int = PARAGRAPH, reach: int = RE
     return starts, np.concatenate([np.full(len(windows), size), length[own], count[short]])
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the values before every place, the end included."""
+    return np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
+
+
 class _Sets:
-    """The word n-grams of units one after another: ``grams``, where each unit ``begin``s, and its ``unit`` hash."""
+    """Units over the word n-grams of a slab: ``grams`` by first word, where each unit has its ``start``, ``size`` n-grams and a ``unit`` hash."""
 
     def __init__(self, words: Words, starts: np.ndarray, lengths: np.ndarray, n: int):
         at, value = words.ngrams(n)
-        grams = np.zeros(len(words.hash), np.uint64)
-        grams[at] = value
+        self.grams = np.zeros(len(words.hash), np.uint64)
+        self.grams[at] = value
         count = np.diff(words.first)
         for i in np.flatnonzero((count > 0) & (count < n)):  # a text of fewer words has itself as its only n-gram
-            grams[words.first[i]] = words.whole(i)
-        self.size = np.maximum(lengths - n + 1, 1)
-        self.begin = np.cumsum(self.size) - self.size
-        place = np.arange(self.size.sum()) - np.repeat(self.begin, self.size)
-        self.grams = grams[np.repeat(starts, self.size) + place]
-        total = np.add.reduceat(mix(self.grams) * (2 * place + 1).astype(np.uint64), self.begin)
+            self.grams[words.first[i]] = words.whole(i)
+        self.start, self.length, self.size = starts, lengths, np.maximum(lengths - n + 1, 1)
+        spread, twice = mix(self.grams), 2 * np.arange(len(self.grams), dtype=np.uint64)
+        plain, placed = _sums(spread), _sums(spread * twice)
+        end, first = starts + self.size, twice[starts] - np.uint64(1)
+        # The k-th n-gram of a unit counts 2 k + 1 times
+        total = placed[end] - placed[starts] - first * (plain[end] - plain[starts])
         self.unit = mix(total + self.size.astype(np.uint64)).view(np.int64)
 
+    def keep(self, which: np.ndarray) -> _Sets:
+        self.start, self.length, self.size, self.unit = (x[which] for x in (self.start, self.length, self.size, self.unit))
+        return self
+
     def least(self, seed: int) -> np.ndarray:
-        return np.minimum.reduceat(mix(self.grams ^ np.uint64(seed)), self.begin)
+        value = np.append(mix(self.grams ^ np.uint64(seed)), np.uint64(0))
+        return np.minimum.reduceat(value, np.stack([self.start, self.start + self.size], 1).ravel())[::2]
 
 
 def _occurrences(text: str, key: str, size: int, reach: int, n: int):
@@ -114,36 +128,86 @@ def _occurrences(text: str, key: str, size: int, reach: int, n: int):
     return run
 
 
-def _distinct(words: Words, data: np.ndarray, size: int, reach: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The spans of a slab, those of equal words once."""
+def _distinct(words: Words, data: np.ndarray, size: int, reach: int, n: int) -> _Sets | None:
+    """The units of a slab, those of equal words once; None if there are none."""
     starts, lengths = spans(words, data, size, reach)
-    if len(starts):
-        _, first = np.unique(_Sets(words, starts, lengths, n).unit, return_index=True)
-        starts, lengths = starts[first], lengths[first]
-    return starts, lengths
+    if not len(starts):
+        return None
+    sets = _Sets(words, starts, lengths, n)
+    return sets.keep(np.sort(np.unique(sets.unit, return_index=True)[1]))
 
 
-def _bands(text: str, size: int, reach: int, n: int, bands: int, rows: int):
-    """Windows meet windows, and lines and short texts one another."""
+def _bands(text: str, size: int, reach: int, n: int, bands: int, rows: int, buckets: int):
+    """The bands and their units, dealt to buckets by band; windows meet windows, and lines and short texts one another.
+
+    A row holds what a run of slabs has for a bucket, 32 bits of each band beside the bucket: most bands are of one
+    unit alone, and a row for each would take more room than all else. Two bands that agree in these bits are one,
+    which costs a comparison and loses no pair.
+    """
+
+    def dealt(values: list[np.ndarray], units: list[np.ndarray]) -> pa.RecordBatch:
+        unit, first = np.unique(np.concatenate(units), return_index=True)
+        value = np.concatenate(values, 1)[:, first].ravel()
+        bucket = ((value & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rest = bucket[order], (value[order] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        offsets = pa.array(np.append(cut, len(bucket)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.ListArray.from_arrays(offsets, rest), pa.ListArray.from_arrays(offsets, np.tile(unit, bands)[order])], ["bucket", "bands", "units"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, units = [], []
         for batch in batches:
             for _, data, offsets in slabs(batch, text):
-                words = Words(data, offsets, lower=True)
-                starts, lengths = _distinct(words, data, size, reach, n)
-                if not len(starts):
+                sets = _distinct(Words(data, offsets, lower=True), data, size, reach, n)
+                if sets is None:
                     continue
-                sets = _Sets(words, starts, lengths, n)
-                kind = np.where(lengths == size, 0, bands).astype(np.uint64)
+                kind = np.where(sets.length == size, 0, bands).astype(np.uint64)
+                value = kind + np.arange(bands, dtype=np.uint64)[:, None]
                 for b in range(bands):
-                    value = kind + np.uint64(b)
                     for r in range(rows):
-                        value = mix(value ^ mix(sets.least(0x9E37 + 7919 * (b * rows + r))))
-                    yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(sets.unit)], ["band", "unit"])
+                        value[b] = mix(value[b] ^ mix(sets.least(0x9E37 + 7919 * (b * rows + r))))
+                values.append(value)
+                units.append(sets.unit)
+                if bands * sum(map(len, units)) >= HELD:
+                    yield dealt(values, units)
+                    values, units = [], []
+        if units:
+            yield dealt(values, units)
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, unit, pivot) from rows in the order of their buckets: the units of each band but its smallest, the pivot."""
+
+    def bands_of(held: list[tuple[np.ndarray, np.ndarray]], open_bucket: int) -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]:
+        band, unit = (np.concatenate(x) for x in zip(*held, strict=True))
+        later = band >> 32 == open_bucket
+        rest = band[later], unit[later]
+        band, unit = band[~later], unit[~later]
+        order = np.lexsort((unit, band))
+        band, unit = band[order], unit[order]
+        new = np.diff(band, prepend=-1) != 0
+        pivot = unit[np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))]
+        use = ~new & (np.diff(unit, prepend=0) != 0)
+        return pa.RecordBatch.from_arrays([pa.array(band[use]), pa.array(unit[use]), pa.array(pivot[use])], ["band", "unit", "pivot"]), rest
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        bands, bucket = batch.column("bands"), batch.column("bucket").to_numpy().astype(np.int64)
+        if not len(bucket):
+            continue
+        n = pa.compute.list_value_length(bands).to_numpy()
+        held.append((np.repeat(bucket, n) << 32 | bands.flatten().to_numpy().view(np.uint32), batch.column("units").flatten().to_numpy()))
+        if held[0][0][0] >> 32 != bucket[-1]:
+            done, rest = bands_of(held, bucket[-1])
+            held = [rest]
+            yield done
+    if held:
+        yield bands_of(held, -1)[0]
+
+
 def _unit_sets(text: str, size: int, reach: int, n: int, shared):
     """The n-grams of the units that the bitmap marks, and whether a unit is a window; copies in a slab once."""
 
@@ -151,15 +215,13 @@ def _unit_sets(text: str, size: int, reach: int, n: int, shared):
         marks = shared.value
         for batch in batches:
             for _, data, offsets in slabs(batch, text):
-                words = Words(data, offsets, lower=True)
-                starts, lengths = _distinct(words, data, size, reach, n)
-                if not len(starts):
+                sets = _distinct(Words(data, offsets, lower=True), data, size, reach, n)
+                if sets is None:
                     continue
-                sets = _Sets(words, starts, lengths, n)
                 at = sets.unit & (MARKS - 1)
-                hit = np.flatnonzero((marks[at >> 6] >> (at & 63)) & 1 == 1)
-                grams = [np.unique(sets.grams[b : b + k]).view(np.int64) for b, k in zip(sets.begin[hit], sets.size[hit], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(sets.unit[hit]), pa.array(lengths[hit] == size), pa.array(grams, pa.list_(pa.int64()))], ["unit", "window", "grams"])
+                sets.keep((marks[at >> 6] >> (at & 63)) & 1 == 1)
+                grams = [np.unique(sets.grams[b : b + k]).view(np.int64) for b, k in zip(sets.start, sets.size, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(sets.unit), pa.array(sets.length == size), pa.array(grams, pa.list_(pa.int64()))], ["unit", "window", "grams"])
 
     return run
 
@@ -275,9 +337,9 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "start")
     units = found.groupBy("unit").agg(F.min(place).alias("first"), F.min("row").alias("r"), F.max("row").alias("s"))
     units = written(units.select("unit", "first", F.expr("r <> s").alias("spread")))
-    bands = docs.select(text).mapInArrow(_bands(text, size, reach, n, bands_for(similarity), ROWS), "band long, unit long")
-    met = bands.repartition("band").groupBy("band", "unit").agg(F.lit(1).alias("one"))
-    met = met.select("band", "unit", F.min("unit").over(Window.partitionBy("band")).alias("pivot")).filter("unit <> pivot")
+    buckets = buckets_for(found.count(), UNITS_PER_BUCKET, BUCKETS)
+    bands = docs.select(text).mapInArrow(_bands(text, size, reach, n, bands_for(similarity), ROWS, buckets), "bucket int, bands array<int>, units array<long>")
+    met = written(bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "band long, unit long, pivot long"))
     ours, theirs = units.select("unit", F.col("first.row").alias("row")), units.select(F.col("unit").alias("pivot"), F.col("first.row").alias("pivot_row"))
     # Overlapping paragraphs of one document meet too; they repeat nothing, and bands of one document are left out
     placed = written(met.join(ours, "unit").join(theirs, "pivot").select("band", "unit", "row", "pivot", "pivot_row"))
