@@ -20,6 +20,7 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER_VALUE = _BYTE_VALUE[_LOWER]
 SLAB = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
@@ -62,8 +63,8 @@ class Words:
         ends = ~gap
         ends[:-1] &= gap[1:] | edge[1:-1]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
-        self.first = np.searchsorted(self.doc, np.arange(len(offsets)))  # of text i, words first[i] to first[i + 1]
+        self.first = np.searchsorted(self.start, offsets)  # of text i, words first[i] to first[i + 1]
+        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         self.hash = np.empty(len(self.start), np.uint64)
         i = 0
         while i < len(self.start):
@@ -72,7 +73,7 @@ class Words:
             piece = data[at : self.end[j - 1]]
             up, down = _tables(max(SLAB, len(piece)) + 1)
             sums = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(_BYTE_VALUE[_LOWER[piece] if lower else piece] * up[: len(piece)], out=sums[1:])
+            np.cumsum((_LOWER_VALUE if lower else _BYTE_VALUE)[piece] * up[: len(piece)], out=sums[1:])
             s, e = self.start[i:j] - at, self.end[i:j] - at
             self.hash[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
             i = j

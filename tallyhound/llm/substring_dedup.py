@@ -25,6 +25,7 @@ MARKS = 1 << 26  # bits of the broadcast bitmap of paragraphs to verify
 RECALL = 0.98
 BUCKETS = 4096  # of bands, at least
 UNITS_PER_BUCKET = 200_000
+NONE = (1 << 64) - 1  # above all hashes
 HELD = 1 << 20  # bands that a task gathers before it deals them out
 ORDERED_BY = 8  # one in so many units counts for the order of the n-grams
 FREQUENT = 500_000  # n-grams, at most, that come last in that order
@@ -44,21 +45,22 @@ def paragraphs(words: Words, size: int = PARAGRAPH, reach: int = REACH) -> np.nd
     total = len(words.hash) - size + 1
     if total <= 0:
         return np.zeros(0, np.int64)
-    last = words.first[1:][words.doc[:total]] - size  # the last start in the text
-    fits = np.flatnonzero(np.arange(total) <= last)
-    if not len(fits):
-        return fits
+    fits = np.arange(total) <= words.first[1:][words.doc[:total]] - size  # up to the last start in the text
+    if not fits.any():
+        return np.zeros(0, np.int64)
     value = mix(words.hash[:total] ^ np.uint64(0x5DEECE66D))
-    best = np.arange(total)
-    span = 1
-    while span < reach:  # position of the minimum of the next `span` starts, doubling
-        step = min(span, reach - span)
-        other = np.concatenate([best[step:], best[-step:]])[:total]
-        other = np.where(words.doc[np.minimum(np.arange(total) + step, total - 1)] == words.doc[:total], other, best)
-        other = np.where(other <= last, other, best)
-        best = np.where(value[other] < value[best], other, best)
-        span += step
-    starts = np.unique(best[fits])
+    if reach > size:  # runs may reach into the next text
+        best = _leftmost(value, fits, words.doc, reach)
+        starts = np.unique(best[fits])
+    else:  # between the starts of two texts lie size - 1 words that are none
+        least = _over_runs(np.where(fits, value, np.uint64(NONE)), reach, np.minimum, NONE)
+        least[~fits] = 0
+        starts = np.flatnonzero(fits & (_over_runs(least[::-1], reach, np.maximum, 0)[::-1] == value))
+        # Of equal words a run takes the first, so the later needs a run that starts after the former
+        tied = np.flatnonzero((value[starts[1:]] == value[starts[:-1]]) & (np.diff(starts) < reach)) + 1
+        if len(tied):
+            since = np.stack([starts[tied - 1] + 1, starts[tied] + 1], 1).ravel()
+            starts = np.delete(starts, tied[np.maximum.reduceat(np.append(least, np.uint64(0)), since)[::2] < value[starts[tied]]])
     # Of starts within NEAR words only the one with the smallest hash, else paragraphs nearly equal themselves
     close = np.diff(starts) <= NEAR
     falls = value[starts[1:]] < value[starts[:-1]]
@@ -68,14 +70,38 @@ def paragraphs(words: Words, size: int = PARAGRAPH, reach: int = REACH) -> np.nd
     return starts[keep]
 
 
+def _over_runs(value: np.ndarray, reach: int, least: np.ufunc, end: int) -> np.ndarray:
+    """The minimum (or maximum) of every place and the ``reach`` - 1 places after it; ``end`` stands for those after the last."""
+    span = 1
+    while span < reach:
+        step = min(span, reach - span)
+        value = least(value, np.concatenate([value[step:], np.full(min(step, len(value)), end, value.dtype)]))
+        span += step
+    return value
+
+
+def _leftmost(value: np.ndarray, fits: np.ndarray, doc: np.ndarray, reach: int) -> np.ndarray:
+    """The place of the first minimum of every run of ``reach`` places that fit in one text."""
+    total = len(value)
+    best, span = np.arange(total), 1
+    while span < reach:
+        step = min(span, reach - span)
+        other = np.concatenate([best[step:], best[-step:]])[:total]
+        same = (doc[np.minimum(np.arange(total) + step, total - 1)] == doc[:total]) & fits[other]
+        other = np.where(same, other, best)
+        best = np.where(value[other] < value[best], other, best)
+        span += step
+    return best
+
+
 def spans(words: Words, data: np.ndarray, size: int = PARAGRAPH, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
     """(first word, number of words) of all units: windows, lines of ``size`` words or more, whole texts below ``size``."""
     windows = paragraphs(words, size, reach)
-    line = np.searchsorted(np.flatnonzero(data == 10), words.start)
-    head = np.flatnonzero(np.diff(line, prepend=-1) + np.diff(words.doc, prepend=-1))
+    count = np.diff(words.first)
+    after = np.searchsorted(words.start, np.flatnonzero(data == 10))
+    head = np.unique(np.concatenate([words.first[:-1][count > 0], after[after < len(words.hash)]]))
     length = np.diff(np.append(head, len(words.hash)))
     own = (length > size) | ((length == size) & ~np.isin(head, windows))
-    count = np.diff(words.first)
     short = (count > 0) & (count < size)
     starts = np.concatenate([windows, head[own], words.first[:-1][short]])
     return starts, np.concatenate([np.full(len(windows), size), length[own], count[short]])
@@ -186,7 +212,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = band >> 32 == open_bucket
         rest = band[later], unit[later]
         band, unit = band[~later], unit[~later]
-        order = np.lexsort((unit, band))
+        order = np.argsort(band)
+        inside = np.diff(band[order], prepend=-1) == 0
+        order = order[inside | np.append(inside[1:], False)] if len(order) else order  # bands of one row have no more to tell
+        order = order[np.lexsort((unit[order], band[order]))]
         band, unit = band[order], unit[order]
         new = np.diff(band, prepend=-1) != 0
         pivot = unit[np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))]

@@ -463,3 +463,59 @@ def test_words_cross_slabs():
     whole = hashing.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), True)
     parts = [hashing.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), True).hash[0] for w in WORD.findall(text)[-50:]]
     assert list(whole.hash[-50:]) == parts
+
+
+def test_paragraphs_start_at_the_first_least_word_of_every_run():
+    """Against brute force, on texts in which most words recur."""
+    rng = random.Random(5)
+    some = [" ".join(rng.choice("abcdef") for _ in range(rng.choice([0, 1, 7, 8, 9, 20, 90]))) for _ in range(300)]
+    data = "".join(some).encode()
+    words = hashing.Words(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, some)]), lower=True)
+    for size, reach in ((8, 8), (8, 5), (8, 1), (5, 8)):
+        value, want = hashing.mix(words.hash ^ np.uint64(0x5DEECE66D)), set()
+        for a, b in itertools.pairwise(words.first):
+            last = b - size
+            want |= {min(range(i, min(i + reach, last + 1)), key=lambda j: (value[j], j)) for i in range(a, last + 1)}
+        starts = np.array(sorted(want))
+        keep = np.ones(len(starts), bool)
+        for k in np.flatnonzero(np.diff(starts) <= substring_dedup.NEAR):
+            keep[k if value[starts[k + 1]] < value[starts[k]] else k + 1] = False
+        assert substring_dedup.paragraphs(words, size, reach).tolist() == starts[keep].tolist()
+
+
+def test_bands_take_little_room_and_lose_no_unit():
+    """Bands are dealt in packed rows, and the units of a band meet its smallest one whatever rows hold them."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    base = [prose(rng, 30) for _ in range(40)]
+    rows = [t for t in base for _ in range(2)] + [f"{t} {prose(rng, 1)}" for t in base] + [None, "", "two words"]
+    deal = substring_dedup._bands("text", 24, 24, 5, 5, 2, 4)
+    packed = [b for k in range(0, len(rows), 50) for b in deal(iter([pa.RecordBatch.from_pydict({"text": pa.array(rows[k : k + 50], pa.string())})]))]
+    table = pa.Table.from_batches(packed).sort_by("bucket")
+    entries = sum(len(x) for x in table["bands"].to_pylist())
+    assert table.nbytes <= 13 * entries + 16 * table.num_rows  # a row for each band and unit takes 19 bytes when compressed
+    held = {}
+    for r in table.to_pylist():
+        for band, unit in zip(r["bands"], r["units"], strict=True):
+            held.setdefault((r["bucket"] << 32) | (band & 0xFFFFFFFF), set()).add(unit)
+    want = sorted((band, unit, min(units)) for band, units in held.items() for unit in units - {min(units)})
+    for most in (1, 3, 1000):  # buckets that end inside a batch and beyond it
+        got = pa.Table.from_batches(list(substring_dedup._met(iter(table.to_batches(most))))).to_pylist()
+        assert want and sorted((r["band"], r["unit"], r["pivot"]) for r in got) == want
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    import os
+    import time
+
+    from tallyhound.llm.common import FREE_SHUFFLES, written
+
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(FREE_SHUFFLES, None)
+    kept = written(spark.range(20000).selectExpr("id % 5000 as k").groupBy("k").count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 5000 and spark.conf.get(FREE_SHUFFLES, None) == setting
