@@ -249,8 +249,19 @@ def _unit_sets(text: str, size: int, reach: int, n: int, shared):
                     continue
                 at = sets.unit & (MARKS - 1)
                 sets.keep((marks[at >> 6] >> (at & 63)) & 1 == 1)
-                grams = [np.unique(sets.grams[b : b + k]).view(np.int64) for b, k in zip(sets.start, sets.size, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(sets.unit), pa.array(sets.length == size), pa.array(grams, pa.list_(pa.int64()))], ["unit", "window", "grams"])
+                if not len(sets.unit):
+                    continue
+                order, flat, count = [], [], []
+                for k in np.unique(sets.size):  # units of as many n-grams at once
+                    which = np.flatnonzero(sets.size == k)
+                    grams = np.sort(sets.grams[sets.start[which][:, None] + np.arange(k)], axis=1)
+                    new = np.diff(grams, axis=1, prepend=~grams[:, :1]) != 0
+                    order.append(which)
+                    flat.append(grams[new])
+                    count.append(new.sum(1))
+                sets.keep(np.concatenate(order))
+                lists = pa.ListArray.from_arrays(_sums(np.concatenate(count)).astype(np.int32), np.concatenate(flat).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(sets.unit), pa.array(sets.length == size), lists], ["unit", "window", "grams"])
 
     return run
 
