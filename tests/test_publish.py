@@ -170,3 +170,30 @@ def test_types_of_columns(spark):
     got = {r["column"]: (r["type"], r["sensitive"]) for r in profile.column_types(df).collect()}
     assert got == {"flag": ("booleano", None), "yes": ("booleano", None), "count": ("entero", None), "angle": ("decimal", "ubicacion"), "amount": ("decimal", None),
                    "line": ("entero", "identificador"), "day": ("fecha", None), "at": ("fecha", None), "rare": ("desconocido", None), "word": ("texto", None)}
+
+
+def test_a_block_that_fails_ends_the_audit(spark):
+    """No row stands for a failure, and the error tells the block and the type alone."""
+    def build():
+        return spark.createDataFrame([("AA001BB",)], "plate string").selectExpr("'b' AS block", "raise_error(plate) AS part", "1L AS n", "1L AS total")
+
+    with pytest.raises(audit.BlockFailed, match="^audit block exceso failed: [A-Za-z0-9]+$") as told:
+        audit.protected("exceso", build)
+    assert told.value.__context__ is None and told.value.__cause__ is None
+    fine = spark.createDataFrame([("b", "p", 3, 4)], "block string, part string, n long, total long")
+    assert [tuple(r) for r in audit.protected("fine", lambda: fine).collect()] == [("b", "p", 3, 4)]
+
+
+def test_a_failing_block_reaches_the_caller_of_the_whole_audit(spark, monkeypatch):
+    vehicle = spark.createDataFrame([(1, "AA001BB", "MT-40000001", "T1", "SI", 50.0)],
+                                    "vehicle_id long, plate string, engine_number string, card string, odometer_exempt string, tank_capacity double")
+    rows = [(f"R{i}", 1, "AA001BB", f"2024-01-0{1 + i}", "10:00:00", "POSNET", 10.0 + i, 1000 + i, "NAFTA", 10.0, "PATENTE", "P1", "1", "T1", 1.0) for i in range(3)]
+    refuel = spark.createDataFrame(rows, "id string, vehicle_id long, plate string, date string, time string, origin string, litres double, odometer long, "
+                                         "product string, amount double, id_type string, driver string, station string, card string, unit_price double")
+
+    def broken(alerts):
+        raise KeyError("AA001BB")
+
+    monkeypatch.setattr(audit, "rule_block", broken)
+    with pytest.raises(audit.BlockFailed, match="^audit block reglas failed: KeyError$"):
+        audit.audit({"vehicle": vehicle, "refuel": refuel})
