@@ -175,3 +175,82 @@ def test_unique_pairs_where_most_are_crowded(spark):
     left = spark.createDataFrame(a, "id string, s long, litres double").withColumn("instant", F.timestamp_seconds("s"))
     right = spark.createDataFrame(b, "id string, s long, loaded double").withColumn("instant", F.timestamp_seconds("s"))
     assert pairs(matching.unique_pairs(left, right)) == ones and len(ones) > 5
+
+
+def first_cheapest(a, b):
+    """All assignments, refuel by refuel in order of id, as the SQL does: least cost, then the first in order of ids."""
+    best = None
+    refuels = sorted(a)
+
+    def walk(i, cost, taken):
+        nonlocal best
+        if i == len(refuels):
+            key = (round(cost, 9), taken)
+            best = key if best is None or key < best else best
+            return
+        f = refuels[i]
+        for q in sorted(b):
+            minutes = (a[f][0] - b[q][0]) / 60
+            if q not in taken and -matching.MINUTES_AFTER <= minutes <= matching.MINUTES_BEFORE:
+                one = float(matching.pair_cost(np.float64(minutes), a[f][1], b[q][1], b[q][2]))
+                if one < matching.UNMATCHED_COST:
+                    walk(i + 1, cost + one, (*taken, q))
+        walk(i + 1, cost + matching.UNMATCHED_COST, (*taken, "~"))
+
+    walk(0, 0.0, ())
+    return {(f, q) for f, q in zip(refuels, best[1]) if q != "~"}
+
+
+def as_group(a, b):
+    rows = [(k, i, v[0] * 1_000_000, *v[1:]) for k, side in (("refuel", a), ("request", b)) for i, v in side.items()]
+    kind, ids, at, litres, voided = zip(*rows)
+    return {"kind": np.array(kind, object), "id": np.array(ids, object), "at": np.array(at, np.int64), "litres": np.array(litres), "voided": np.array(voided)}
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_ties_go_by_the_ids_whichever_side_bids(seed):
+    """Equal times and litres on purpose: many assignments cost the same."""
+    rng = np.random.default_rng(seed)
+    n, m = (int(x) for x in rng.integers(1, 6, 2))
+    at = lambda: int(rng.integers(0, 4)) * 1800
+    a = {f"F{i}": (at() + 3600, float(rng.choice([20.0, 40.0])), False) for i in rng.permutation(n)}
+    b = {f"Q{i}": (at(), float(rng.choice([20.0, 40.0])), bool(rng.random() < 0.2)) for i in rng.permutation(m)}
+    assert set(matching.cheapest_pairs(as_group(a, b))) == first_cheapest(a, b)
+
+
+MANY = "match_key string, component long, kind string, id string, at long, litres double, voided boolean"
+
+
+@pytest.mark.parametrize("litres", ["all different", "few values"])
+def test_slices_give_the_pairs_of_the_whole(spark, litres):
+    """Six components of a week; cut into many slices they are matched as in one piece, ties and all."""
+    rng = np.random.default_rng(len(litres))
+    drawn = (lambda: float(rng.integers(100, 9000)) / 100) if litres == "all different" else (lambda: float(rng.choice([20.0, 40.0, 41.0])))
+    rows, whole = [], set()
+    for k in range(6):
+        n, m = ((300, 200), (150, 300))[k % 2]
+        at = lambda: int(rng.integers(0, 10_080)) * 60  # noqa: E731  whole minutes, so that times are equal too
+        a = {f"F{k}-{i:03d}": (at(), drawn(), False) for i in range(n)}
+        b = {f"Q{k}-{i:03d}": (at(), drawn(), bool(rng.random() < 0.2)) for i in range(m)}
+        rows += [(f"K{k}", 1, kind, i, v[0] * 1_000_000, v[1], v[2]) for kind, side in (("refuel", a), ("request", b)) for i, v in side.items()]
+        whole |= set(matching.cheapest_pairs(as_group(a, b)))
+    df = spark.createDataFrame(rows, MANY)
+    assert pairs(matching.auction_pairs(df, slice_rows=20)) == whole
+
+
+def test_the_match_does_not_depend_on_what_counts_as_large(spark, vehicles):
+    rng = np.random.default_rng(7)
+    time = lambda: f"{int(rng.integers(8, 12)):02d}:{int(rng.integers(0, 12)) * 5:02d}:00"
+    refuels = typed_refuels(spark.createDataFrame(
+        [(f"C{i:02d}", "AA001BB", "T1", None, "PATENTE", "2024-03-05", time(), float(rng.choice([30.0, 31.0, 40.0]))) for i in range(60)], REFUEL))
+    requests = typed_requests(spark.createDataFrame(
+        [request(f"P{i:02d}", "AA001BB", time(), float(rng.choice([30.0, 40.0])), voided=str(rng.choice(["SI", "NO", "NO"]))) for i in range(50)], REQUEST))
+    left, right = matching.keyed_refuels(refuels, vehicles), matching.keyed_requests(requests)
+    assert pairs(matching.optimal_pairs(left, right)) == pairs(matching.optimal_pairs(left, right, component_rows=2))
+
+
+def test_rows_of_the_same_id_are_matched_each(spark):
+    rows = [("K", 1, "refuel", "F", 3_600_000_000, 20.0, False)] * 3 + [("K", 1, "request", "Q", 900_000_000, 20.0, False)] * 2
+    got = [tuple(r) for r in matching.auction_pairs(spark.createDataFrame(rows, MANY)).collect()]
+    group = {c: np.array([r[i] for r in rows], object if c in ("kind", "id") else None) for i, c in ((2, "kind"), (3, "id"), (4, "at"), (5, "litres"), (6, "voided"))}
+    assert got == matching.cheapest_pairs(group) == [("F", "Q")] * 2
