@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from threading import Barrier
 
 import pytest
 
@@ -9,6 +10,7 @@ from tallyhound.functions import bands
 from tallyhound.operators.profile import normalise_name, sensitivity_of_name
 from tallyhound.operators import audit
 from tallyhound.operators.suppress import _Told, suppress_axis, suppress_parts
+from tallyhound.plans import run
 from tallyhound.sources.files import name_pattern
 
 
@@ -197,3 +199,32 @@ def test_a_failing_block_reaches_the_caller_of_the_whole_audit(spark, monkeypatc
     monkeypatch.setattr(audit, "rule_block", broken)
     with pytest.raises(audit.BlockFailed, match="^audit block reglas failed: KeyError$"):
         audit.audit({"vehicle": vehicle, "refuel": refuel})
+
+
+def test_blocks_of_the_audit_run_side_by_side_and_share_the_pairs(spark, monkeypatch):
+    both = Barrier(2, timeout=60)
+    block = lambda name: spark.createDataFrame([(name, "p", 30, 70)], "block string, part string, n long, total long")
+    refuel = spark.createDataFrame([("R1", "2024-01-01", "10:00:00", 10.0)], "id string, date string, time string, litres double")
+    pairs = spark.createDataFrame([("R1", "S1")], "refuel_id string, request_id string")
+    alerts = spark.createDataFrame([], "record_id string, anomaly_type string, rule string, detail string, measure double")
+
+    def waiting(name):
+        def build(*rest):
+            both.wait()
+            return block(name)
+        return build
+
+    def windows(refuels, requests, vehicles, given):
+        assert given is pairs
+        return block("ventanas")
+
+    monkeypatch.setattr(run, "run_rules", lambda data, hot_rows, dealt: run.Findings(
+        alerts, refuel, refuel, requests=refuel, extra={"sequence": alerts, "exempt": refuel, "all_pairs": pairs}))
+    for name, build in {"rule_block": waiting("reglas"), "excess_block": waiting("exceso"), "time_window_block": windows}.items():
+        monkeypatch.setattr(audit, name, build)
+    for name in ("hypothesis_block", "fallback_block", "regressions_block", "odometer_block", "coverage_block"):
+        monkeypatch.setattr(audit, name, lambda *rest, name=name: block(name))
+    monkeypatch.setattr(audit, "fallback_pairs", lambda refuels: refuels)
+    out = audit.audit({"vehicle": refuel, "refuel": refuel}).collect()
+    assert sorted(r["block"] for r in out) == sorted([
+        "reglas", "exceso", "ventanas", "hypothesis_block", "fallback_block", "regressions_block", "odometer_block", "coverage_block"])
